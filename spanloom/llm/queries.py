@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import bpe, exact_dedup
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +34,17 @@ FROM documents
 """
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as byte-level BPE ids and back; digests of both."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_decode(docs, ["doc_id"])
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op9_byte_bpe": op9_byte_bpe,
     }
 
 
