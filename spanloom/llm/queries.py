@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, secrets
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,15 @@ FROM documents
 """
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: counts and places."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("found", lambda s: s["kind"] < len(secrets.BASE))
+    count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("found")).alias("spans"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as byte-level BPE ids and back; digests of both."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +53,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op8_secret_scan": op8_secret_scan,
         "op9_byte_bpe": op9_byte_bpe,
     }
 
@@ -51,4 +61,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op8_secret_scan": secrets.digest_sql(),
     }
