@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, secrets
+from . import bpe, exact_dedup, mixing, secrets
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,13 @@ FROM documents
 """
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    taken = mixing.Mix(docs).taken()
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text: counts and places."""
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,6 +60,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_mix_sources": op2_mix_sources,
         "op8_secret_scan": op8_secret_scan,
         "op9_byte_bpe": op9_byte_bpe,
     }
