@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, secrets
-from .common import Scratch
+from . import bpe, exact_dedup, langid, mixing, secrets
+from .common import Scratch, crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learnt from four fifths of the documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, crc_mod("doc_id", 5) != 0)
+    keep = [F.col("doc_id"), (crc_mod("doc_id", 5) == 0).alias("held_out")]
+    return langid.identify(docs, model, keep).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text: counts and places."""
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -61,6 +69,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_mix_sources": op2_mix_sources,
+        "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
         "op9_byte_bpe": op9_byte_bpe,
     }
