@@ -156,7 +156,7 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str
                         total[k << BITS : (k + 1) << BITS] += np.bincount(b.astype(np.int64), minlength=1 << BITS)
                     total[ORDERS << BITS :] += np.bincount(x.script, minlength=len(SCRIPTS) + 1)
                 at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(total[at])], ["lang", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], ["lang", "bucket", "n"])
 
     counts = sample.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
