@@ -198,6 +198,8 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang",
 
 def label(m: Model, texts: list[str]) -> list[pa.Array]:
     """lang_pred, score and spans of texts."""
+    if not m.langs:
+        return [pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts)), pa.array([[]] * len(texts), SPANS)]
     scores, sizes, starts, bounds, n = [], [], [], [np.zeros(1, np.int64)], 0
     for i, j in pieces(texts, 1_000_000):
         x = Letters(texts[i:j])
@@ -208,7 +210,7 @@ def label(m: Model, texts: list[str]) -> list[pa.Array]:
         bounds.append(x.bound[1:] + n)
         n += len(x.start)
     bound = np.concatenate(bounds)
-    if not m.langs or not n:
+    if not n:
         return [pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts)), pa.array([[]] * len(texts), SPANS)]
     size, start = np.concatenate(sizes), np.concatenate(starts)
     path = viterbi(np.concatenate(scores), bound)
