@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, secrets
+from . import bpe, exact_dedup, langid, mixing, quality, secrets
 from .common import Scratch, crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learnt from three quarters of the labelled documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    scored = quality.score(docs, model, [F.col("doc_id"), (crc_mod("doc_id", 4) == 2).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learnt from four fifths of the documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -69,6 +77,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_mix_sources": op2_mix_sources,
+        "op3_quality": op3_quality,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
         "op9_byte_bpe": op9_byte_bpe,
