@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, quality, secrets
+from . import bpe, exact_dedup, langid, mixing, quality, secrets, toxicity
 from .common import Scratch, crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from four fifths of the labelled documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    scored = toxicity.score(docs, model, [F.col("doc_id"), (crc_mod("doc_id", 5) == 0).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learnt from four fifths of the documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -78,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_mix_sources": op2_mix_sources,
         "op3_quality": op3_quality,
+        "op5_toxicity": op5_toxicity,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
         "op9_byte_bpe": op9_byte_bpe,
