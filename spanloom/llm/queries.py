@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, quality, secrets, toxicity
+from . import bpe, exact_dedup, langid, mixing, near_dedup, quality, secrets, toxicity
 from .common import Scratch, crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,26 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates on shingles of two words: each document's component and whether it stays."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, Scratch(spark, "op4"), size=2, percent=80)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN w ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+d AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, d.v FROM r JOIN d ON d.u = r.v),
+m AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+SELECT m.doc_id, coalesce(n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learnt from four fifths of the labelled documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_mix_sources": op2_mix_sources,
         "op3_quality": op3_quality,
+        "op4_near_dedup": op4_near_dedup,
         "op5_toxicity": op5_toxicity,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
@@ -96,5 +117,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op4_near_dedup": OP4_SQL,
         "op8_secret_scan": secrets.digest_sql(),
     }
