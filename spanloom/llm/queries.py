@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, near_dedup, quality, secrets, toxicity
+from . import bpe, embed_dedup, exact_dedup, langid, mixing, near_dedup, quality, secrets, toxicity
 from .common import Scratch, crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between embeddings of one label, and which of each component stays."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embed_dedup.near_vectors(vectors, Scratch(spark, "op6"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, d.v FROM r JOIN d ON d.u = r.v),
+m AS (SELECT u AS vec_id, min(v) AS component_id FROM r GROUP BY u),
+n AS (SELECT u AS vec_id, count(*) AS n FROM d GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learnt from four fifths of the documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -108,6 +126,7 @@ def queries() -> dict[str, Query]:
         "op3_quality": op3_quality,
         "op4_near_dedup": op4_near_dedup,
         "op5_toxicity": op5_toxicity,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
         "op9_byte_bpe": op9_byte_bpe,
@@ -118,5 +137,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
         "op4_near_dedup": OP4_SQL,
+        "op6_embedding_dedup": OP6_SQL,
         "op8_secret_scan": secrets.digest_sql(),
     }
