@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, langid, mixing, near_dedup, quality, secrets, toxicity
+from . import bpe, embed_dedup, exact_dedup, langid, mixing, near_dedup, quality, secrets, substring_dedup, toxicity
 from .common import Scratch, crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,26 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text when passages of 35 words that occur twice are taken out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = substring_dedup.remove_repeats(docs, Scratch(spark, "op10"), size=35)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM x),
+r AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM g JOIN r USING (g)),
+k AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -130,6 +150,7 @@ def queries() -> dict[str, Query]:
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
@@ -139,4 +160,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_near_dedup": OP4_SQL,
         "op6_embedding_dedup": OP6_SQL,
         "op8_secret_scan": secrets.digest_sql(),
+        "op10_substring_dedup": OP10_SQL,
     }
