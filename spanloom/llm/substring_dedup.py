@@ -14,8 +14,8 @@ from .common import Scratch, Words, key64, mix, pieces, text_of
 
 #: Words of the grams that anchors are chosen from.
 GRAM = 8
-#: Windows of a segment; their marks fit the bits of a long.
-MOST_WINDOWS = 64
+#: Windows of a segment; their marks fit the bits of a positive long.
+MOST_WINDOWS = 62
 #: Text of a reference shard in bytes, about.
 SHARD_BYTES = 300_000
 #: Anchors with more different segments than this are cut into single windows, so that no shard depends on one anchor.
@@ -199,7 +199,6 @@ def _marks(table: pa.Table, size: int) -> pa.Table:
         automaton.add(w, times)
     automaton.close()
     marks = [sum(1 << first for first, times in automaton.occurrences(w, size) if times > 1) for w in words]
-    marks = [m - (1 << 64) if m >> 63 else m for m in marks]
     return pa.table({"hi": table.column("hi"), "lo": table.column("lo"), "marks": pa.array(marks, pa.int64())})
 
 
@@ -264,7 +263,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, size: int = 35, id_col: st
     windows = scratch.save(_single_windows(open_.where(F.col("segments") > hot_segments).select("hi", "lo", "n", "content"), size), "windows")
     again = scratch.save(windows.groupBy("whi", "wlo").agg(F.sum("n").alias("times")).where("times > 1").select("whi", "wlo"), "again")
     cut = windows.join(again, ["whi", "wlo"]).groupBy("hi", "lo").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("marks"))
-    copied = different.where("n > 1").select("hi", "lo", F.expr("case when windows >= 64 then -1L else shiftleft(1L, windows) - 1 end").alias("marks"))
+    copied = different.where("n > 1").select("hi", "lo", F.expr("shiftleft(1L, windows) - 1").alias("marks"))
     marks = marked.unionByName(cut).unionByName(copied).groupBy("hi", "lo").agg(F.bit_or("marks").alias("marks")).where("marks <> 0")
     marks = scratch.save(marks, "marks")
     scratch.drop(windows, again, per_anchor, different)
