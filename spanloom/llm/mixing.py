@@ -69,6 +69,7 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> None:
+        self.names = (id_col, text_col, source_col)
         self.docs, self.block_words, self.shard_slots, self.seed = docs, block_words, shard_slots, seed
         self.scratch = Scratch(docs.sparkSession, "mixing")
         text = text_of(text_col)
@@ -149,3 +150,30 @@ class Mix:
         full = placed.where("size > 0").join(words, ["s", "start"], "left")
         every = full.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
         return every.select("id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+    def documents(self) -> DataFrame:
+        """The mix as documents with the columns of the input: a row for each pass that takes words of a document.
+
+        The text holds the words taken in that pass, in their order, with the white space before each of them; it is the
+        text unchanged if all are taken. A column n_chars of whole numbers is set to the text's new length. Of rows
+        that agree in id, source and text, the other columns are those of one of them.
+        """
+        id_col, text_col, source_col = self.names
+        placed, parts = self.pieces()
+        taken = parts.groupBy("s", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
+        plan = placed.where("size > 0").select("id", "hash", "s", "start", "size", "source").join(taken, ["s", "start"]).select("id", "hash", "start", "size", "source", "pass", "parts")
+        plan = self.scratch.save(plan, "taken")
+        several = self.sizes.groupBy("id", "hash", "source").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("_twin_id"), F.col("hash").alias("_twin_hash"), F.col("source").alias("_twin_source"))
+        several = self.scratch.save(several, "twins")
+        several = F.broadcast(several) if several.count() <= MAX_BROADCAST_SOURCES else several
+        hashed = self.docs.withColumn("_mix_text", F.xxhash64(text_of(text_col)))
+        same = lambda k: F.col(id_col).eqNullSafe(F.col(f"{k}_id")) & (F.col("_mix_text") == F.col(f"{k}_hash")) & F.col(source_col).eqNullSafe(F.col(f"{k}_source"))
+        rows = hashed.join(several, same("_twin"), "left_anti").unionByName(hashed.join(several, same("_twin"), "left_semi").dropDuplicates([id_col, "_mix_text", source_col]))
+        plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
+        mixed = rows.join(plan, same("_mix"))
+        words = F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+        part = F.transform("_mix_parts", lambda p: F.array_join(F.slice("_mix_list", (p["first"] + 1).cast("int"), p["words"].cast("int")), ""))
+        cut = F.when(F.aggregate("_mix_parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("_mix_size"), F.col(text_col)).otherwise(F.regexp_replace(F.array_join(part, ""), r"^[\x20\x09-\x0D]+", ""))
+        mixed = mixed.withColumn("_mix_list", words).withColumn(text_col, cut)
+        chars = [F.length(text_col).cast(self.docs.schema[c].dataType).alias(c) if c == "n_chars" and self.docs.schema[c].dataType.typeName() in ("long", "integer") else F.col(c) for c in self.docs.columns]
+        return mixed.select(*chars)

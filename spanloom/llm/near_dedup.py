@@ -200,3 +200,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     out = sketched.select("doc_id", "n", "cid").join(named, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns, whatever their names.
+
+    Rows that go are named by their id, so rows that share an id stay or go together. Rows with a null id stay unless
+    they are linked with a row that has one.
+    """
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    lost = near_duplicates(keyed, scratch, size, percent).where("not kept").select(F.col("doc_id").alias("_near_id")).distinct()
+    lost = scratch.save(lost, "lost")
+    side = F.broadcast(lost) if lost.count() <= MAX_BROADCAST else lost
+    return docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")), "left_anti")

@@ -64,3 +64,17 @@ def test_permutation(spark):
 
 def test_empty(spark):
     assert mixing.Mix(spark.createDataFrame([], DDL)).taken().count() == 0
+
+
+def test_documents_of_the_mix(spark):
+    data = [r for r in rows() if r[0] is not None]
+    df = spark.createDataFrame([(r[0], r[1] and " ".join(f"w{r[0]}_{k}" for k in range(len(r[1].split()))), r[2], "keep", 3, 4) for r in data], DDL)
+    taken = mixing.Mix(df, block_words=32, shard_slots=64).taken().groupBy("id", "source").agg(F.sum("taken").alias("taken")).collect()
+    out = mixing.Mix(df, block_words=32, shard_slots=64).documents()
+    assert out.columns == df.columns
+    got = defaultdict(int)
+    for r in out.collect():
+        words = r.text.split()
+        assert words and words == sorted(set(words), key=lambda w: int(w.rpartition("_")[2])) and r["size"] == "keep"
+        got[r.doc_id, r.source] += len(words)
+    assert {k: v for k, v in got.items()} == {(r.id, r.source): r.taken for r in taken if r.taken}
