@@ -16,10 +16,12 @@ from .common import Scratch, Words, key64, mix, pieces, text_of
 GRAM = 8
 #: Windows of a segment; their marks fit the bits of a positive long.
 MOST_WINDOWS = 62
-#: Text of a reference shard in bytes, about.
-SHARD_BYTES = 300_000
-#: Anchors with more different segments than this are cut into single windows, so that no shard depends on one anchor.
-HOT_SEGMENTS = 500
+#: Words of a reference shard, about.
+SHARD_WORDS = 50_000
+#: Anchors with more different segments than this are cut into single windows, so that no shard depends on one anchor. The
+#: limit grows with the segments so that there are MOST_HOT such anchors at most (4 MB), which bounds what is broadcast.
+HOT_SEGMENTS = 1000
+MOST_HOT = 500_000
 #: The filter of repeated anchors has 2^20 to 2^28 bits (32 MB), which bounds what is collected and broadcast.
 FILTER_BITS = (20, 28)
 
@@ -153,12 +155,12 @@ def _anchor_counts(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor bigint, n bigint")
 
 
-def _filter(repeated: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit map of the repeated anchors, and the number of its bits as a power of two."""
-    n = repeated.count()
+def _filter(values: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit map of a column of hashes, and the number of its bits as a power of two."""
+    n = values.count()
     power = int(np.clip(np.ceil(np.log2(max(1, 16 * n))), *FILTER_BITS))
-    slot = F.shiftrightunsigned("anchor", 64 - power) + 1  # bucket b holds the numbers (b - 1) * 32768 + 1 .. b * 32768
-    parts = repeated.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    slot = F.shiftrightunsigned(F.col(values.columns[0]), 64 - power) + 1  # bucket b holds the numbers (b - 1) * 32768 + 1 .. b * 32768
+    parts = values.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     size = 1 << (power - 3)
     out = np.zeros(size, np.uint8)
     for r in parts.toLocalIterator():
@@ -167,39 +169,51 @@ def _filter(repeated: DataFrame) -> tuple[np.ndarray, int]:
     return out, power
 
 
-def _segments(docs: DataFrame, size: int, bits: np.ndarray, power: int) -> DataFrame:
-    """(key, first, windows, inner, anchor, hi, lo, content) of the segments whose anchor passes the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+def _in(values: np.ndarray, bits: np.ndarray, power: int) -> np.ndarray:
+    slot = (values.view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _segments(docs: DataFrame, size: int, anchors: tuple[np.ndarray, int], needed: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """The segments whose anchor passes the filter: (key, first, windows, inner, anchor, hi, lo); with a second filter, on
+    hi, (anchor, hi, lo, content) of those that pass both, once for each piece of input."""
+    sent = docs.sparkSession.sparkContext.broadcast((anchors, needed))
 
     def run(batches):
-        keep = sent.value
+        by_anchor, by_content = sent.value
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             keys = batch.column("key").to_numpy()
             for i, j in pieces(texts):
                 s = Segments(texts[i:j], size)
-                slot = (s.anchor.view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)
-                own = np.flatnonzero(keep[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                own = np.flatnonzero(_in(s.anchor, *by_anchor))
                 for a in range(0, len(own), 20_000):
                     part = own[a : a + 20_000]
                     content = [s.content(k, size) for k in part]
                     digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, content)), ">i8").astype(np.int64).reshape(-1, 2)
-                    cols = [keys[i + s.doc[part]], s.first[part].astype(np.int32), s.count[part].astype(np.int32), s.times[part] > 1, s.anchor[part], digest[:, 0], digest[:, 1]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(content, pa.binary())], ["key", "first", "windows", "inner", "anchor", "hi", "lo", "content"])
-
-    return docs.mapInArrow(run, "key bigint, first int, windows int, inner boolean, anchor bigint, hi bigint, lo bigint, content binary")
-
-
-def _marks(table: pa.Table, size: int) -> pa.Table:
-    """The repeated windows of one shard's segments (hi, lo, n, content), as bits."""
-    content, n = table.column("content").to_pylist(), table.column("n").to_pylist()
-    words = [c.split(b" ") for c in content]
+                    if by_content is None:
+                        cols = [keys[i + s.doc[part]], s.first[part].astype(np.int32), s.count[part].astype(np.int32), s.times[part] > 1, s.anchor[part], digest[:, 0], digest[:, 1]]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["key", "first", "windows", "inner", "anchor", "hi", "lo"])
+                    else:
+                        _, once = np.unique(digest, axis=0, return_index=True)
+                        once = once[_in(np.ascontiguousarray(digest[once, 0]), *by_content)]
+                        cols = [s.anchor[part][once], digest[once, 0], digest[once, 1]]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([content[k] for k in once], pa.binary())], ["anchor", "hi", "lo", "content"])
+
+    return docs.select("key", "text").mapInArrow(run, "anchor bigint, hi bigint, lo bigint, content binary" if needed else "key bigint, first int, windows int, inner boolean, anchor bigint, hi bigint, lo bigint")
+
+
+def _marks(counts: pa.Table, contents: pa.Table, size: int) -> pa.Table:
+    """The repeated windows of one shard's segments, as bits, from counts (hi, lo, n) and contents (hi, lo, content)."""
+    text = dict(zip(zip(contents.column("hi").to_pylist(), contents.column("lo").to_pylist(), strict=True), contents.column("content").to_pylist(), strict=True))
+    keys = list(zip(counts.column("hi").to_pylist(), counts.column("lo").to_pylist(), strict=True))
+    words = [text[k].split(b" ") for k in keys]
     automaton = Automaton()
-    for w, times in zip(words, n, strict=True):
+    for w, times in zip(words, counts.column("n").to_pylist(), strict=True):
         automaton.add(w, times)
     automaton.close()
     marks = [sum(1 << first for first, times in automaton.occurrences(w, size) if times > 1) for w in words]
-    return pa.table({"hi": table.column("hi"), "lo": table.column("lo"), "marks": pa.array(marks, pa.int64())})
+    return pa.table({"hi": counts.column("hi"), "lo": counts.column("lo"), "marks": pa.array(marks, pa.int64())})
 
 
 def _single_windows(segments: DataFrame, size: int) -> DataFrame:
@@ -230,7 +244,7 @@ def _covered(n: int, firsts, marks, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, size: int = 35, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, size: int = 35, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): words left of every row's text after all repeated passages are taken out.
 
     A word goes if some window of size consecutive words that covers it occurs twice or more in the corpus, in one text or in
@@ -238,7 +252,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, size: int = 35, id_col: st
 
     Windows are routed by anchor, the least hash of the grams in them, so equal windows have equal anchors. Neighbouring
     windows with one anchor are a segment, and every window is in one segment. A first scan counts anchors; a second
-    sends on only the segments whose anchor repeats (a filter of bounded size lets some others pass). Different segments,
+    gives hashes of only the segments whose anchor repeats (a filter of bounded size lets some others pass); a third the
+    words of those whose anchor has different segments, once for each piece of input. Different segments,
     with the number of their copies, are the reference; shards of it are cut by anchor, each shard's suffix automaton is built
     where it is used, and the shard's segments are streamed through it for matching statistics: a match of size words that
     ends in a state with two or more places marks its window. Segments with copies are marked whole. Anchors with very many different segments are
@@ -250,23 +265,30 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, size: int = 35, id_col: st
     docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", key64("doc_id", "text"))
     anchors = _anchor_counts(docs, size).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     anchors = scratch.save(anchors, "anchors")
-    found = scratch.save(_segments(docs.select("key", "text"), size, *_filter(anchors)), "segments")
+    by_anchor = _filter(anchors)
     scratch.drop(anchors)
-    different = found.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"), F.first("inner").alias("inner"), F.first("content").alias("content"))
+    found = scratch.save(_segments(docs, size, by_anchor), "segments")
+    different = found.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"), F.first("inner").alias("inner"))
     different = scratch.save(different, "different")
-    per_anchor = scratch.save(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("content")).alias("bytes"), F.bool_or("inner").alias("inside")).where("segments > 1 or inside"), "per_anchor")
-    total = per_anchor.where(F.col("segments") <= hot_segments).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
-    open_ = different.join(per_anchor.drop("bytes", "inside"), "anchor")
-    shards = max(1, total // shard_bytes)
-    shared = open_.where(F.col("segments") <= hot_segments).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    marked = shared.select("shard", "hi", "lo", "n", "content").groupBy("shard").applyInArrow(lambda t: _marks(t, size), "hi bigint, lo bigint, marks bigint")
-    windows = scratch.save(_single_windows(open_.where(F.col("segments") > hot_segments).select("hi", "lo", "n", "content"), size), "windows")
+    hot_from = max(hot_segments, different.count() // MOST_HOT)
+    per_anchor = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("windows") + size).alias("words"), F.bool_or("inner").alias("inside"))
+    per_anchor = scratch.save(per_anchor.where("segments > 1 or inside"), "per_anchor")
+    words = per_anchor.where(F.col("segments") <= hot_from).agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.broadcast(per_anchor.where(F.col("segments") > hot_from).select("anchor"))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, words // shard_words))).alias("shard")
+    needed = scratch.save(different.join(per_anchor.select("anchor"), "anchor").select("hi", "lo", "n", "anchor"), "needed")
+    contents = scratch.save(_segments(docs, size, by_anchor, _filter(needed.select("hi"))), "contents")
+    counts = needed.join(hot, "anchor", "left_anti").select(shard, "hi", "lo", "n")
+    texts = contents.join(hot, "anchor", "left_anti").select(shard, "hi", "lo", "content")
+    marked = counts.groupBy("shard").cogroup(texts.groupBy("shard")).applyInArrow(lambda a, b: _marks(a, b, size), "hi bigint, lo bigint, marks bigint")
+    cut = contents.join(hot, "anchor", "left_semi").select("hi", "lo", "content").join(needed.select("hi", "lo", "n"), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
+    windows = scratch.save(_single_windows(cut, size), "windows")
     again = scratch.save(windows.groupBy("whi", "wlo").agg(F.sum("n").alias("times")).where("times > 1").select("whi", "wlo"), "again")
     cut = windows.join(again, ["whi", "wlo"]).groupBy("hi", "lo").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("marks"))
     copied = different.where("n > 1").select("hi", "lo", F.expr("shiftleft(1L, windows) - 1").alias("marks"))
     marks = marked.unionByName(cut).unionByName(copied).groupBy("hi", "lo").agg(F.bit_or("marks").alias("marks")).where("marks <> 0")
     marks = scratch.save(marks, "marks")
-    scratch.drop(windows, again, per_anchor, different)
+    scratch.drop(windows, again, per_anchor, different, needed, contents)
     places = found.select("key", "first", "hi", "lo").join(marks, ["hi", "lo"]).groupBy("key").agg(F.collect_set(F.struct("first", "marks")).alias("places"))
     places = scratch.save(places.select("key", F.col("places.first").alias("firsts"), F.col("places.marks").alias("marks")), "places")
     scratch.drop(found, marks)
