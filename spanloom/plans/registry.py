@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from . import queries_text, queries_dictionary
+
 FLAGSHIP = "dict_summary"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for part in (queries_text, queries_dictionary):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
