@@ -52,7 +52,7 @@ ml AS (SELECT doc_id, idx, start, end_, term, CASE WHEN (doc_id + idx) % 2 = 0 T
               0.5 + ((31 * doc_id + idx) % 50) / 100.0::DOUBLE AS confidence FROM wp WHERE (doc_id + idx) % 17 = 0),
 gold AS (SELECT doc_id, idx, start, CASE WHEN idx % 5 = 0 THEN start + length(tok) ELSE end_ END AS end_,
                 CASE WHEN idx % 5 = 0 THEN tok ELSE term END AS term, CASE WHEN (doc_id + idx) % 4 < 2 THEN 'IT_TERM' ELSE 'CLERICAL_TERM' END AS label
-         FROM wp WHERE (doc_id + idx) % 34 = 0 OR (doc_id + idx) % 51 = 1)"""
+         FROM wp WHERE (doc_id + idx) % 34 = 0 OR (doc_id + idx) % 51 < 2)"""
 
 
 def word_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def ml_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def gold_spans(spark: SparkSession, d: str) -> DataFrame:
     """Stand-in for annotations: (doc_id, idx, start, end, term, label)."""
-    p = word_pairs(spark, d).where("(doc_id + idx) % 34 = 0 or (doc_id + idx) % 51 = 1")
+    p = word_pairs(spark, d).where("(doc_id + idx) % 34 = 0 or (doc_id + idx) % 51 < 2")
     short = F.col("idx") % 5 == 0
     label = F.when((F.col("doc_id") + F.col("idx")) % 4 < 2, "IT_TERM").otherwise("CLERICAL_TERM")
     return p.select("doc_id", "idx", "start", F.when(short, F.col("start") + F.length("tok")).otherwise(F.col("end")).alias("end"), F.when(short, F.col("tok")).otherwise(F.col("term")).alias("term"), label.alias("label"))
