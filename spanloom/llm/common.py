@@ -1,14 +1,16 @@
-"""Shared pieces: tables in the shared folder, byte-level word splitting and hashing in numpy."""
+"""Shared pieces: byte-level word splitting and hashing in numpy."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.scratch import Scratch
+
+__all__ = ["Scratch", "WORD", "Words", "crc_mod", "key64", "mix", "pieces", "text_of"]
+
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -17,43 +19,6 @@ U64 = np.uint64
 _P1, _P2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
-class Scratch:
-    """Intermediate tables of one operator call, as Parquet below spark.checkpoint.dir.
-
-    A written table cuts the lineage and outlives lost executors. The folder is the
-    one that the session names in spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a folder is chosen here. Tables that the returned DataFrame still reads
-    stay; those that are used up are removed with drop().
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "/tmp/spanloom-scratch"
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df and return a DataFrame that reads what was written."""
-        self.n += 1
-        path = f"{self.root}/{self.n}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame | None) -> None:
-        """Remove tables written by save() that nothing reads any more."""
-        jvm = self.spark._jvm
-        for df in frames:
-            path = getattr(df, "_scratch_path", None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix
-from .components import connected_components
+from ..operators.components import connected_components
 
 #: Tables, E8 lattices (of eight dimensions each) in a table's key, cells probed beside a vector's own, and the size of a cell.
 TABLES, LATTICES, PROBES, SCALE = 6, 2, 8, 2.0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import setsketch
 from .common import Scratch, pieces, text_of
-from .components import connected_components
+from ..operators.components import connected_components
 from .setsketch import Shingles
 
 #: Pairs whose estimate is this far below the threshold are not verified (six standard errors of 128 registers).
