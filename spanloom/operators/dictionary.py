@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import TRAILING_TRIM
 from ..functions.labels import ACCEPTED
-from ..functions.text import WORD_RUN, tokens
+from ..functions.text import TOKEN, WORD_RUN, tokens
 
 #: Dictionaries are broadcast up to this many terms and joined by shuffle beyond.
 MAX_BROADCAST_TERMS = 200_000
@@ -28,31 +30,75 @@ def small(df: DataFrame, limit: int = MAX_BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def match_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def match_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", limit: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """Every place of every term: (key, start, end, term, label, ord, n_tokens), before any selection.
 
     terms: (term, label, ord). A term matches in any case where its tokens stand in a row and no word character touches
     it: ends that are words are whole tokens already, at other ends the neighbouring token must not be a word. term is the
     surface as it stands in the text.
+
+    A dictionary of at most limit terms is sent to the texts, which are read once and not shuffled. A larger one is joined with the
+    token table on whole n-grams.
     """
+    listed = terms.select("term", "label", "ord")
+    few = listed.limit(limit + 1).collect()
+    return match_by_scan(docs, few, key, text) if len(few) <= limit else match_by_join(docs, listed, key, text)
+
+
+def match_by_scan(docs: DataFrame, terms: Sequence, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """match_terms with the dictionary, a few rows (term, label, ord), at hand in every task."""
+    sent = docs.sparkSession.sparkContext.broadcast([(t.term, t.label, t.ord) for t in terms])
+    kind = docs.schema[key].dataType.simpleString()
+    names = [key, "start", "end", "term", "label", "ord", "n_tokens"]
+
+    def run(batches):
+        split, word = regex.compile(TOKEN).findall, regex.compile(WORD_RUN).fullmatch
+        by_first: dict[str, list] = {}
+        for term, label, ord_ in sent.value:
+            toks = split(term.lower())
+            if toks:
+                by_first.setdefault(toks[0], []).append((toks, not word(toks[0]), not word(toks[-1]), label, ord_))
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(7)]
+            for n, t in enumerate(batch.column(text).to_pylist()):
+                if not t:
+                    continue
+                toks = split(t)
+                low = [x.lower() for x in toks]
+                starts = None
+                for i, w in enumerate(low):
+                    for own, open_, close, label, ord_ in by_first.get(w, ()):
+                        j = i + len(own)
+                        if low[i:j] != own or (open_ and i and word(toks[i - 1])) or (close and j < len(toks) and word(toks[j])):
+                            continue
+                        starts = starts or [0, *itertools.accumulate(map(len, toks))]
+                        for col, v in zip(rows, (n, starts[i], starts[j], "".join(toks[i:j]), label, ord_, len(own)), strict=True):
+                            col.append(v)
+            ids = batch.column(key).take(pa.array(rows[0], pa.int64()))
+            cols = [pa.array(c, k) for c, k in zip(rows[1:], (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, *cols], names)
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, start int, end int, term string, label string, ord int, n_tokens int")
+
+
+def match_by_join(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """match_terms by an equi-join of n-grams of the token table, for dictionaries of any size."""
     t = terms.select("label", "ord", F.transform(tokens("term"), F.lower).alias("toks")).where("size(toks) > 0")
     t = t.withColumn("n_tokens", F.size("toks")).withColumn("gram", F.array_join("toks", ""))
     word = lambda c: c.rlike(f"^{WORD_RUN}$")
     t = t.withColumn("open", ~word(F.col("toks")[0])).withColumn("close", ~word(F.element_at("toks", -1))).drop("toks")
     sizes = sorted(r.n_tokens for r in t.select("n_tokens").distinct().collect())  # a row for each length of a term
     if not sizes:
-        return token_table(docs, key, text).limit(0).select(key, "start", F.col("start").alias("end"), F.lit("").alias("term"), F.lit("").alias("label"), F.lit(0).alias("ord"), F.lit(0).alias("n_tokens"))
+        return match_by_scan(docs, [], key, text)
     order = Window.partitionBy(key).orderBy("idx")
-    ahead = order.rowsBetween(0, sizes[-1])
-    rows = token_table(docs, key, text).withColumn("next", F.collect_list("tok").over(ahead)).withColumn("before", F.lag("tok").over(order))
+    rows = token_table(docs, key, text).withColumn("next", F.collect_list("tok").over(order.rowsBetween(0, sizes[-1]))).withColumn("before", F.lag("tok").over(order))
     grams = F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice("next", 1, n), "").alias("surface"), F.try_element_at("next", F.lit(n + 1)).alias("after")) for n in sizes])
     rows = rows.where(~F.col("tok").rlike(r"^[ \t\n\r\f]+$")).select(key, "start", "before", F.explode(grams).alias("g"))
-    rows = rows.withColumn("gram", F.lower("g.surface"))
-    t = small(t)
-    hit = rows.join(t, (rows["gram"] == t["gram"]) & (rows["g.n"] == t["n_tokens"]))
+    rows = rows.withColumn("_gram", F.lower("g.surface"))
+    hit = rows.join(t, (F.col("_gram") == F.col("gram")) & (F.col("g.n") == F.col("n_tokens")))
     touches = (F.col("open") & F.coalesce(word(F.col("before")), F.lit(False))) | (F.col("close") & F.coalesce(word(F.col("g.after")), F.lit(False)))
     hit = hit.where(~touches)
-    return hit.select(key, "start", (F.col("start") + F.length("g.surface")).alias("end"), F.col("g.surface").alias("term"), "label", "ord", "n_tokens")
+    return hit.select(key, "start", (F.col("start") + F.length("g.surface")).alias("end"), F.col("g.surface").alias("term"), "label", F.col("ord").cast("int").alias("ord"), "n_tokens")
 
 
 def greedy(spans: DataFrame, order: Sequence[Column], key: str = "doc_id") -> DataFrame:

@@ -30,6 +30,9 @@ hits AS (SELECT doc_id, start, CASE WHEN n = 1 THEN tok ELSE three END AS surfac
 QUERIES["dict_candidates"] = lambda spark, d: D.match_terms(docs(spark, d), terms(spark, d)).select("doc_id", "start", "end", "term", "label")
 ORACLE_SQL["dict_candidates"] = f'WITH {HITS_SQL} SELECT doc_id, start, start + length(surface) AS "end", surface AS term, label FROM hits'
 
+QUERIES["dict_candidates_join"] = lambda spark, d: D.match_by_join(docs(spark, d), terms(spark, d)).select("doc_id", "start", "end", "term", "label")
+ORACLE_SQL["dict_candidates_join"] = ORACLE_SQL["dict_candidates"]
+
 #: A greedy choice in SQL: hits in order are folded into the list of those taken.
 GREEDY_SQL = """
 {name}_l AS (SELECT doc_id, list({{'s': start, 'e': start + length(surface), 't': surface, 'l': label}} ORDER BY {order}) AS h FROM hits GROUP BY doc_id),
