@@ -149,7 +149,7 @@ def _columns(text_col: str, chars_col: str | None) -> list[Column]:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", text_col: str = "text", chars_col: str | None = "n_chars", per_class: int = PER_CLASS) -> Machine:
     """Fit on a bounded sample of the labelled rows that learn marks; features are made on the executors."""
-    sample = labelled_sample(docs, labels, label_col, learn, per_class).select("y", "share", *_columns(text_col, chars_col))
+    sample = labelled_sample(docs, labels, label_col, learn, per_class).select(F.col("_y").alias("y"), F.col("_share").alias("share"), *_columns(text_col, chars_col))
 
     def run(batches):
         def build(rest, row, feat, value, n):

@@ -24,6 +24,8 @@ LEAST_TEXTS = 5
 DAMP = 10.0
 DIM, HIDDEN = 8, 8
 EPOCHS, BATCH = 8, 256
+#: Steps of the optimiser at least; small samples are gone through more often, up to so many times.
+LEAST_STEPS, MOST_EPOCHS = 300, 60
 #: Windows of a clean document that are learnt from: the most suspect one and this many others.
 OTHERS = 2
 
@@ -255,9 +257,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
         return np.flatnonzero((rank == 0) | ((y[doc] == 0) & ((rank == 1) | other)))
 
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k != "prior"}
-    step = 0
-    for epoch in range(epochs):
+    step, epoch, most = 0, 0, epochs
+    while epoch < most:
         use = chosen(by_odds if epoch == 0 else by_network)
+        if epoch == 0:
+            most = max(epochs, min(MOST_EPOCHS, -(-LEAST_STEPS // max(1, -(-len(use) // BATCH)))))
         target = y[doc[use]].astype(np.float32)
         shuffled = rnd.permutation(len(use))
         for i in range(0, len(use), BATCH):
@@ -285,18 +289,19 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
             for k in sizes:
                 g[k][0] = 0
             step += 1
-            rate = 0.01 * (1 - epoch / epochs) + 0.0005
+            rate = 0.01 * (1 - epoch / most) + 0.0005
             for k, (a, b) in moments.items():
                 grad = g[k].astype(np.float32)
                 a += 0.1 * (grad - a)
                 b += 0.01 * (grad * grad - b)
                 p[k] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        epoch += 1
     return net
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", text_col: str = "text", per_class: int = PER_CLASS) -> Network:
     """Fit on a bounded sample of the labelled rows that learn marks (per_class whole texts of each class, about)."""
-    sample = labelled_sample(docs, labels, label_col, learn, per_class).select("y", F.coalesce(F.col(text_col), F.lit("")).alias("text")).toPandas()
+    sample = labelled_sample(docs, labels, label_col, learn, per_class).select(F.col("_y").alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).toPandas()
     sample = sample.sort_values(["text", "y"], kind="stable")
     return fit(sample["text"].tolist(), sample["y"].tolist())
 
