@@ -69,8 +69,8 @@ def model_entities(preds: DataFrame, known: DataFrame | None, accept_from: float
 
 def beam_confidence(beams: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans with the sum of the probabilities p of the beams (key, beam, start, end, category, p) that hold an overlapping span of the label, clamped."""
-    met = overlap_join(spans, beams, key).where("r_category is null or r_category = category")
-    once = met.groupBy(*spans.columns, "r_beam").agg(F.max("r_p").alias("p"))
+    met = overlap_join(spans, beams, key)
+    once = met.groupBy(*spans.columns, "r_beam").agg(F.max(F.when(F.col("r_category") == F.col("category"), F.col("r_p"))).alias("p"))
     return once.groupBy(*spans.columns).agg(L.clamp_confidence(F.sum("p")).alias("confidence"))
 
 

@@ -12,8 +12,6 @@ from ..operators import mining as M
 from ..operators import report as R
 from ..operators import synth as Y
 from ..operators.metrics import classify_status
-from ..operators.resolve import model_entities
-from ..operators.summary import batch_rows, review_flag
 from ..sources.tables import table
 from ..streaming.extract import guard
 from .inputs import PAIRS_SQL, TERMS_SQL, TOK_SQL, docs, gold_spans, ml_spans, terms
@@ -169,27 +167,6 @@ ELSE concat_ws(' | ', CASE WHEN pred_start > gold_start THEN 'prefix missed ' ||
                       CASE WHEN gold_end > pred_end THEN 'suffix missed ' || (gold_end - pred_end) WHEN gold_end < pred_end THEN 'suffix added ' || (pred_end - gold_end) END) END AS explained FROM st"""
 
 
-def align_models(spark, d):
-    """Errors of three stand-in models: predictions of all, of confident, and of very confident spans."""
-    g, p = entity_pairs(spark, d)
-
-    def errors(least: float):
-        s = classify_status(g, p.where(F.col("confidence") >= least))
-        return s.groupBy("doc_id").agg(F.count_if(F.col("status") != "correct").alias("errors"))
-
-    return R.align_models(errors(0.0), errors(0.7), errors(0.9))
-
-
-QUERIES["align_models"] = align_models
-
-
-def review_documents(spark, d):
-    known = terms(spark, d).select("term")
-    e = model_entities(ml_spans(spark, d), known)
-    return batch_rows(e).join(review_flag(e), "doc_id")
-
-
-QUERIES["review_documents"] = review_documents
 QUERIES["request_guard"] = lambda spark, d: guard(docs(spark, d), 5000).select("doc_id", "reject_reason")
 ORACLE_SQL["request_guard"] = f"SELECT doc_id, CASE WHEN {STRIP} = '' THEN 'blank' WHEN length(text) > 5000 THEN 'too_long' END AS reject_reason FROM documents"
 
