@@ -20,6 +20,8 @@ BINS = 16
 STATS = 14
 FEATURES = (1 << WORD_BITS) + STATS * BINS
 EPOCHS = 6
+#: Words of fewer learnt texts weigh nothing.
+LEAST_TEXTS = 3
 
 _kind = np.zeros((5, 256), bool)
 _kind[0, ord("A") : ord("Z") + 1] = True
@@ -108,6 +110,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int, float]], epochs: int = EPO
     if len({r[2] for r in rows}) < 2:
         m.v[:] = 0
         return m
+    held = np.bincount(np.concatenate([r[0] for r in rows]), minlength=FEATURES)
+    known = (held >= LEAST_TEXTS) | (np.arange(FEATURES) >= 1 << WORD_BITS) & (held > 0)
+    m.v[~known] = 0
+    rows = [(r[0][k], r[1][k], *r[2:]) for r in rows for k in (known[r[0]],)]
     params = [m.w, m.v]
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     mean, step = total / len(rows), 0
