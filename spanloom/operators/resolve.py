@@ -134,7 +134,6 @@ def merge_adjacent(entities: DataFrame, docs: DataFrame, key: str = "doc_id", te
         return F.when(F.coalesce(joins, F.lit(False)), F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), merged)).otherwise(F.array_append(acc, x))
 
     es = grouped.schema["es"].dataType.simpleString()
-    # Runs that can't touch are folded apart, so that the fold's cost stays with the length of a run.
     out = grouped.select(key, F.aggregate("es", F.array().cast(es), step).alias("es"))
     return out.select(key, F.explode("es").alias("e")).select(key, "e.*")
 

@@ -127,6 +127,11 @@ def rounded_report(spark, d):
 
 
 QUERIES["rounded_report"] = rounded_report
+ORACLE_SQL["rounded_report"] = f"""WITH {TOK_SQL}, {PAIRS_SQL},
+k AS (SELECT label, bool_or(side = 'g') AS g, bool_or(side = 'p') AS p FROM (SELECT doc_id, start, end_, label, 'g' AS side FROM gold UNION ALL SELECT doc_id, start, end_, category, 'p' FROM ml) GROUP BY doc_id, start, end_, label),
+c AS (SELECT label, count(*) FILTER (WHERE g AND p)::DOUBLE AS tp, count(*) FILTER (WHERE p) AS np, count(*) FILTER (WHERE g) AS ng FROM k GROUP BY label),
+r AS (SELECT label, round(100 * (tp / np), 2) AS precision, round(100 * (tp / ng), 2) AS recall FROM c)
+SELECT *, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 2) AS f1 FROM r"""
 QUERIES["condition_grid"] = lambda spark, d: M.condition_grid(table(spark, d, "documents").select(F.col("lang").alias("condition")).distinct(), 5)
 ORACLE_SQL["condition_grid"] = "SELECT condition, CAST(fold AS INTEGER) AS fold FROM (SELECT DISTINCT lang AS condition FROM documents), (SELECT unnest(range(5)) AS fold)"
 
