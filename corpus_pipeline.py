@@ -20,8 +20,9 @@ LEAST_LANGUAGE_SHARE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose letters no single language covers by half, go."""
     model = langid.train(docs, crc_mod("doc_id", 5) != 0)
-    labelled = langid.identify(docs, model, [F.col(c) for c in docs.columns])
-    return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(docs.columns)
+    labelled = langid.identify(docs, model, [F.col(c).alias(f"own_{c}") for c in docs.columns])
+    stay = labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE))
+    return stay.select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

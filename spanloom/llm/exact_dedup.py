@@ -82,10 +82,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "exact")
     groups = scratch.save(duplicate_groups(docs, scratch, id_col, text_col, max_words), "marked")
-    lost = groups.where("not kept").select(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("keep_id").eqNullSafe(F.col("id")).alias("_twin"))
-    lost = lost.groupBy("_id", "_sha").agg(F.max("_twin").alias("_twin"))
+    lost = groups.where("not kept").select(F.col("id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha"), F.col("keep_id").eqNullSafe(F.col("id")).alias("_twin"))
+    lost = lost.groupBy("_lost_id", "_lost_sha").agg(F.max("_twin").alias("_twin"))
     tagged = docs.withColumn("_text_sha", F.sha2(text_of(text_col).cast("binary"), 256))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
+    on = F.col(id_col).eqNullSafe(F.col("_lost_id")) & (F.col("_text_sha") == F.col("_lost_sha"))
     stay = tagged.join(lost, on, "left_anti")
     twins = tagged.join(lost.where("_twin"), on, "left_semi").dropDuplicates([id_col, "_text_sha"])
     return stay.unionByName(twins).drop("_text_sha")

@@ -12,9 +12,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: C
     Rows are thinned by a hash of the id, so the sample is the same on every run. _share is the part of its class that
     was taken. Rows with a null label or id are left out; of several labels of one id the largest counts.
     """
-    y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
-    y = y.groupBy("_id").agg(F.max("_y").alias("_y")).withColumnRenamed("_id", id_col).where(learn).withColumnRenamed(id_col, "_id")
+    y = labels.select(F.col(id_col).alias("_sample_id"), F.col(label_col).cast("int").alias("_y")).where("_sample_id is not null and _y in (0, 1)")
+    y = y.groupBy("_sample_id").agg(F.max("_y").alias("_y")).withColumnRenamed("_sample_id", id_col).where(learn).withColumnRenamed(id_col, "_sample_id")
     sizes = {r._y: r.n for r in y.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class
     share = F.when(F.col("_y") == 1, F.lit(min(1.0, per_class / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, per_class / max(1, sizes.get(0, 0)))))
-    few = y.withColumn("_share", share).where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
-    return docs.join(F.broadcast(few), F.col(id_col) == F.col("_id")).drop("_id")
+    few = y.withColumn("_share", share).where(F.pmod(F.xxhash64("_sample_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+    return docs.join(F.broadcast(few), F.col(id_col) == F.col("_sample_id")).drop("_sample_id")

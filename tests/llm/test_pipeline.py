@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 from spanloom.llm import bpe
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, id string"
 
 
 def test_stages_and_run(spark, tmp_path):
@@ -14,10 +14,10 @@ def test_stages_and_run(spark, tmp_path):
     for i in range(240):
         lang = "de" if i % 4 == 0 else "en"
         text = " ".join(rnd.choice(word[lang]) + rnd.choice(["", "", "er", "ing" if lang == "en" else "ung"]) for _ in range(rnd.randrange(30, 90)))
-        rows.append([i, text, lang, f"s{i % 3}", len(text)])
+        rows.append([i, text, lang, f"s{i % 3}", len(text), "a", None, "b"])
     rows[10][1] = rows[11][1] = rows[12][1]
     rows[20][1] = rows[21][1] + " tail"
-    rows += [[300, "12 34 !!", "en", "s0", 8], [301, None, None, None, None], [302, "", "en", "s1", 0]]
+    rows += [[300, "12 34 !!", "en", "s0", 8, "", "", ""], [301, *[None] * 7], [302, "", "en", "s1", 0, "", "", ""]]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "byte_bpe"]
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
