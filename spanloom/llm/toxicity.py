@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import Scratch, pieces
 from .langid import Letters
 from .samples import labelled_sample
 
 #: Labelled documents of each class that are learnt from, about.
 PER_CLASS = 1500
+#: Characters of all learnt texts together, about; longer samples are thinned by a hash of the text.
+MOST_CHARS = 30_000_000
 #: Words of a window, and words from one window's start to the next.
 WINDOW, STRIDE = 48, 36
 WORD_BITS, CHAR_BITS = 20, 16
@@ -300,10 +302,16 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", text_col: str = "text", per_class: int = PER_CLASS) -> Network:
-    """Fit on a bounded sample of the labelled rows that learn marks (per_class whole texts of each class, about)."""
-    sample = labelled_sample(docs, labels, label_col, learn, per_class).select(F.col("_y").alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).toPandas()
-    sample = sample.sort_values(["text", "y"], kind="stable")
-    return fit(sample["text"].tolist(), sample["y"].tolist())
+    """Fit on a bounded sample of the labelled rows that learn marks: per_class whole texts of each class, about, and at
+    most MOST_CHARS characters, about."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = labelled_sample(docs, labels, label_col, learn, per_class).select(F.col("_y").alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = scratch.save(sample, "sample")
+    chars = sample.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    few = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, MOST_CHARS / max(1, chars)) * (1 << 20)).toPandas()
+    scratch.drop(sample)
+    few = few.sort_values(["text", "y"], kind="stable")
+    return fit(few["text"].tolist(), few["y"].tolist())
 
 
 def score(docs: DataFrame, model: Network, keep: list[Column], text_col: str = "text") -> DataFrame:
