@@ -111,6 +111,17 @@ SELECT doc_id, item_id, md5(s) AS doc_sentence, md5(t) AS item_sentence, k / (n
 QUERIES["near_dup_ratio"] = lambda spark, d: S.ratio_pairs(table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("turn_id"), "text"), table(spark, d, "benchmark"), 0.7, "turn_id", "item_id").select("turn_id.conv_id", "turn_id.turn", "item_id", "ratio")
 
 
+def near_dup_sentences(spark, d):
+    """Document sentences with a near-duplicate among the benchmark's sentences, by words, then by sequence ratio."""
+    left = sentences_of(docs(spark, d), "doc_id").distinct().withColumn("left_id", F.struct("doc_id", "text"))
+    right = sentences_of(table(spark, d, "benchmark"), "item_id").distinct().withColumn("right_id", F.struct("item_id", "text"))
+    found = S.word_then_ratio(left, right, "left_id", "right_id")
+    return found.select("left_id.doc_id", F.md5(F.col("left_id.text").cast("binary")).alias("sentence"), "right_id.item_id", "ratio")
+
+
+QUERIES["near_dup_sentences"] = near_dup_sentences
+
+
 def annotated_terms(spark, d):
     """Dictionary terms that equal an annotated surface."""
     return K.covered_terms(terms(spark, d), gold_spans(spark, d)).select("term")
