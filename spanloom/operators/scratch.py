@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where tables go if the session names no folder, on one machine.
+UNSET = "/tmp/spanloom-scratch"
+
+
 class Scratch:
     """Intermediate tables of one operator call, as Parquet below spark.checkpoint.dir.
 
@@ -18,10 +22,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "/tmp/spanloom-scratch"
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or UNSET
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
