@@ -11,6 +11,7 @@ from ..functions import labels as L
 from ..functions.config import LEADING_TRIM, TRAILING_TRIM, TRIM_MARKS
 from ..functions.text import SPACE, is_blank, lower_strip, span_slice, strip
 from .dictionary import dictionary_entities
+from .scratch import Scratch
 
 ENTITY = ["start", "end", "term", "category", "confidence", "source", "status"]
 MODES = ("hybrid", "transformer_only", "entity_ruler_only")
@@ -152,7 +153,8 @@ def extract(docs: DataFrame, preds: DataFrame | None, terms: DataFrame | None, m
     elif mode == "transformer_only":
         found = model_entities(preds, known, accept_from, key)
     else:
-        ml = trim_spans(model_entities(preds, known, accept_from, key), None, key)
-        found, events = resolve_conflicts(ml, dictionary_entities(docs, terms, key, text), key)
+        scratch = Scratch(docs.sparkSession, "extract")  # both sides are read several times below
+        ml = scratch.save(trim_spans(model_entities(preds, known, accept_from, key), None, key), "model")
+        found, events = resolve_conflicts(ml, scratch.save(dictionary_entities(docs, terms, key, text), "dictionary"), key)
     merged = merge_adjacent(found.select(key, *ENTITY), docs, key, text, accept_from=accept_from)
     return trim_spans(merged.select(key, *ENTITY), known, key), events
