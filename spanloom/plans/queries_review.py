@@ -171,13 +171,18 @@ QUERIES["request_guard"] = lambda spark, d: guard(docs(spark, d), 5000).select("
 ORACLE_SQL["request_guard"] = f"SELECT doc_id, CASE WHEN {STRIP} = '' THEN 'blank' WHEN length(text) > 5000 THEN 'too_long' END AS reject_reason FROM documents"
 
 
+def paraphrase_candidates(documents, spans):
+    """Whole documents with an opening as paraphrases of themselves, with all spans in text order."""
+    e = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label"))).alias("entities"))
+    c = documents.select("doc_id", "text").join(e, "doc_id", "left")
+    return c.select(T.source_id("text").alias("source_id"), F.col("doc_id").alias("rank"), F.col("text").alias("source_text"), F.concat(F.lit("So: "), "text").alias("text"), F.coalesce("entities", F.array().cast(Y.SPANS)).alias("entities"))
+
+
 def accepted_paraphrases(spark, d):
-    """Documents in other case as candidates: entities relocated, texts filtered, one for each source."""
-    first = gold_spans(spark, d).groupBy("doc_id").agg(F.min_by(F.struct("start", "end", "label"), "start").alias("e"))
-    c = docs(spark, d).join(first, "doc_id").select(T.source_id("text").alias("source_id"), F.col("doc_id").alias("rank"), F.substring("text", 1, 450).alias("source_text"), F.concat(F.lit("So: "), F.substring("text", 1, 450)).alias("text"), F.array("e").alias("entities"), "e")
-    c = c.where("e.end <= 450").drop("e")
+    """Documents with an opening as candidates: entities relocated, texts filtered, one for each source; a row for each entity, or one with nulls."""
+    c = paraphrase_candidates(docs(spark, d), gold_spans(spark, d))
     out = Y.accept_candidates(c, K.protected_texts([table(spark, d, "benchmark")]), Y.quality_reason(blocked=("the",)))
-    return out.select("source_id", "rank", F.col("entities")[0]["start"].alias("start"), F.col("entities")[0]["end"].alias("end"))
+    return out.select("source_id", "rank", F.explode_outer("entities").alias("e")).select("source_id", "rank", "e.start", "e.end")
 
 
 QUERIES["accepted_paraphrases"] = accepted_paraphrases
