@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import difflib
 import math
+from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,32 +29,95 @@ def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+GRAM = 4
+#: From this length on difflib doesn't look up characters of over a hundredth of the second text.
+LONG = 200
+
+
+@lru_cache(maxsize=128)
+def profile(text: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """A text's distinct n-grams, their numbers, and the numbers of its characters."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    grams = np.zeros(max(0, len(codes) - GRAM + 1), dtype=np.uint64)
+    for i in range(GRAM if len(grams) else 0):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(grams)]
+    return *np.unique(grams, return_counts=True), Counter(text)
+
+
+def most_matched(a: str, b: str) -> int:
+    """An upper bound of the characters that difflib's blocks cover, for a b of LONG characters at least.
+
+    Each block but one at the start of both texts holds a character that difflib looks up, so there are at most `blocks`; each
+    has all but GRAM - 1 of its characters as starts of shared n-grams. Equal hashes of unequal n-grams only raise the bound.
+    """
+    (ga, na, ca), (gb, nb, cb) = profile(a), profile(b)
+    popular = len(b) // 100 + 1
+    blocks = 1 + sum(min(n, ca.get(c, 0)) for c, n in cb.items() if n <= popular)
+    _, i, j = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
+    return int(np.minimum(na[i], nb[j]).sum()) + (GRAM - 1) * blocks
+
+
+def shared_characters(a: str, b: str) -> int:
+    """Characters that both texts hold, with their numbers: another upper bound."""
+    ca, cb = profile(a)[2], profile(b)[2]
+    return sum(min(n, cb.get(c, 0)) for c, n in ca.items())
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by bits; no choice of blocks covers more."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(a) - row.bit_count()
+
+
+def ratio_from(least: float):
+    """ratio_udf, with null where bounds show that the ratio is below least."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        m, last, out = difflib.SequenceMatcher(), None, []
+        for x, y in zip(a, b, strict=True):
+            if x == y:
+                out.append(1.0)
+                continue
+            need = least * (len(x) + len(y)) / 2 - 1e-6
+            if shared_characters(x, y) < need or (len(y) >= LONG and most_matched(x, y) < need) or common_length(x, y) < need:
+                out.append(None)
+                continue
+            if y != last:
+                m.set_seq2(y)
+                last = y
+            m.set_seq1(x)
+            out.append(m.ratio())
+        return pd.Series(out, dtype="float64")
+
+    return ratio
+
+
 def length_bound(a: str, b: str, least: float):
     """Lengths that allow the ratio: 2 min / (min + max) >= least."""
     n, m = F.length(a), F.length(b)
     return 2 * F.least(n, m) >= least * (n + m)
 
 
-def character_bound(a: str, b: str, least: float):
-    """An upper bound of the ratio from the characters that both texts hold, with their numbers."""
-    distinct = lambda x: F.array_distinct(F.split(x, ""))
-    number = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
-    shared = F.aggregate(F.array_intersect(distinct(F.col(a)), distinct(F.col(b))), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(number(F.col(a), c), number(F.col(b), c))))
-    return 2 * shared >= least * (F.length(a) + F.length(b))
-
-
 def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str, right_key: str, text: str = "text", exact: bool = True) -> DataFrame:
     """(left_key, right_key, ratio) of normalised texts whose sequence ratio is at least least.
 
     Texts meet only in neighbouring bands of the logarithm of their lengths: at this ratio the longer is at most (2 - least) / least times the shorter.
-    Bounds by length and by shared characters come before the ratio itself.
+    Bounds by length, by shared characters, by n-grams and by common subsequences come before the ratio itself.
     """
     step = math.log((2 - least) / least) or 1e-9
     band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / step)
     l = left.select(left_key, T.normalise(text).alias("a")).where("a <> ''").withColumn("band", band("a"))  # noqa: E741
     r = right.select(right_key, T.normalise(text).alias("b")).where("b <> ''").withColumn("band", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: band("b") + k)))
-    met = l.join(r, "band").where(length_bound("a", "b", least)).where(character_bound("a", "b", least))
-    return met.select(left_key, right_key, ratio_udf("a", "b").alias("ratio")).where(F.col("ratio") >= least)
+    met = l.join(r, "band").where(length_bound("a", "b", least))
+    return met.select(left_key, right_key, ratio_from(least)("a", "b").alias("ratio")).where(F.col("ratio") >= least)
 
 
 def word_then_ratio(left: DataFrame, right: DataFrame, left_key: str, right_key: str, jaccard: float = 0.6, least: float = 0.7, text: str = "text") -> DataFrame:

@@ -137,13 +137,17 @@ ORACLE_SQL["condition_grid"] = "SELECT condition, CAST(fold AS INTEGER) AS fold
 
 
 def fold_pools(spark, d):
-    """Pools of fold 0: real documents, cut copies as paraphrases of every seventh, turns as generated texts; sizes and removals."""
+    """Pools of each of five folds: real documents, all of them with their number added as paraphrases, turns as generated texts; sizes and removals."""
     real = docs(spark, d).select("doc_id", "text")
     folds = P.stratified_folds(docs(spark, d).select("doc_id", "lang"), "lang", 5)
-    para = real.where("doc_id % 7 = 0").select(T.source_id("text").alias("source_id"), F.col("doc_id").alias("para_id"), F.col("text").alias("source_text"), F.concat(F.left("text", F.lit(150)), F.lit(" "), F.col("doc_id").cast("string")).alias("text"))
-    pool, removed, _ = P.fold_pools(real, folds, 0, para, table(spark, d, "conversations").select("text"))
-    a = pool.groupBy(F.col("pool").alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    return a.unionByName(removed.groupBy(F.concat(F.lit("removed_by_"), "reason").alias("part")).agg(F.count(F.lit(1)).alias("n")))
+    para = real.select(T.source_id("text").alias("source_id"), F.col("doc_id").alias("para_id"), F.col("text").alias("source_text"), F.concat_ws(" ", "text", F.col("doc_id").cast("string")).alias("text"))
+    out = None
+    for fold in range(5):
+        pool, removed, _ = P.fold_pools(real, folds, fold, para, table(spark, d, "conversations").select("text"))
+        a = pool.groupBy(F.col("pool").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        both = a.unionByName(removed.groupBy(F.concat(F.lit("removed_by_"), "reason").alias("part")).agg(F.count(F.lit(1)).alias("n"))).select(F.lit(fold).alias("fold"), "part", "n")
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 QUERIES["fold_pools"] = fold_pools

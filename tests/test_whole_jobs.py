@@ -1,9 +1,14 @@
 """Queries over small tables of their own, against brute force: no document, span or candidate is left out."""
 
+import difflib
 import hashlib
+import random
+import re
+from collections import Counter
 
+from spanloom.operators import similarity as S
 from spanloom.operators import synth as Y
-from spanloom.plans import inputs, queries_review
+from spanloom.plans import inputs, queries_corpus, queries_more, queries_review
 
 
 def tables(spark, folder, documents, **others):
@@ -40,3 +45,50 @@ def test_paraphrases_of_whole_documents(spark, tmp_path):
         got.setdefault(r["rank"], set()).add((r.start, r.end))
     assert got == want
     assert max(len(x) for x in want.values()) > 2 and {len(t) > 500 for _, t in documents} == {True, False}
+
+
+def norm(s):
+    return " ".join(s.lower().split())
+
+
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice("etaoinshrdlu" * 3 + "cmfwypvbgkjqxz.,") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+
+
+def changed(rnd, text, n):
+    out = list(text)
+    for _ in range(n):
+        at = rnd.randrange(len(out))
+        out[at : at + rnd.randrange(3)] = rnd.choice(["", "e", "zq", " "])
+    return "".join(out)
+
+
+def test_bounds_of_the_ratio_hold():
+    rnd, kept, cut = random.Random(4), 0, 0
+    for _ in range(300):
+        a = prose(rnd, rnd.randrange(20, 200))
+        b = norm(changed(rnd, a, rnd.randrange(1, len(a) // 6))) if rnd.random() < 0.7 else prose(rnd, rnd.randrange(20, 200))
+        covered = sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        most = min(S.common_length(a, b), S.most_matched(a, b) if len(b) >= S.LONG else len(a))
+        assert covered <= most
+        cut, kept = cut + (most < 0.35 * (len(a) + len(b))), kept + (covered >= 0.35 * (len(a) + len(b)))
+    assert cut > 30 and kept > 30
+
+
+def test_fold_pools_against_brute_force(spark, tmp_path):
+    rnd = random.Random(8)
+    texts = [prose(rnd, 80 + 5 * i) for i in range(14)]
+    texts += [changed(rnd, t, len(t) // 200) for t in texts[:6]] + [changed(rnd, t, len(t) // 3) for t in texts[:6]] + [texts[9], texts[10].upper(), "tiny text"]
+    documents, turns = list(enumerate(texts)), [(0, 0, "user", texts[3]), (0, 1, "user", "A turn"), (1, 0, "user", texts[8])]
+    got = {(r.fold, r.part): r.n for r in queries_more.fold_pools(spark, tables(spark, tmp_path, documents, conversations=turns)).collect()}
+    want = Counter()
+    for fold in range(5):
+        val = [t for i, t in documents if i % 5 == fold]
+        keys = {norm(t) for t in val}
+        by_source = {norm(t) for t in texts} & keys
+        like = lambda p: any(difflib.SequenceMatcher(None, norm(p), norm(v)).ratio() >= 0.7 for v in val)
+        by_similarity = {norm(t) for i, t in documents if norm(t) not in by_source and like(f"{t} {i}")}
+        want |= {(fold, "real"): len(texts) - len(val), (fold, "generated"): sum(t.lower() not in {v.lower().strip() for v in val} for *_, t in turns)}
+        want |= {(fold, "paraphrase"): sum(norm(t) not in by_source | by_similarity for t in texts), (fold, "removed_by_source"): len(by_source), (fold, "removed_by_similarity"): len(by_similarity)}
+    assert got == {k: n for k, n in want.items() if n}
+    assert sum(n for (_, part), n in want.items() if part == "removed_by_similarity") > 5
