@@ -108,7 +108,8 @@ ORACLE_SQL["near_dup_jaccard"] = f"""WITH a AS (SELECT DISTINCT doc_id, unnest({
 x AS (SELECT *, list_distinct(regexp_extract_all(lower(s), '{WORD_RUN}')) AS lw FROM a), y AS (SELECT *, list_distinct(regexp_extract_all(lower(t), '{WORD_RUN}')) AS rw FROM b),
 z AS (SELECT doc_id, item_id, s, t, len(list_intersect(lw, rw)) AS k, len(lw) + len(rw) AS n FROM x JOIN y ON len(lw) > 0 AND len(rw) > 0 AND len(lw) >= 0.6 * len(rw) AND len(rw) >= 0.6 * len(lw))
 SELECT doc_id, item_id, md5(s) AS doc_sentence, md5(t) AS item_sentence, k / (n - k)::DOUBLE AS jaccard FROM z WHERE k / (n - k)::DOUBLE >= 0.6"""
-QUERIES["near_dup_ratio"] = lambda spark, d: S.ratio_pairs(table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("turn_id"), "text"), table(spark, d, "benchmark"), 0.7, "turn_id", "item_id").select("turn_id.conv_id", "turn_id.turn", "item_id", "ratio")
+QUERIES["near_dup_ratio"] = lambda spark, d: S.ratio_pairs(docs(spark, d).select("doc_id", "text"), table(spark, d, "benchmark"), 0.7, "doc_id", "item_id")
+QUERIES["near_dup_turns"] = lambda spark, d: S.ratio_pairs(table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("turn_id"), "text"), table(spark, d, "benchmark"), 0.7, "turn_id", "item_id").select("turn_id.conv_id", "turn_id.turn", "item_id", "ratio")
 
 
 def near_dup_sentences(spark, d):

@@ -92,3 +92,13 @@ def test_fold_pools_against_brute_force(spark, tmp_path):
         want |= {(fold, "paraphrase"): sum(norm(t) not in by_source | by_similarity for t in texts), (fold, "removed_by_source"): len(by_source), (fold, "removed_by_similarity"): len(by_similarity)}
     assert got == {k: n for k, n in want.items() if n}
     assert sum(n for (_, part), n in want.items() if part == "removed_by_similarity") > 5
+
+
+def test_documents_near_benchmark_items(spark, tmp_path):
+    rnd = random.Random(6)
+    items = [(i, prose(rnd, 10 + 8 * i)) for i in range(12)]
+    documents = [(i, changed(rnd, t, len(t) // 15)) for i, t in items] + [(20 + i, t.upper()) for i, t in items] + [(40 + i, prose(rnd, 10 + 9 * i)) for i in range(12)]
+    got = {(r.doc_id, r.item_id): r.ratio for r in queries_corpus.QUERIES["near_dup_ratio"](spark, tables(spark, tmp_path, documents, benchmark=items)).collect()}
+    ratios = {(i, j): difflib.SequenceMatcher(None, norm(t), norm(u)).ratio() for i, t in documents for j, u in items}
+    want = {k: v for k, v in ratios.items() if v >= 0.7}
+    assert got == want and 12 < len(want) < 40
