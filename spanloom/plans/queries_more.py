@@ -58,7 +58,7 @@ SELECT doc_id, start, end_ AS "end", category, CASE WHEN p > 0 THEN round(least(
 
 def quality_reasons(spark, d):
     """Why a document would be rejected as generated text, by its gold spans."""
-    e = gold_spans(spark, d).where("start < 600").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label")).alias("entities"))
+    e = gold_spans(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label")).alias("entities"))
     x = docs(spark, d).select("doc_id", "text").join(e, "doc_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast(Y.SPANS)))
     return x.select("doc_id", Y.quality_reason(blocked=("the",), bare=("of", "a"), longest=1500, endings=(" the", " le"), exempt=("of the",)).alias("reason"))
 

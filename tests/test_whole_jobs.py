@@ -94,6 +94,19 @@ def test_fold_pools_against_brute_force(spark, tmp_path):
     assert sum(n for (_, part), n in want.items() if part == "removed_by_similarity") > 5
 
 
+def test_quality_reasons_read_all_spans(spark, tmp_path):
+    rnd = random.Random(2)
+    documents = [(i, " ".join(rnd.choice("kamor lopin nutar velis dorin".split()) for _ in range(110 + i)) + " " + " ".join(rnd.choice("the of a le kamor".split()) for _ in range(i))) for i in range(60)]
+    d, want = tables(spark, tmp_path, documents), {}
+    spans = gold(spark, d)
+    for i, t in documents:
+        s = [t[x:y].lower() for x, y, _ in spans.get(i, [])]
+        loose = any(x != "of the" and x.endswith((" the", " le")) for x in s)
+        want[i] = "length" if not 10 <= len(t) <= 1500 else "blocked_term" if {"the", "of", "a"} & set(s) else "loose_ending" if loose else None
+    assert {r.doc_id: r.reason for r in queries_more.quality_reasons(spark, d).collect()} == want
+    assert {"blocked_term", "loose_ending", None} <= set(want.values())
+
+
 def test_documents_near_benchmark_items(spark, tmp_path):
     rnd = random.Random(6)
     items = [(i, prose(rnd, 10 + 8 * i)) for i in range(12)]
