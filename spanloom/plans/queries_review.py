@@ -80,10 +80,10 @@ ORACLE_SQL["corpus_overlap"] = f"WITH {VOCAB} {_overlap(1, ', ' + chr(39) + 'voc
 
 
 def curated(spark, d):
-    """Conversation turns as candidates against documents in three roles."""
+    """Conversation turns and all documents as candidates against documents in three roles."""
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), "text")
     own = docs(spark, d)
-    more = own.where("doc_id % 7 = 3").select((F.col("doc_id") + 10_000_000).alias("idx"), "text")
+    more = own.select((F.col("doc_id") + 10_000_000).alias("idx"), "text")
     return Y.curation_reasons(turns.unionByName(more), own.where("doc_id % 3 = 0"), own.where("doc_id % 3 = 1"), own.where("doc_id % 3 = 2"), terms(spark, d), "idx")
 
 

@@ -115,3 +115,22 @@ def test_documents_near_benchmark_items(spark, tmp_path):
     ratios = {(i, j): difflib.SequenceMatcher(None, norm(t), norm(u)).ratio() for i, t in documents for j, u in items}
     want = {k: v for k, v in ratios.items() if v >= 0.7}
     assert got == want and 12 < len(want) < 40
+
+
+def test_every_document_is_curated(spark, tmp_path):
+    rnd = random.Random(7)
+    documents = [(i, " ".join(rnd.choice("filing sheet printer office ledger".split()) for _ in range(rnd.randrange(1, 4)))) for i in range(45)]
+    turns = [(1, i, "user", t) for i, t in enumerate(["own words 12", "some filing", documents[0][1], documents[1][1], documents[2][1], " own words 12 ", "a filing2"])]
+    d = tables(spark, tmp_path, documents, conversations=turns)
+    terms = [r.term for r in inputs.terms(spark, d).collect()]
+    rows = [(c * 1000 + k, t) for c, k, _, t in turns] + [(10_000_000 + i, t) for i, t in documents]
+    first, parts, want = {}, [{t.strip() for i, t in documents if i % 3 == k} for k in range(3)], {}
+    for i, t in rows:
+        first.setdefault(t.strip(), i)
+    for i, t in rows:
+        k = t.strip()
+        held = any(re.search(rf"(^|\W){x}($|\W)", t.lower()) for x in terms)
+        want[i] = "duplicate" if first[k] != i or k in parts[0] else "test_leak" if k in parts[1] else "dev_leak" if k in parts[2] else "accidental_entity" if held else "accept"
+    assert {r.idx: r.reason for r in queries_review.QUERIES["curation_reasons"](spark, d).collect()} == want
+    assert set(want.values()) == {"duplicate", "test_leak", "dev_leak", "accidental_entity", "accept"}
+    assert {r.augmentation_type: r.n for r in queries_review.build_pool(spark, d).collect()} == {"real": 15, "hard_negative": sum(x == "accept" for x in want.values())}
