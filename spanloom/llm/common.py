@@ -1,15 +1,19 @@
-"""Shared pieces: byte-level word splitting and hashing in numpy."""
+"""Shared pieces: working column names, byte-level word splitting and hashing in numpy."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scratch import Scratch
 
-__all__ = ["Scratch", "WORD", "Words", "crc_mod", "key64", "mix", "pieces", "text_of"]
+__all__ = ["Scratch", "WORD", "Words", "crc_mod", "key64", "mix", "pieces", "quoted", "released", "text_of", "unused"]
 
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +28,37 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """The names wanted, each made longer until no column of df has it (names are compared without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as F.col takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not the GNU library
+        return lambda keep: None
+
+
+def released(batches):
+    """Pass batches on; at the end, give freed memory back, since Spark keeps its Python workers for later stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

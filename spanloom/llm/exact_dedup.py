@@ -1,4 +1,4 @@
-"""Exact dedup by two passes over a blocked Bloom filter of repeated hashes (DataFrame functions only)."""
+"""Exact dedup by two passes over Bloom filters of hashes (DataFrame functions only)."""
 
 from __future__ import annotations
 
@@ -7,85 +7,96 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, key64, text_of
+from . import bloom
+from .common import Scratch, key64, quoted, text_of, unused
 
-#: Bits of the filter for each row.
-BITS_PER_ROW = 16
-#: Bits that one hash sets in its 64-bit word.
-BITS_PER_HASH = 4
-#: The filter has so many 64-bit words at most (about 40 MB as a hash relation), which bounds what is broadcast.
-#: A fuller filter lets more rows through to the shuffle; the result stays whole.
-MAX_WORDS = 1 << 20
+#: Slots of the first filter for each row, as a power of two: a unique text shares its slot with another by a chance of 1 in 64.
+SLOTS_PER_ROW = 6
+#: Rows that go are named by broadcast up to this number (16 bytes each); beyond, only rows that pass a filter of them are shuffled.
+MAX_BROADCAST = 1_000_000
 
 
-def _slots(h: Column, words: int) -> tuple[Column, Column]:
-    """The word of the filter that a hash falls in, and the bits it sets there."""
-    mask = None
-    for i in range(BITS_PER_HASH):
-        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_h, {6 * i}) & 63 as int))")
-        mask = bit if mask is None else mask.bitwiseOR(bit)
-    return F.pmod(F.shiftrightunsigned(h, 24), F.lit(words)).cast("long"), mask
+def _sha(text_col: str) -> Column:
+    return F.unhex(F.sha2(text_of(text_col).cast("binary"), 256))
 
 
-def duplicate_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, max_words: int) -> DataFrame:
+    """(id, sha, rid, _top, _n): each row with its group's best row and size."""
+    thin = scratch.save(docs.select(F.col(quoted(id_col)).alias("id"), _sha(quoted(text_col)).alias("sha")).withColumn("rid", F.monotonically_increasing_id()), "hashes")
+    n = thin.count()
+    bits = min(62, max(31, math.ceil(math.log2(max(1, n))) + SLOTS_PER_ROW))
+    slot = F.shiftrightunsigned(key64(F.col("sha")), 64 - bits)
+    slotted = thin.withColumn("slot", slot.cast("int") if bits == 31 else slot)
+    twice = scratch.save(slotted.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot"), "twice")
+    words = bloom.n_words(twice.count())
+    filled = bloom.build(twice, key64(F.col("slot")), words)
+    probed = scratch.save(bloom.probe(slotted, key64(F.col("slot")), filled, words, "_hit", broadcast=words <= max_words).drop("slot"), "probed")
+    scratch.drop(thin, twice)
+    order = F.struct(F.col("id"), F.col("rid"))
+    suspects = probed.where("_hit")
+    groups = scratch.save(suspects.groupBy("sha").agg(F.max(order).alias("_top"), F.count(F.lit(1)).alias("_n")), "groups")
+    large = F.col("_n") > max(1000, n // 1000)
+    out = ["id", "sha", "rid", "_top", "_n"]
+    near = suspects.join(F.broadcast(groups.where(large)), "sha", "left")
+    rest = near.where(F.col("_n").isNull()).drop("_top", "_n").join(groups.where(~large), "sha")
+    alone = probed.where("not _hit").withColumn("_top", order).withColumn("_n", F.lit(1).cast("long"))
+    return alone.select(out).unionByName(near.where(F.col("_n").isNotNull()).select(out)).unionByName(rest.select(out))
+
+
+def duplicate_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", max_words: int = bloom.MAX_WORDS) -> DataFrame:
     """Each row's id, hash and group: (id, text_sha256, keep_id, group_size, kept).
 
-    Texts are equal if identical; null counts as empty. Of a group, the row with the largest
-    id stays; ids that are null rank last, and of rows that agree in id and text one stays.
+    Texts are equal if identical; null counts as empty. Of a group, the row with the largest id stays; ids that are null rank
+    last, and of rows that agree in id and text one stays. Other columns are not read; an empty table gives an empty one.
 
-    Pass 1 finds, for each 64-bit word of a blocked Bloom filter, the bits set by hashes that occur
-    twice or more. Pass 2 tests each row against the filter. Rows that miss it are unique and pass straight
-    through; only the others shuffle. False positives cost a shuffle and change no result. A group with over
+    Pass 1 is a counting Bloom filter with one hash: each text falls in one of 64 slots a row, or more, and the slots are counted, first in each task.
+    What is sent is a number of 31 bits (more only beyond 30 million rows) for each slot in use in a task, never a row. Slots that were
+    hit twice fill a second, blocked filter. Pass 2 tests each row against it: rows that miss it are unique and pass straight
+    through, only the others shuffle. False positives cost a shuffle and change no result. The second filter grows with the number of
+    repeated slots; up to max_words words it is broadcast, beyond that ids and hashes meet it by a shuffle. A group with over
     a thousandth of the rows is sent back by broadcast (there are under a thousand such groups), so its rows
     never meet in one task; counts and maxima are combined before the shuffle.
     """
-    thin = scratch.save(
-        docs.select(F.col(id_col).alias("id"), F.sha2(text_of(text_col).cast("binary"), 256).alias("sha")).withColumn("rid", F.monotonically_increasing_id()),
-        "hashes",
-    )
-    n = thin.count()
-    words = min(max_words, 1 << max(10, math.ceil(math.log2(max(1, n * BITS_PER_ROW / 64)))))
-    word, mask = _slots(F.col("_h"), words)
-    slotted = thin.withColumn("_h", key64(F.col("sha"))).withColumn("_word", word).withColumn("_mask", mask).drop("_h")
-    order = F.struct(F.col("id"), F.col("rid"))
-    groups_of = lambda rows: rows.groupBy("sha").agg(F.max(order).alias("_top"), F.count(F.lit(1)).alias("_n"))
-    twice = (
-        slotted.groupBy("_word", "_mask").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        .groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
-    )
-    probed = slotted.join(F.broadcast(twice), "_word", "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    probed = scratch.save(probed.select("id", "sha", "rid", hit.alias("_hit")), "probed")
-    scratch.drop(thin)
-    suspects = probed.where("_hit")
-    groups = scratch.save(groups_of(suspects), "groups")
-    large = groups.where(F.col("_n") > max(1000, n // 1000))
-    out = ["id", "sha", "rid", "_top", "_n"]
-    near = suspects.join(F.broadcast(large), "sha", "left")
-    rest = near.where(F.col("_n").isNull()).drop("_top", "_n").join(groups.where(F.col("_n") <= max(1000, n // 1000)), "sha")
-    alone = probed.where("not _hit").withColumn("_top", order).withColumn("_n", F.lit(1).cast("long"))
-    every = alone.select(out).unionByName(near.where(F.col("_n").isNotNull()).select(out)).unionByName(rest.select(out))
-    return every.select(
+    return _groups(docs, scratch, id_col, text_col, max_words).select(
         F.col("id"),
         F.col("_top.id").alias("keep_id"),
         F.col("_n").alias("group_size"),
         (F.col("_top.rid") == F.col("rid")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """The rows of docs that stay, with all their columns; see duplicate_groups.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = bloom.MAX_WORDS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The rows of docs that stay, with all their columns, whatever their names; see duplicate_groups.
 
-    The rows that go are few and thin: they are taken away by an anti join on (id, hash of the text). Rows that
-    agree in id and text cannot be told apart, so one of them is taken by a grouping of just those.
+    Texts stay where they are: the rows that go are known by two 64-bit hashes of id and text, and taken away by a
+    broadcast join. Beyond max_broadcast such rows, all rows are tested against a Bloom filter of them; rows that miss it pass
+    straight through and the others meet the list by a shuffle. Rows that agree in id and text cannot be told apart, so one of them is taken by a
+    grouping of just those.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    groups = scratch.save(duplicate_groups(docs, scratch, id_col, text_col, max_words), "marked")
-    lost = groups.where("not kept").select(F.col("id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha"), F.col("keep_id").eqNullSafe(F.col("id")).alias("_twin"))
-    lost = lost.groupBy("_lost_id", "_lost_sha").agg(F.max("_twin").alias("_twin"))
-    tagged = docs.withColumn("_text_sha", F.sha2(text_of(text_col).cast("binary"), 256))
-    on = F.col(id_col).eqNullSafe(F.col("_lost_id")) & (F.col("_text_sha") == F.col("_lost_sha"))
-    stay = tagged.join(lost, on, "left_anti")
-    twins = tagged.join(lost.where("_twin"), on, "left_semi").dropDuplicates([id_col, "_text_sha"])
-    return stay.unionByName(twins).drop("_text_sha")
+    k1, k2, twin, hit, word, bits, sha = unused(docs, "_k1", "_k2", "_twin", "_hit", "_word", "_bits", "_sha")
+    keys = lambda i, s: [F.xxhash64(i, s).alias(k1), F.xxhash64(s, i, F.lit(1)).alias(k2)]
+    groups = _groups(docs, scratch, id_col, text_col, max_words).where("_top.rid <> rid")
+    lost = groups.select(*keys(F.col("id"), F.col("sha")), F.col("_top.id").eqNullSafe(F.col("id")).alias(twin))
+    lost = scratch.save(lost.groupBy(k1, k2).agg(F.max(twin).alias(twin)), "lost")
+    n, twins = lost.agg(F.count(F.lit(1)), F.count_if(twin)).first()
+    if not n:
+        return docs
+    own = F.col(quoted(id_col))
+    rows = docs.withColumn(sha, _sha(quoted(text_col)))
+    rows = rows.withColumns({k1: F.xxhash64(own, F.col(sha)), k2: F.xxhash64(F.col(sha), own, F.lit(1))}).drop(sha)
+    if n <= max_broadcast:
+        marked = rows.join(F.broadcast(lost), [k1, k2], "left")
+        stay = marked.where(F.col(twin).isNull())
+    else:
+        words = min(bloom.n_words(n), bloom.MAX_WORDS)
+        filled = scratch.save(bloom.build(lost, F.col(k1), words, (word, bits)), "filter")
+        tested = bloom.probe(rows, F.col(k1), filled, words, hit, (word, bits))
+        marked = tested.where(hit).drop(hit).join(lost, [k1, k2], "left")
+        stay = tested.where(~F.col(hit)).drop(hit).unionByName(marked.where(F.col(twin).isNull()).drop(twin))
+    stay = stay.select(*[quoted(c) for c in docs.columns])
+    if not twins:
+        return stay
+    again = marked.where(F.col(twin)).dropDuplicates([k1, k2])
+    return stay.unionByName(again.select(*[quoted(c) for c in docs.columns]))
