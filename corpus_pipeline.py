@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from spanloom.llm import bpe, exact_dedup, langid, mixing, near_dedup
-from spanloom.llm.common import Scratch, crc_mod
+from spanloom.llm.common import Scratch, crc_mod, quoted
 
 #: A document is rejected if its main language covers less than this part of its letters.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -20,9 +20,10 @@ LEAST_LANGUAGE_SHARE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose letters no single language covers by half, go."""
     model = langid.train(docs, crc_mod("doc_id", 5) != 0)
-    labelled = langid.identify(docs, model, [F.col(c).alias(f"own_{c}") for c in docs.columns])
+    own = {f"own_{i}": c for i, c in enumerate(docs.columns)}
+    labelled = langid.identify(docs, model, [F.col(quoted(c)).alias(k) for k, c in own.items()])
     stay = labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE))
-    return stay.select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
+    return stay.select(*[F.col(k).alias(c) for k, c in own.items()])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,11 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import pieces
+from .common import pieces, quoted, released, text_of
 
-#: Training documents of each language, about; a larger language is thinned by a hash of the text.
+#: Training documents of each language, about; a larger language is thinned by a hash of id and text.
 TRAIN_DOCS = 2000
+#: Letters, and letters times languages, that are scored at a time, about; and characters whose words are labelled side by side.
+LETTERS, SCORES, SIDE_BY_SIDE = 300_000, 2_000_000, 3_000_000
 #: Buckets of each order of n-grams.
 BITS = 16
 ORDERS = 3
@@ -94,33 +97,39 @@ class Model:
     scripts: np.ndarray  # (scripts, languages): whether a word of the script may be of the language
 
     def words(self, x: Letters) -> np.ndarray:
-        """Scores (words, languages)."""
-        if not len(x.start):
-            return np.zeros((0, len(self.langs)), np.float32)
-        s = sum(self.table[k][b] for k, b in enumerate(x.buckets))
-        s = np.add.reduceat(s, x.word_at, axis=0) * np.float32(TEMPER)
-        return np.where(self.scripts[x.script], s, s.min(1, keepdims=True) - np.float32(1000))
+        """Scores (words, languages), for some words at a time."""
+        out = np.zeros((len(x.start), len(self.langs)), np.float32)
+        edge = np.append(x.word_at, len(x.at))
+        a = 0
+        while a < len(x.start):
+            b = max(a + 1, int(np.searchsorted(edge, edge[a] + SCORES // max(1, len(self.langs)), "right")) - 1)
+            s = sum(self.table[k][g[edge[a] : edge[b]]] for k, g in enumerate(x.buckets))
+            s = np.add.reduceat(s, edge[a:b] - edge[a], axis=0) * np.float32(TEMPER)
+            out[a:b] = np.where(self.scripts[x.script[a:b]], s, s.min(1, keepdims=True) - np.float32(1000))
+            a = b
+        return out
 
 
 def viterbi(e: np.ndarray, bound: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best label of each word under a constant cost of switching, for all texts side by side."""
+    """The best label of each word under a constant cost of switching, for all texts side by side; any number of labels."""
     n = np.diff(bound)
     order = np.argsort(-n, kind="stable")
     start, n = bound[:-1][order], n[order]
-    label = np.zeros(len(e), np.uint8)
+    label = np.zeros(len(e), np.int32)
     if not len(e):
         return label
     live = np.searchsorted(-n, -np.arange(n[0]), "left")  # texts with more than t words
-    back = np.zeros(e.shape, np.uint8)
-    own = np.arange(e.shape[1], dtype=np.uint8)
+    stays = np.zeros(e.shape, bool)  # whether the best way to a label came from the same label,
+    best = np.zeros(len(e), np.int32)  # or else from this one
     v = e[start[: live[0]]]
     for t in range(1, n[0]):
         k = live[t]
         v = v[:k]
-        top = v.max(1, keepdims=True) - np.float32(switch)
         at = start[:k] + t
-        back[at] = np.where(v >= top, own, v.argmax(1).astype(np.uint8)[:, None])
-        v = np.maximum(v, top) + e[at]
+        top = v.argmax(1)
+        least = v[np.arange(k), top][:, None] - np.float32(switch)
+        stays[at], best[at] = v >= least, top
+        v = np.maximum(v, least) + e[at]
         if t + 1 < n[0] and live[t + 1] < k:
             label[at[live[t + 1] :]] = v[live[t + 1] :].argmax(1)
     last = live[n[0] - 1]
@@ -130,27 +139,29 @@ def viterbi(e: np.ndarray, bound: np.ndarray, switch: float = SWITCH) -> np.ndar
         label[one] = e[one].argmax(1)
     for t in range(n[0] - 1, 0, -1):
         at = start[: live[t]] + t
-        label[at - 1] = back[at, label[at]]
+        own = label[at]
+        label[at - 1] = np.where(stays[at, own], own, best[at])
     return label
 
 
-def train(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", per_lang: int = TRAIN_DOCS) -> Model:
-    """Counts n-grams of the rows that learn marks, about per_lang documents of each language."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+def train(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", per_lang: int = TRAIN_DOCS, id_col: str = "doc_id") -> Model:
+    """Counts n-grams of the rows that learn marks: about per_lang documents of each language, by a hash of id and text, and at least
+    one. Rows that agree in both are taken or left together. Counting is distributed; what comes to the driver is a count for each language and bucket."""
+    rows = docs.where(learn & F.col(quoted(lang_col)).isNotNull() & F.col(quoted(text_col)).isNotNull())
+    rows = rows.select(F.col(quoted(lang_col)).alias("lang"), F.col(quoted(text_col)).alias("text"), F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col))).alias("h"))
+    sizes = {r.lang: (r.n, r.h) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h")).collect()}  # a row for each language
     if not sizes:
         return Model([], np.zeros((ORDERS, 1 << BITS, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool))
-    part = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
+    of = lambda value: F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, value(*v))])[F.col("lang")]
+    sample = rows.where((F.pmod("h", F.lit(1 << 20)) < of(lambda n, h: min(1.0, per_lang / n)) * (1 << 20)) | (F.col("h") == of(lambda n, h: h))).drop("h")
 
     def count(batches):
-        for batch in batches:
+        for batch in released(batches):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for lang in sorted(set(langs)):
                 own = [t for a, t in zip(langs, texts, strict=True) if a == lang]
                 total = np.zeros((ORDERS << BITS) + len(SCRIPTS) + 1, np.int64)
-                for i, j in pieces(own, 2_000_000):
+                for i, j in pieces(own, LETTERS):
                     x = Letters(own[i:j])
                     for k, b in enumerate(x.buckets):
                         total[k << BITS : (k + 1) << BITS] += np.bincount(b.astype(np.int64), minlength=1 << BITS)
@@ -175,22 +186,23 @@ def identify(docs: DataFrame, model: Model, keep: list[Column], text_col: str =
     Letters are grouped in words. A word's script leaves the languages that use it; hashed letter n-grams score
     these; Viterbi with a cost for each switch labels all words of the whole text. lang_pred has the most letters (a tie goes to
     the first by name), and score is its share of the letters. Texts that are null or without letters get `und`,
-    score 0 and no spans, and so does every text if there was nothing to learn from. Other columns are not read.
+    score 0 and no spans, and so does every text if there was nothing to learn from. Other columns are not read; an empty table gives an empty
+    one. Rows are labelled one by one, so ties and repeated rows need no rule. Memory grows with the longest text times the languages.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(*keep, text_of(quoted(text_col)).alias("_text"))
     names = rows.columns[:-1]
 
     def run(batches):
         m = sent.value
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column("_text").to_pylist()
             rest = batch.drop_columns(["_text"])
-            for i, j in pieces(texts, 20_000_000):
+            for i, j in pieces(texts, SIDE_BY_SIDE):
                 yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, *label(m, texts[i:j])], [*names, "lang_pred", "score", "spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    found = StructType.fromDDL("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *found.fields]))
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -201,7 +213,7 @@ def label(m: Model, texts: list[str]) -> list[pa.Array]:
     if not m.langs:
         return [pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts)), pa.array([[]] * len(texts), SPANS)]
     scores, sizes, starts, bounds, n = [], [], [], [np.zeros(1, np.int64)], 0
-    for i, j in pieces(texts, 1_000_000):
+    for i, j in pieces(texts, LETTERS):
         x = Letters(texts[i:j])
         scores.append(m.words(x))
         sizes.append(x.size)
@@ -219,7 +231,7 @@ def label(m: Model, texts: list[str]) -> list[pa.Array]:
     total = letters.sum(1)
     top = letters.argmax(1)
     score = letters[np.arange(len(texts)), top] / np.maximum(total, 1)
-    new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(path.astype(np.int16), prepend=-1) != 0))
+    new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(path, prepend=-1) != 0))
     end = np.concatenate([new[1:], [len(path)]]) - 1
     spans: list[list] = [[] for _ in texts]
     for a, b in zip(new.tolist(), end.tolist(), strict=True):
