@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, pieces
+from pyspark.sql.types import StructType
+
+from .common import Scratch, Words, pieces, quoted, released, text_of
 from .samples import labelled_sample
 
-#: Labelled documents of each class that are learnt from, about.
-PER_CLASS = 3000
+#: Labelled documents of each class that are learnt from, and characters of all of them together, about.
+PER_CLASS, MOST_CHARS = 3000, 60_000_000
 WORD_BITS = 15
 FACTORS = 6
 BINS = 16
@@ -141,7 +143,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int, float]], epochs: int = EPO
 
 
 def _batches(batches, build):
-    for batch in batches:
+    for batch in released(batches):
         texts = [t.encode() for t in batch.column("_text").to_pylist()]
         chars = batch.column("_chars").to_pylist()
         rest = batch.drop_columns(["_text", "_chars"])
@@ -149,13 +151,16 @@ def _batches(batches, build):
             yield from build(rest.slice(i, j - i), *features(texts[i:j], chars[i:j]), j - i)
 
 
-def _columns(text_col: str, chars_col: str | None) -> list[Column]:
-    return [F.coalesce(F.col(text_col), F.lit("")).alias("_text"), (F.col(chars_col).cast("long") if chars_col else F.lit(None).cast("long")).alias("_chars")]
+def _chars(chars_col: str | None) -> Column:
+    return (F.col(quoted(chars_col)).cast("long") if chars_col else F.lit(None).cast("long")).alias("_chars")
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", text_col: str = "text", chars_col: str | None = "n_chars", per_class: int = PER_CLASS) -> Machine:
-    """Fit on a bounded sample of the labelled rows that learn marks; features are made on the executors."""
-    sample = labelled_sample(docs, labels, label_col, learn, per_class).select(F.col("_y").alias("y"), F.col("_share").alias("share"), *_columns(text_col, chars_col))
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", text_col: str = "text", chars_col: str | None = "n_chars", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Machine:
+    """Fit on a bounded sample of the labelled rows that learn marks (see samples.labelled_sample): about per_class whole texts of each class and
+    most_chars characters. Features are made on the executors; at least one row of each class is learnt from."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    sample = labelled_sample(docs, labels, label_col, learn, per_class, most_chars, [_chars(chars_col)], scratch, text_col=text_col)
+    sample = sample.select("y", "share", F.col("text").alias("_text"), "_chars")
 
     def run(batches):
         def build(rest, row, feat, value, n):
@@ -172,10 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "q
 def score(docs: DataFrame, model: Machine, keep: list[Column], text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The columns in keep and score (0 to 1, higher: the label 1 is likelier) of every whole text.
 
-    A null text is empty; texts without words are scored by their statistics alone. Rows are scored one by one.
+    A null text is empty; texts without words are scored by their statistics alone, and if there was nothing to learn from, or one class only, all
+    texts get one constant. Rows are scored one by one, so ties and repeated rows need no rule; an empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, *_columns(text_col, chars_col))
+    rows = docs.select(*keep, text_of(quoted(text_col)).alias("_text"), _chars(chars_col))
     names = rows.columns[:-2]
 
     def run(batches):
@@ -184,5 +190,4 @@ def score(docs: DataFrame, model: Machine, keep: list[Column], text_col: str = "
 
         yield from _batches(batches, build)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    return rows.mapInArrow(run, f"{fields}, score double")
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:-2]).add("score", "double"))

@@ -9,16 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces
+from pyspark.sql.types import StructType
+
+from .common import Scratch, pieces, quoted, released, text_of
 from .langid import Letters
 from .samples import labelled_sample
 
-#: Labelled documents of each class that are learnt from, about.
-PER_CLASS = 1500
-#: Characters of all learnt texts together, about; longer samples are thinned by a hash of the text.
-MOST_CHARS = 30_000_000
-#: Words of a window, and words from one window's start to the next.
-WINDOW, STRIDE = 48, 36
+#: Labelled documents of each class that are learnt from, and characters of all of them together, about.
+PER_CLASS, MOST_CHARS = 1500, 30_000_000
+#: Words of a window, and words from one window's start to the next: any 24 words in a row are in one window.
+WINDOW, STRIDE = 48, 24
 WORD_BITS, CHAR_BITS = 20, 16
 #: Words and n-grams in fewer of the learnt texts have no vector of their own.
 LEAST_TEXTS = 5
@@ -26,8 +26,8 @@ LEAST_TEXTS = 5
 DAMP = 10.0
 DIM, HIDDEN = 8, 8
 EPOCHS, BATCH = 8, 256
-#: Steps of the optimiser at least; small samples are gone through more often, up to so many times.
-LEAST_STEPS, MOST_EPOCHS = 300, 60
+#: Steps of the optimiser at least; small samples are gone through more often, up to so many times, until the loss of a pass has settled.
+LEAST_STEPS, MOST_EPOCHS, SETTLED = 300, 60, 0.005
 #: Windows of a clean document that are learnt from: the most suspect one and this many others.
 OTHERS = 2
 
@@ -249,9 +249,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
         at, mask = _steps(x, doc[a:b], first[a:b])
         return net.forward(net.vectors_of(x, at), mask)
 
-    def chosen(strength) -> np.ndarray:
+    def strength(of) -> np.ndarray:
+        return np.concatenate([of(a, a + 1024) for a in range(0, len(doc), 1024)])
+
+    def chosen(s: np.ndarray) -> np.ndarray:
         """The windows to learn from: the most suspect of each text, and others of clean ones."""
-        s = np.concatenate([strength(a, a + 1024) for a in range(0, len(doc), 1024)]) + rnd.random(len(doc)) * 1e-3
+        s = s + rnd.random(len(doc)) * 1e-3
         order = np.lexsort((-s, doc))
         rank = np.empty(len(doc), np.int64)
         rank[order] = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
@@ -260,8 +263,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
 
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k != "prior"}
     step, epoch, most = 0, 0, epochs
+    suspects = strength(by_odds)
     while epoch < most:
-        use = chosen(by_odds if epoch == 0 else by_network)
+        if epoch and not epoch & (epoch - 1):  # after 1, 2, 4, ... passes the network itself says which windows are suspect
+            suspects = strength(by_network)
+        use, losses = chosen(suspects), []
         if epoch == 0:
             most = max(epochs, min(MOST_EPOCHS, -(-LEAST_STEPS // max(1, -(-len(use) // BATCH)))))
         target = y[doc[use]].astype(np.float32)
@@ -281,7 +287,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
                 q = _sigmoid(logit)
                 return float(-np.log(np.where(target[own] > 0, q, 1 - q) + 1e-9).mean()), ((q - target[own]) / len(own)).astype(np.float32)
 
-            g, de, _ = net.gradients(e, mask, loss)
+            g, de, missed = net.gradients(e, mask, loss)
+            losses.append(missed)
             dw = np.stack([np.bincount(inverse.ravel(), de[:, :, k].ravel(), len(words)) for k in range(2 * DIM)], 1)
             dc = np.repeat(dw[:, DIM:] / size[:, None], size, 0)
             dw[:, :DIM] *= seen
@@ -298,18 +305,16 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
                 b += 0.01 * (grad * grad - b)
                 p[k] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         epoch += 1
+        if np.mean(losses) < SETTLED:
+            break
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", text_col: str = "text", per_class: int = PER_CLASS) -> Network:
-    """Fit on a bounded sample of the labelled rows that learn marks: per_class whole texts of each class, about, and at
-    most MOST_CHARS characters, about."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", text_col: str = "text", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Network:
+    """Fit on a bounded sample of the labelled rows that learn marks (see samples.labelled_sample): about per_class whole texts of each class and
+    most_chars characters. At least one row of each class is learnt from."""
     scratch = Scratch(docs.sparkSession, "toxicity")
-    sample = labelled_sample(docs, labels, label_col, learn, per_class).select(F.col("_y").alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = scratch.save(sample, "sample")
-    chars = sample.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    few = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, MOST_CHARS / max(1, chars)) * (1 << 20)).toPandas()
-    scratch.drop(sample)
+    few = labelled_sample(docs, labels, label_col, learn, per_class, most_chars, [], scratch, text_col=text_col).select("y", "text").toPandas()
     few = few.sort_values(["text", "y"], kind="stable")
     return fit(few["text"].tolist(), few["y"].tolist())
 
@@ -318,18 +323,18 @@ def score(docs: DataFrame, model: Network, keep: list[Column], text_col: str = "
     """The columns in keep and score (0 to 1, higher: toxic is likelier): the most toxic of all overlapping windows.
 
     A text that is null, empty or without letters has no window and gets a low constant. If there was nothing to
-    learn from, or one class only, all texts get it. Rows are scored one by one, so ties and repeated rows need no rule.
+    learn from, or one class only, all texts get it. Rows are scored one by one, so ties and repeated rows need no rule; an empty
+    table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(*keep, text_of(quoted(text_col)).alias("_text"))
     names = rows.columns[:-1]
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column("_text").to_pylist()
             rest = batch.drop_columns(["_text"])
             for i, j in pieces(texts, 4_000_000):
                 yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, pa.array(sent.value.scores(texts[i:j]))], [*names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, score double")
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add("score", "double"))
