@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import itertools
 import os
@@ -12,13 +13,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import pieces
+from .common import pieces, quoted, released, text_of
 
 #: Pieces of more bytes are merged with a heap, by the same rule, so that one huge piece costs n log n.
 MATRIX_BYTES = 512
 #: Distinct pieces that a task keeps encoded.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -186,29 +188,42 @@ class Codec:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def _codec(name: str, sent, pattern: str) -> Codec:
+    """The codec of a vocabulary; a Python worker keeps the last one from task to task."""
+    if (name, pattern) not in _codecs:
+        _codecs.clear()
+        _codecs[name, pattern] = Codec(sent.value, pattern)
+    return _codecs[name, pattern]
+
+
 def encode_decode(docs: DataFrame, id_cols: list[str], text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, decode: bool = True) -> DataFrame:
     """id_cols plus n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (the decoded bytes).
 
     Every whole text is encoded, each match of the pattern by itself, without special tokens; a null
-    text is empty and has no ids. Rows pass one by one, so ties and repeated rows need no rule. The rank file is read on
+    text is empty and has no ids. Rows pass one by one, so ties and repeated rows need no rule, and an empty table gives an empty one. id_cols may
+    have any names but `ids` and `decoded`; one called `n_tokens` comes back under that name, and the count is then left out. The rank file is read on
     the driver and broadcast (its size is that of a vocabulary, whatever the data).
     """
     spark = docs.sparkSession
     path, default = default_vocabulary() if ranks_path is None or pattern is None else (ranks_path, pattern)
-    pattern = pattern or default
-    sent = spark.sparkContext.broadcast(read_ranks(ranks_path or path))
-    rows = docs.select(*[F.col(c) for c in id_cols], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    pattern, ranks = pattern or default, read_ranks(ranks_path or path)
+    name, sent = hashlib.sha256(repr(ranks).encode()).hexdigest(), spark.sparkContext.broadcast(ranks)
+    named = {f"c{i}": c for i, c in enumerate(id_cols)}
+    rows = docs.select(*[F.col(quoted(c)).alias(k) for k, c in named.items()], text_of(quoted(text_col)).alias("text"))
 
     def run(batches):
-        codec = Codec(sent.value, pattern)
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            sizes = [t.encode() for t in texts]
-            rest = batch.drop_columns(["_text"])
-            for i, j in pieces(sizes, 2_000_000):
+        codec = _codec(name, sent, pattern)
+        for batch in released(batches):
+            texts = batch.column("text").to_pylist()
+            rest = batch.drop_columns(["text"])
+            for i, j in pieces(texts, 1_000_000):
                 ids = codec.encode(texts[i:j])
                 cols = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids) if decode else [None] * (j - i), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, *cols], [*rest.schema.names, "n_tokens", "ids", "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, n_tokens bigint, ids binary, decoded binary")
+    schema = StructType(rows.schema.fields[:-1]).add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
+    coded = rows.mapInArrow(run, schema)
+    return coded.select(*[F.col(k).alias(c) for k, c in named.items()], *[c for c in ("n_tokens", "ids", "decoded") if c not in id_cols])
