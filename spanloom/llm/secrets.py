@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, key64, text_of
+from .common import Scratch, key64, quoted, text_of
 from .trigrams import ANY, trigram_query
 
 #: Documents that may need a check by an indexed rule are named by broadcast up to this number (16 bytes each), beyond by a shuffled join.
@@ -45,18 +45,18 @@ MORE = (
 
 def build_index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Postings (trigram, key) of the vocabulary's trigrams in the lower-cased texts of docs(key, text)."""
-    grams = F.array(*[F.lit(t) for t in vocabulary])
-    present = F.transform(F.array(F.lower("text")), lambda low: F.filter(grams, lambda t: F.contains(low, t)))[0]
-    return docs.select("key", F.explode(present).alias("trigram"))
+    found = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in vocabulary])  # compiled, unlike a filter over an array
+    low = docs.select("key", F.lower("text").alias("low"))
+    return low.select("key", F.explode(F.filter(found, lambda t: t.isNotNull())).alias("trigram"))
 
 
 def candidates(postings: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """(key, rules): the bits of the rules whose trigram query holds for the document."""
+    """(key, rules): the numbers of the rules whose trigram query holds for the document."""
     terms = [(n, c, t, len(conj)) for n, r in rules for c, conj in enumerate(sorted(trigram_query(r.pattern), key=sorted)) for t in sorted(conj)]
     spark = postings.sparkSession
     plan = F.broadcast(spark.createDataFrame(terms, "rule int, conj int, trigram string, need int"))
     met = postings.join(plan, "trigram").groupBy("key", "rule", "conj", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need")
-    return met.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
+    return met.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
 def _spans(text: Column, rule: Rule, kind: int) -> Column:
@@ -88,9 +88,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     query names, the documents that contain them; postings are intersected per conjunction, and only documents for which
     some conjunction is complete are verified with the pattern itself, on the whole text. A rule without mandatory
     trigrams scans every text. A null text is empty. Documents are told apart by a hash of id and text: rows that agree
-    in both have one posting list and each gets its result; a clash of hashes only means one needless check.
+    in both have one posting list and each gets its result; a clash of hashes only means one needless check. Other columns are
+    not read; an empty table gives an empty one.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("key", key64("id", "text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), text_of(quoted(text_col)).alias("text")).withColumn("key", key64("id", "text"))
     numbered = list(enumerate(rules))
     indexed = [(n, r) for n, r in numbered if trigram_query(r.pattern) != ANY]
     kinds = {r.kind: n for n, r in numbered}
@@ -101,14 +102,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = scratch.save(candidates(postings, indexed), "candidates")
         scratch.drop(postings)
         side = F.broadcast(found) if found.count() <= max_broadcast else found
-        rows = rows.join(side, "key", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
-    else:
-        rows = rows.withColumn("rules", F.lit(0))
+        rows = rows.join(side, "key", "left")
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = []
     for n, r in numbered:
         if any(n == m for m, _ in indexed):
-            on = F.col("rules").bitwiseAND(F.lit(1 << n)) != 0
+            on = F.coalesce(F.array_contains("rules", n), F.lit(False))
         else:
             on = F.col("text").rlike(r.pattern)
         parts.append(F.when(on, _spans(F.col("text"), r, kinds[r.kind])).otherwise(empty))
