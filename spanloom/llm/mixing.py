@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, text_of
+from .common import WORD, Scratch, quoted, text_of, unused
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -19,8 +19,10 @@ BLOCK_WORDS = 512
 #: Slots of an output shard.
 SHARD_SLOTS = 4096
 ROUNDS = 12
-#: Tables with a row for each source are broadcast up to so many sources, and joined by shuffle beyond.
+#: Tables with a few rows for each source are broadcast up to so many sources, and joined by shuffle beyond.
 MAX_BROADCAST_SOURCES = 50_000
+#: Slots that one task unfolds, about, and such tasks at most (beyond, a task has more slots).
+TASK_SLOTS, MOST_TASKS = 4 * SHARD_SLOTS, 20_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
@@ -72,8 +74,8 @@ class Mix:
         self.names = (id_col, text_col, source_col)
         self.docs, self.block_words, self.shard_slots, self.seed = docs, block_words, shard_slots, seed
         self.scratch = Scratch(docs.sparkSession, "mixing")
-        text = text_of(text_col)
-        self.sizes = self.scratch.save(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")), "sizes")
+        text = text_of(quoted(text_col))
+        self.sizes = self.scratch.save(docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("hash"), F.col(quoted(source_col)).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")), "sizes")
         self.rows = self.sizes.count()
         per_source = self.sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
         t = source_targets(per_source, weights, most_times)
@@ -82,7 +84,8 @@ class Mix:
         t = t.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(F.lit(0)))
         t = t.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil((F.col("quota") - F.col("passes") * F.col("source_size")) / block_words))
         self.sources = self.scratch.save(t, "sources")
-        few = self.sources.count() <= MAX_BROADCAST_SOURCES
+        self.n_sources = max(1, self.sources.count())
+        few = self.n_sources <= MAX_BROADCAST_SOURCES
         self.side = F.broadcast if few else lambda df: df
 
     def plan(self) -> DataFrame:
@@ -90,11 +93,14 @@ class Mix:
         src = self.side(self.sources)
         total = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
         shards = math.ceil(total / self.shard_slots)
-        bounds = self.sources.withColumn("upto", F.sum("slots").over(Window.partitionBy(F.lit(0)).orderBy("s"))).agg(F.array_sort(F.collect_list(F.struct("upto", "s"))).alias("bounds"))
-        # A multinomial draw: each slot falls in a source's share of [0, total).
+        # A multinomial draw: each slot falls in a source's share of [0, total). The range is cut into even bins, four for each
+        # source, and a bin lists the shares that reach into it (1.25 on average), so a slot is compared with those only.
+        upto = self.sources.where("slots > 0").withColumn("hi", F.sum("slots").over(Window.partitionBy(F.lit(0)).orderBy("s"))).withColumn("lo", F.col("hi") - F.col("slots"))
+        width = max(1, total // (4 * self.n_sources))
+        guide = upto.select("s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("bin"))
         slot = self.docs.sparkSession.range(total).withColumn("shard", F.floor(F.col("id") / self.shard_slots))
-        ball = slot.withColumn("u", F.pmod(F.xxhash64(F.lit(self.seed), "id"), F.lit(total)))
-        drawn = ball.withColumn("one", F.lit(1)).join(F.broadcast(bounds.withColumn("one", F.lit(1))), "one").select("shard", F.filter("bounds", lambda b: b["upto"] > F.col("u"))[0]["s"].alias("s"))
+        ball = slot.withColumn("u", F.pmod(F.xxhash64(F.lit(self.seed), "id"), F.lit(max(1, total)))).withColumn("bin", F.floor(F.col("u") / width))
+        drawn = ball.join(self.side(guide), "bin").where("lo <= u and u < hi").select("shard", "s")
         counts = drawn.groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n"))
         upto = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         runs = counts.withColumn("q0", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(src.select("s", "slots"), "s")
@@ -105,7 +111,8 @@ class Mix:
         # The closing shard's runs grow with the square root of the slots; they are cut so that no row unfolds to more than a shard.
         cut = runs.unionByName(closing).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / self.shard_slots))))
         cut = cut.withColumn("q0", F.col("q0") + F.col("part") * self.shard_slots).withColumn("n", F.least(F.col("n") - F.col("part") * self.shard_slots, F.lit(self.shard_slots)))
-        q = cut.select("shard", "s", F.explode(F.sequence(F.col("q0"), F.col("q0") + F.col("n") - 1)).alias("q"))
+        tasks = int(min(MOST_TASKS, total // TASK_SLOTS + 1))
+        q = cut.repartition(tasks, "shard", "s", "part").select("shard", "s", F.explode(F.sequence(F.col("q0"), F.col("q0") + F.col("n") - 1)).alias("q"))
         q = q.join(src.select("s", "source_size", "quota", "blocks", "whole"), "s")
         q = q.withColumn("pass", F.floor(F.col("q") / F.col("blocks"))).withColumn("i", F.col("q") % F.col("blocks"))
         block = F.when(F.col("i") < F.col("whole"), permuted(F.col("i"), F.col("whole"), F.xxhash64(F.lit(self.seed), F.col("s"), F.col("pass")))).otherwise(F.col("i"))
@@ -158,22 +165,26 @@ class Mix:
         text unchanged if all are taken. A column n_chars of whole numbers is set to the text's new length. Of rows
         that agree in id, source and text, the other columns are those of one of them.
         """
-        id_col, text_col, source_col = self.names
+        id_col, text_col, source_col = (F.col(quoted(c)) for c in self.names)
         placed, parts = self.pieces()
         taken = parts.groupBy("s", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
-        plan = placed.where("size > 0").select("id", "hash", "s", "start", "size", "source").join(taken, ["s", "start"]).select("id", "hash", "start", "size", "source", "pass", "parts")
+        plan = placed.where("size > 0").select("id", "hash", "s", "start", "size", "source").join(taken, ["s", "start"]).select("id", "hash", "size", "source", "parts")
         plan = self.scratch.save(plan, "taken")
-        several = self.sizes.groupBy("id", "hash", "source").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("_twin_id"), F.col("hash").alias("_twin_hash"), F.col("source").alias("_twin_source"))
+        several = self.sizes.groupBy("id", "hash", "source").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "hash", "source")
         several = self.scratch.save(several, "twins")
-        several = F.broadcast(several) if several.count() <= MAX_BROADCAST_SOURCES else several
-        hashed = self.docs.withColumn("_mix_text", F.xxhash64(text_of(text_col)))
-        same = lambda k: F.col(id_col).eqNullSafe(F.col(f"{k}_id")) & (F.col("_mix_text") == F.col(f"{k}_hash")) & F.col(source_col).eqNullSafe(F.col(f"{k}_source"))
-        rows = hashed.join(several, same("_twin"), "left_anti").unionByName(hashed.join(several, same("_twin"), "left_semi").dropDuplicates([id_col, "_mix_text", source_col]))
-        plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
-        mixed = rows.join(plan, same("_mix"))
+        few = several.count()
+        own, listed, *mine = unused(self.docs, "_hash", "_list", "_id", "_plan_hash", "_size", "_source", "_parts")
+        plan = plan.toDF(*mine)
+        several = several.toDF(mine[0], mine[1], mine[3])
+        several = F.broadcast(several) if few <= MAX_BROADCAST_SOURCES else several
+        rows = self.docs.withColumn(own, F.xxhash64(text_of(quoted(self.names[1]))))
+        same = id_col.eqNullSafe(F.col(mine[0])) & (F.col(own) == F.col(mine[1])) & source_col.eqNullSafe(F.col(mine[3]))
+        if few:
+            rows = rows.join(several, same, "left_anti").unionByName(rows.join(several, same, "left_semi").dropDuplicates([self.names[0], own, self.names[2]]))
+        mixed = rows.join(plan, same)
         words = F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-        part = F.transform("_mix_parts", lambda p: F.array_join(F.slice("_mix_list", (p["first"] + 1).cast("int"), p["words"].cast("int")), ""))
-        cut = F.when(F.aggregate("_mix_parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("_mix_size"), F.col(text_col)).otherwise(F.regexp_replace(F.array_join(part, ""), r"^[\x20\x09-\x0D]+", ""))
-        mixed = mixed.withColumn("_mix_list", words).withColumn(text_col, cut)
-        chars = [F.length(text_col).cast(self.docs.schema[c].dataType).alias(c) if c == "n_chars" and self.docs.schema[c].dataType.typeName() in ("long", "integer") else F.col(c) for c in self.docs.columns]
-        return mixed.select(*chars)
+        part = F.transform(mine[4], lambda p: F.array_join(F.slice(listed, (p["first"] + 1).cast("int"), p["words"].cast("int")), ""))
+        cut = F.when(F.aggregate(mine[4], F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col(mine[2]), text_col).otherwise(F.regexp_replace(F.array_join(part, ""), r"^[\x20\x09-\x0D]+", ""))
+        mixed = mixed.withColumn(listed, words).withColumn(self.names[1], cut)
+        whole = lambda c: c == "n_chars" and self.docs.schema[c].dataType.typeName() in ("long", "integer")
+        return mixed.select(*[F.length(text_col).cast(self.docs.schema[c].dataType).alias(c) if whole(c) else F.col(quoted(c)) for c in self.docs.columns])
