@@ -9,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import setsketch
-from .common import Scratch, pieces, text_of
 from ..operators.components import connected_components
+from . import bloom, families, setsketch
+from .common import Scratch, pieces, quoted, released, text_of
 from .setsketch import Shingles
 
 #: Pairs whose estimate is this far below the threshold are not verified (six standard errors of 128 registers).
 MARGIN = 0.2
-#: Sets that meet in one group of a verification.
-BLOCK = 256
 #: Texts needed again are named by broadcast up to so many sets (8 bytes each), and by a shuffled join beyond.
 MAX_BROADCAST = 1_000_000
 
@@ -28,21 +26,21 @@ def linked(n_both: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, cid, check, registers): each text's set, known by 128 bits of its hash."""
+    """(doc_id, th, n, cid, check, registers): each text's set, known by 128 bits of its hash."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id")
+            ids = batch.select(["doc_id", "th"])
             for i, j in pieces(texts, 1_000_000):
                 s = Shingles(texts[i:j], size)
                 some = s.n > 0
                 key, regs = s.set_hashes(), iter(s.registers())
                 rows = [next(regs).tobytes() if x else None for x in some]
-                cols = [ids.slice(i, j - i), pa.array(s.n, pa.int64()), pa.array(key[:, 0], mask=~some), pa.array(key[:, 1], mask=~some), pa.array(rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "cid", "check", "registers"])
+                cols = [*ids.slice(i, j - i).columns, pa.array(s.n, pa.int64()), pa.array(key[:, 0], mask=~some), pa.array(key[:, 1], mask=~some), pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n", "cid", "check", "registers"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cid bigint, check bigint, registers binary")
+    return docs.mapInArrow(run, "doc_id bigint, th bigint, n bigint, cid bigint, check bigint, registers binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -136,26 +134,8 @@ def _links(grouped: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return grouped.groupBy(*keys).applyInArrow(lambda t: _verify(t, percent), "a bigint, b bigint")
 
 
-def _cells(families: DataFrame, sets: DataFrame) -> DataFrame:
-    """Blocks of a family's members to compare: those outside the family's component with those inside, and with each other.
-
-    families: (family, cid, comp). A family of any size is cut into blocks of about BLOCK members.
-    """
-    rows = families.withColumn("out", F.col("comp") != F.col("family"))
-    size = rows.groupBy("family").agg(F.ceil(F.count_if("out") / BLOCK).alias("n_out"), F.ceil(F.count_if(~F.col("out")) / BLOCK).alias("n_in"))
-    rows = rows.join(size, "family").where("n_out > 0").withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("out"), F.col("n_out")).otherwise(F.col("n_in"))))
-    cell = lambda i, j, inside, left: F.struct(i.alias("i"), j.alias("j"), F.lit(inside).alias("inside"), left.alias("left"))
-    b = F.col("block")
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    against_in = F.when(F.col("n_in") > 0, F.transform(upto("n_in"), lambda k: cell(b, k, True, F.lit(True)))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,inside:boolean,left:boolean>>"))
-    against_out = F.transform(upto("n_out"), lambda k: cell(F.least(b, k), F.greatest(b, k), False, b <= k))
-    against = F.transform(upto("n_out"), lambda k: cell(k, b, True, F.lit(False)))
-    rows = rows.select("family", "cid", "comp", F.explode(F.when(F.col("out"), F.concat(against_in, against_out)).otherwise(against)).alias("c"))
-    return rows.select("family", "cid", "comp", "c.*").join(sets, "cid")
-
-
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+    """(doc_id, n_shingles, component_id, kept, th) for every row of docs; th is a hash of the text.
 
     A document's set holds the distinct shingles of size words of the whole text (fewer words make one shingle, no
     words an empty set, linked with nothing). Documents are linked if 100 * intersection >= percent * union.
@@ -169,10 +149,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     4. Components of all links; component_id is the smallest id among the documents of their classes.
 
     Two sets at the threshold share no band with a chance of (1 - 0.8^4)^32, 5 in 10^8.
-    Nulls: a null text is empty. A null id is never smallest; a component of null ids only has a null component_id and its rows are
+    Empty input gives empty output. Very long texts are read whole. Nulls: a null text is empty. A null id is never smallest; a component of null ids only has a null component_id and its rows are
     kept. Ids that repeat are allowed: rows go by their own text. kept is whether doc_id equals component_id.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    docs = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_of(quoted(text_col)).alias("text")).withColumn("th", F.xxhash64("text"))
     sketched = scratch.save(_sketches(docs, size), "sketches")
     classes = scratch.save(sketched.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("check").alias("check"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
     banded = scratch.save(_banded(classes), "bands")
@@ -182,34 +162,30 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     star = scratch.save(_likely(members.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), classes, percent), "star")
     needed = members.where("members > 2").select("cid").unionByName(star.select(F.col("a").alias("cid"))).unionByName(star.select(F.col("b").alias("cid"))).distinct()
     sets = scratch.save(_sets_of(docs, classes, needed, size), "sets")
-    many = star.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    many = star.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / families.BLOCK).alias("parts"))
     spokes = star.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("cid"), F.lit(False).alias("left"))
     heads = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("cid"), F.lit(True).alias("left"))
     links = scratch.save(_links(spokes.unionByName(heads).join(sets, "cid").withColumn("comp", F.col("cid")), ["a", "part"], percent), "links")
     first = scratch.save(connected_components(links, scratch), "components")
-    of = lambda c: F.coalesce(F.col(c), F.col("cid"))
-    placed = members.where("members > 2").join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", of("comp"))
-    open_keys = placed.groupBy("key").agg(F.max(F.when(F.col("cid") == F.col("hub"), F.col("comp"))).alias("family"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "family")
-    families = scratch.save(placed.join(open_keys, "key").select("family", "cid", "comp").distinct(), "families")
-    more = scratch.save(_links(_cells(families, sets), ["family", "inside", "i", "j"], percent), "links")
-    scratch.drop(members, hubs, families, sets, star)
+    open_ = scratch.save(families.open_buckets(members.where("members > 2"), first).select("family", "cid", "comp").distinct(), "families")
+    more = scratch.save(_links(families.cells(open_, sets, families.BLOCK), families.KEYS, percent), "links")
+    scratch.drop(members, hubs, open_, sets, star)
     last = first if not more.take(1) else scratch.save(connected_components(links.unionByName(more), scratch), "components")
-    home = classes.select("cid", "doc").join(last.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", of("comp"))
+    home = classes.select("cid", "doc").join(last.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = home.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = scratch.save(home.join(least, "comp").select("cid", "component_id"), "named")
-    out = sketched.select("doc_id", "n", "cid").join(named, "cid", "left")
+    out = sketched.select("doc_id", "th", "n", "cid").join(named, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "th")
 
 
 def keep_first(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns, whatever their names.
 
-    Rows that go are named by their id, so rows that share an id stay or go together. Rows with a null id stay unless
-    they are linked with a row that has one.
+    Rows that go are named by id and text, so rows that agree in both stay or go together. A row with a null id goes if it is
+    linked with a row that has one. Texts stay where they are, but for those that a filter of more than MAX_BROADCAST
+    lost rows can't tell from the lost ones.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lost = near_duplicates(keyed, scratch, size, percent).where("not kept").select(F.col("doc_id").alias("_near_id")).distinct()
-    lost = scratch.save(lost, "lost")
-    side = F.broadcast(lost) if lost.count() <= MAX_BROADCAST else lost
-    return docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")), "left_anti")
+    lost = near_duplicates(docs, scratch, size, percent, id_col, text_col).where("not kept").select("doc_id", "th").distinct()
+    own = [F.col(quoted(id_col)).cast("long"), F.xxhash64(text_of(quoted(text_col)))]
+    return bloom.without(docs, own, scratch.save(lost, "lost"), MAX_BROADCAST, scratch)

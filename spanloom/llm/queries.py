@@ -53,7 +53,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates on shingles of two words: each document's component and whether it stays."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dedup.near_duplicates(docs, Scratch(spark, "op4"), size=2, percent=80)
+    return near_dedup.near_duplicates(docs, Scratch(spark, "op4"), size=2, percent=80).drop("th")
 
 
 OP4_SQL = r"""

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from spanloom.llm import embed_dedup, exact_dedup, near_dedup, setsketch
+from spanloom.llm import embed_dedup, exact_dedup, families, near_dedup, setsketch
 from spanloom.llm.common import Scratch, Words
 
 DDL = "doc_id long, text string, sha string, kept int, id long, n long"
@@ -103,7 +103,7 @@ def test_near_components(spark, size):
 
 def test_near_empty_and_blocks(spark, monkeypatch):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DDL), Scratch(spark, "t")).collect() == []
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(families, "BLOCK", 3)
     test_near_components(spark, 2)
 
 
