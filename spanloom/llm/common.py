@@ -1,4 +1,4 @@
-"""Shared pieces: working column names, byte-level word splitting and hashing in numpy."""
+"""Shared pieces: byte-level word splitting and hashing in numpy."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.names import quoted, unused
 from ..operators.scratch import Scratch
 
 __all__ = ["Scratch", "WORD", "Words", "crc_mod", "key64", "mix", "pieces", "quoted", "released", "text_of", "unused"]
@@ -28,22 +29,6 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def unused(df: DataFrame, *wanted: str) -> list[str]:
-    """The names wanted, each made longer until no column of df has it (names are compared without case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-def quoted(name: str) -> str:
-    """A column's name as F.col takes it, whatever characters it holds."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 @functools.cache
 def _trim():
     try:

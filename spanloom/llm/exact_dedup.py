@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom
+from ..operators import bloom
 from .common import Scratch, key64, quoted, text_of, unused
 
 #: Slots of the first filter for each row, as a power of two: a unique text shares its slot with another by a chance of 1 in 64.

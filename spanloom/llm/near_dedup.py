@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import bloom
 from ..operators.components import connected_components
-from . import bloom, families, setsketch
+from . import families, setsketch
 from .common import Scratch, pieces, quoted, released, text_of
 from .setsketch import Shingles
 
