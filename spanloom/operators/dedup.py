@@ -6,14 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .bloom import without
+from .scratch import Scratch
+
+
+#: Rows that go are named by broadcast up to this number; beyond, a Bloom filter of them keeps the other rows in place.
+MAX_BROADCAST = 1_000_000
 
 
 def first_by(df: DataFrame, keys: list[Column | str], order: str) -> DataFrame:
-    """The row of least order for each key, with all columns. Minima are combined before the shuffle, so no key fills a task."""
+    """The row of least order for each key, with all columns; order must tell the rows of a key apart, and a null comes last.
+
+    Only thin rows meet: two 64-bit hashes of the key, and the order. Minima are combined before the shuffle, so no key fills a
+    task. The rows that are not least are then taken away where they are, so texts are not shuffled.
+    """
+    scratch = Scratch(df.sparkSession, "first")
+    keys = [F.col(k) if isinstance(k, str) else k for k in keys]
+    own = [F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys), F.col(order)]
+    thin = scratch.save(df.select(*[c.alias(n) for c, n in zip(own, ("h", "g", "o"), strict=True)]), "thin")
+    least = thin.groupBy("h", "g").agg(F.min("o").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lost = scratch.save(thin.join(least, ["h", "g"]).where(~F.col("o").eqNullSafe(F.col("least"))).select("h", "g", "o").distinct(), "lost")
+    scratch.drop(thin)
+    return without(df, own, lost, MAX_BROADCAST, scratch)
+
+
+def first_row(df: DataFrame, keys: list[Column | str], order: str) -> DataFrame:
+    """As first_by, for derived tables of thin rows: one aggregate, combined before the shuffle, so df is computed once; of equal orders one row stays."""
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
     whole = F.struct(*[F.col(c) for c in df.columns])
-    grouped = df.select(*named, whole.alias("_row")).groupBy(*[f"_k{i}" for i in range(len(keys))])
+    grouped = df.select(F.xxhash64(*keys).alias("_h"), F.xxhash64(F.lit(1), *keys).alias("_g"), whole.alias("_row")).groupBy("_h", "_g")
     return grouped.agg(F.min_by("_row", F.col(f"_row.{order}")).alias("_row")).select("_row.*")
 
 
@@ -39,12 +60,12 @@ def deduplicate_accepted(records: DataFrame, accepted: Column, order: str, text:
 
 def deduplicate_negatives(rows: DataFrame, order: str, text: str = "text", term: str = "false_positive_term") -> DataFrame:
     """By stripped text and lower-cased term."""
-    return first_by(rows, [T.strip(text), F.lower(F.col(term))], order)
+    return first_row(rows, [T.strip(text), F.lower(F.col(term))], order)
 
 
 def deduplicate_spans(spans: DataFrame, order: str, key: str = "doc_id") -> DataFrame:
     """The first span for each (start, end) of a document."""
-    return first_by(spans, [key, "start", "end"], order)
+    return first_row(spans, [key, "start", "end"], order)
 
 
 def conflicts(records: DataFrame, order: str, value: Column | str, text: str = "text") -> DataFrame:

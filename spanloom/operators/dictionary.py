@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.config import TRAILING_TRIM
 from ..functions.labels import ACCEPTED
@@ -19,10 +23,78 @@ MAX_BROADCAST_TERMS = 200_000
 
 
 def token_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, idx, tok, start): all tokens of each text with code-point offsets. One shuffle, by document."""
-    rows = docs.select(key, F.posexplode(tokens(text)).alias("idx", "tok"))
-    upto = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum(F.length("tok")).over(upto), F.lit(0)).cast("int"))
+    """(key, idx, tok, start): all tokens of each text with code-point offsets, without a shuffle."""
+    return token_rows(docs, key, text)
+
+
+#: Characters of the texts whose tokens are held at a time, about.
+PIECE = 300_000
+
+
+def pieces(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of a column's texts, about PIECE characters at a time; null is empty."""
+    texts = [t or "" for t in column.to_pylist()]
+    i = 0
+    while i < len(texts):
+        j, size = i + 1, len(texts[i])
+        while j < len(texts) and size + len(texts[j]) <= PIECE:
+            size += len(texts[j])
+            j += 1
+        yield i, texts[i:j]
+        i = j
+
+
+def cut_tokens(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, number of its text, its number there, start) of all tokens of some texts."""
+    found = list(map(_split().findall, texts))
+    tok = pa.array(itertools.chain.from_iterable(found), pa.string())
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    of = np.repeat(np.arange(len(texts)), n)
+    edge = np.cumsum(n) - n
+    size = pc.utf8_length(tok).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    start -= np.append(start, 0)[edge[of]]
+    return tok, of, np.arange(len(of)) - edge[of], start
+
+
+@functools.cache
+def _split() -> regex.Pattern:
+    return regex.compile(TOKEN)
+
+
+def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", before: int = 0, after: int = 0, blanks: bool = True) -> DataFrame:
+    """token_table with up to so many tokens before (before1 is the nearest) and after (after1, ..) each token of its text, null beyond its ends.
+
+    Without blanks, white-space tokens are left out and are no neighbours; idx counts them. Texts are cut in Arrow batches where they are:
+    built-in functions give running offsets only by a shuffle of all tokens, or by sums over arrays that cost ten times as much.
+    A null text has no tokens.
+    """
+    kind = docs.schema[key].dataType
+    near = [(f"before{k}", -k) for k in range(1, before + 1)] + [(f"after{k}", k) for k in range(1, after + 1)]
+    names = ["key", "idx", "tok", "start", *[n for n, _ in near]]
+
+    def rows(texts: list[str]):
+        tok, of, idx, start = cut_tokens(texts)
+        if not blanks:
+            own = np.flatnonzero(~pc.match_substring_regex(tok, r"^[ \t\n\r\f]").to_numpy(zero_copy_only=False))
+            tok, of, start, idx = tok.take(pa.array(own)), of[own], start[own], idx[own]
+        at = np.arange(len(of))
+        cols = []
+        for _, k in near:
+            there = np.clip(at + k, 0, max(0, len(of) - 1))
+            cols.append(tok.take(pa.array(there, mask=(there != at + k) | (of[there] != of))))
+        return of, [pa.array(idx, pa.int32()), tok, pa.array(start, pa.int32()), *cols]
+
+    def run(batches):
+        for batch in batches:
+            for i, texts in pieces(batch.column(1)):
+                of, cols = rows(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + i)), *cols], names)
+
+    schema = StructType([StructField("key", kind)]).add("idx", "integer").add("tok", "string").add("start", "integer")
+    for n, _ in near:
+        schema = schema.add(n, "string")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def small(df: DataFrame, limit: int = MAX_BROADCAST_TERMS) -> DataFrame:
@@ -52,37 +124,40 @@ def match_by_scan(docs: DataFrame, terms: Sequence, key: str = "doc_id", text: s
     names = [key, "start", "end", "term", "label", "ord", "n_tokens"]
 
     def run(batches):
-        split, word = regex.compile(TOKEN).findall, regex.compile(WORD_RUN).fullmatch
+        word = regex.compile(WORD_RUN).fullmatch
         by_first: dict[str, list] = {}
         for term, label, ord_ in sent.value:
-            toks = split(term.lower())
+            toks = _split().findall(term.lower())
             if toks:
                 by_first.setdefault(toks[0], []).append((toks, not word(toks[0]), not word(toks[-1]), label, ord_))
+        firsts = pa.array(by_first, pa.string())
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for n, t in enumerate(batch.column(text).to_pylist()):
-                if not t:
-                    continue
-                toks = split(t)
-                low = [x.lower() for x in toks]
-                starts = None
-                for i, w in enumerate(low):
-                    for own, open_, close, label, ord_ in by_first.get(w, ()):
-                        j = i + len(own)
-                        if low[i:j] != own or (open_ and i and word(toks[i - 1])) or (close and j < len(toks) and word(toks[j])):
+            for i, texts in pieces(batch.column(1)):
+                tok, of, _, start = cut_tokens(texts)
+                hits = np.flatnonzero(pc.is_in(pc.utf8_lower(tok), firsts).to_numpy(zero_copy_only=False))
+                bound = np.searchsorted(of, np.arange(len(texts) + 1))
+                rows: list[list] = [[] for _ in range(7)]
+                for h, n in zip(hits.tolist(), of[hits].tolist(), strict=True):
+                    first, last = bound[n], bound[n + 1]
+                    near = tok.slice(h, min(longest, last - h)).to_pylist()
+                    low = [x.lower() for x in near]
+                    for own, open_, close, label, ord_ in by_first.get(low[0], ()):
+                        k = len(own)
+                        if low[:k] != own or (open_ and h > first and word(tok[h - 1].as_py())) or (close and h + k < last and word(tok[h + k].as_py())):
                             continue
-                        starts = starts or [0, *itertools.accumulate(map(len, toks))]
-                        for col, v in zip(rows, (n, starts[i], starts[j], "".join(toks[i:j]), label, ord_, len(own)), strict=True):
+                        surface = "".join(near[:k])
+                        for col, v in zip(rows, (n + i, start[h], start[h] + len(surface), surface, label, ord_, k), strict=True):
                             col.append(v)
-            ids = batch.column(key).take(pa.array(rows[0], pa.int64()))
-            cols = [pa.array(c, k) for c, k in zip(rows[1:], (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, *cols], names)
+                ids = batch.column(0).take(pa.array(rows[0], pa.int64()))
+                cols = [pa.array(c, k) for c, k in zip(rows[1:], (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, *cols], names)
 
+    longest = max((len(_split().findall(t.term or "")) for t in terms), default=1)
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, start int, end int, term string, label string, ord int, n_tokens int")
 
 
 def match_by_join(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """match_terms by an equi-join of n-grams of the token table, for dictionaries of any size."""
+    """match_terms by an equi-join of n-grams of the texts' tokens, for dictionaries of any size; only n-grams are shuffled, if anything is."""
     t = terms.select("label", "ord", F.transform(tokens("term"), F.lower).alias("toks")).where("size(toks) > 0")
     t = t.withColumn("n_tokens", F.size("toks")).withColumn("gram", F.array_join("toks", ""))
     word = lambda c: c.rlike(f"^{WORD_RUN}$")
@@ -90,10 +165,10 @@ def match_by_join(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text:
     sizes = sorted(r.n_tokens for r in t.select("n_tokens").distinct().collect())  # a row for each length of a term
     if not sizes:
         return match_by_scan(docs, [], key, text)
-    order = Window.partitionBy(key).orderBy("idx")
-    rows = token_table(docs, key, text).withColumn("next", F.collect_list("tok").over(order.rowsBetween(0, sizes[-1]))).withColumn("before", F.lag("tok").over(order))
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice("next", 1, n), "").alias("surface"), F.try_element_at("next", F.lit(n + 1)).alias("after")) for n in sizes])
-    rows = rows.where(~F.col("tok").rlike(r"^[ \t\n\r\f]+$")).select(key, "start", "before", F.explode(grams).alias("g"))
+    rows = token_rows(docs, key, text, before=1, after=sizes[-1]).withColumnRenamed("before1", "before")
+    rows = rows.withColumn("next", F.array("tok", *[f"after{k}" for k in range(1, sizes[-1] + 1)]))
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice("next", 1, n), "").alias("surface"), F.get("next", F.lit(n)).alias("after")) for n in sizes])
+    rows = rows.where(~F.col("next")[0].rlike(r"^[ \t\n\r\f]+$")).select(key, "start", "before", F.explode(grams).alias("g"))
     rows = rows.withColumn("_gram", F.lower("g.surface"))
     hit = rows.join(t, (F.col("_gram") == F.col("gram")) & (F.col("g.n") == F.col("n_tokens")))
     touches = (F.col("open") & F.coalesce(word(F.col("before")), F.lit(False))) | (F.col("close") & F.coalesce(word(F.col("g.after")), F.lit(False)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dictionary import match_terms
+from ..functions.text import span_slice
+from .dictionary import filter_spans, match_terms
 
 WHOLE = ["start", "end", "label"]
 
@@ -16,24 +17,39 @@ def occurrences(docs: DataFrame, term: str, key: str = "doc_id", text: str = "te
     return match_terms(docs, t, key, text).select(key, "start", "end", F.col("term").alias("surface"))
 
 
-def sync_add(docs: DataFrame, spans: DataFrame, term: str, label: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(spans, changes): each place of the term is relabelled if a span stands exactly there, skipped if another overlaps it, else added.
+def sync_terms(docs: DataFrame, spans: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(spans, changes) after each term of terms (term, label) got its label everywhere.
 
-    A place counts as exact if its span comes before any overlapping one by start. changes: (key, start, end, action).
+    Each place of a term, in any case and at word ends, is relabelled if a span stands exactly there, skipped if another span
+    overlaps it, else added. A place counts as exact if its span comes before any overlapping one by start. Places that would be added are taken
+    longest first, then by start, so that none overlaps another. changes: (key, start, end, label, action).
     """
-    places = occurrences(docs, term, key, text).select(key, F.col("start").alias("ps"), F.col("end").alias("pe"))
+    listed = terms.select(F.lower("term").alias("term"), "label").groupBy("term").agg(F.min("label").alias("label")).withColumn("ord", F.lit(1))
+    places = match_terms(docs, listed, key, text).select(key, F.col("start").alias("ps"), F.col("end").alias("pe"), F.col("label").alias("pl"))
     met = places.join(spans.select(key, *WHOLE), key, "left").where(F.col("start").isNull() | ((F.col("start") < F.col("pe")) & (F.col("end") > F.col("ps"))))
     first = met.groupBy(key, "ps", "pe").agg(F.min(F.struct("start", "end", "label")).alias("m"))
     exact = (F.col("m.start") == F.col("ps")) & (F.col("m.end") == F.col("pe"))
     every = places.join(first, [key, "ps", "pe"], "left")
-    action = F.when(F.col("m.start").isNull(), "added").when(exact & (F.col("m.label") != label), "relabelled").when(exact, "same").otherwise("skipped")
-    changes = every.select(key, F.col("ps").alias("start"), F.col("pe").alias("end"), action.alias("action"))
-    relabelled = changes.where("action = 'relabelled'").select(key, "start", "end", F.lit(True).alias("_new"))
-    kept = spans.join(relabelled, [key, "start", "end"], "left").withColumn("label", F.when(F.col("_new"), label).otherwise(F.col("label"))).select(*spans.columns)
-    added = changes.where("action = 'added'").select(key, "start", "end", F.lit(label).alias("label"))
+    action = F.when(F.col("m.start").isNull(), "added").when(exact & (F.col("m.label") != F.col("pl")), "relabelled").when(exact, "same").otherwise("skipped")
+    changes = every.select(key, F.col("ps").alias("start"), F.col("pe").alias("end"), F.col("pl").alias("label"), action.alias("action"))
+    free = filter_spans(changes.where("action = 'added'").select(key, "start", "end", "label"), key)
+    clash = changes.where("action = 'added'").join(free, [key, "start", "end"], "left_anti").withColumn("action", F.lit("skipped"))
+    changes = changes.where("action <> 'added'").unionByName(free.withColumn("action", F.lit("added"))).unionByName(clash)
+    relabelled = changes.where("action = 'relabelled'").select(key, "start", "end", F.col("label").alias("_new"))
+    kept = spans.join(relabelled, [key, "start", "end"], "left").withColumn("label", F.coalesce("_new", "label")).select(*spans.columns)
+    added = changes.where("action = 'added'").select(key, "start", "end", "label")
+    if "term" in spans.columns:
+        added = added.join(docs.select(key, F.col(text).alias("_text")), key).select(key, "start", "end", "label", span_slice("_text", "start", "end").alias("term"))
     return kept.unionByName(added, allowMissingColumns=True), changes
 
 
+def sync_add(docs: DataFrame, spans: DataFrame, term: str, label: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """sync_terms for one term; changes without the label."""
+    one = docs.sparkSession.createDataFrame([(term, label)], "term string, label string")
+    new, changes = sync_terms(docs, spans, one, key, text)
+    return new, changes.drop("label")
+
+
 def change_counts(changes: DataFrame, key: str = "doc_id") -> DataFrame:
     """added, relabelled, and records affected."""
     did = F.col("action").isin("added", "relabelled")
@@ -63,10 +79,9 @@ def consistency(spans: DataFrame, order: Column | str) -> DataFrame:
     return t.where("n_labels > 1")
 
 
-def resolve_to_majority(spans: DataFrame, order: Column | str) -> DataFrame:
-    """Spans of terms with several labels, all set to the majority's."""
-    m = consistency(spans, order).select(F.col("term").alias("_t"), "majority")
-    return spans.join(m, F.lower("term") == F.col("_t"), "left").withColumn("label", F.coalesce("majority", "label")).select(*spans.columns)
+def resolve_to_majority(docs: DataFrame, spans: DataFrame, order: Column | str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(spans, changes) after every term with several labels got the majority's at all its places; places without a label get it too (see sync_terms)."""
+    return sync_terms(docs, spans, consistency(spans, order).select("term", F.col("majority").alias("label")), key, text)
 
 
 def impact(spans: DataFrame, term: str, key: str = "doc_id") -> DataFrame:

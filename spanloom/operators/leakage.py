@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.labels import ratio
 from .dictionary import dictionary_entities, match_terms, small
 
 
+#: Items of one or two words are compared with every text up to this number.
+MOST_SHORT = 1000
+
+
 def tag_union(pools: dict[str, DataFrame], column: str = "augmentation_type") -> DataFrame:
     """All pools, one after the other, with their names."""
     out = None
@@ -53,7 +60,8 @@ def contained_items(docs: DataFrame, items: DataFrame, item_key: str, key: str =
     """(key, item_key) where the item's text is part of the document's.
 
     An item's second to fifth word stand whole in any text that holds it, so texts and items meet on these words by
-    an equi-join, and only pairs that meet are compared. Items with fewer than three words are compared with every text.
+    an equi-join, and only pairs that meet are compared. Items with fewer than three words are compared with every text if they are few; if there are
+    more than MOST_SHORT, they meet the texts on their first characters.
     """
     cut = lambda x: F.filter(F.split(x, T.SPACE + "+"), lambda w: w != "")
     i = items.select(item_key, F.col(text).alias("_item"), cut(F.col(text)).alias("_w")).where(~T.is_blank("_item"))
@@ -64,7 +72,15 @@ def contained_items(docs: DataFrame, items: DataFrame, item_key: str, key: str =
     named = small(long.select(F.col("_g").alias("_gram"), item_key))
     met = docs.select(key, F.explode(grams).alias("_gram")).join(named, "_gram").select(key, item_key).distinct()
     pairs = met.join(docs.select(key, text), key).join(i.select(item_key, "_item"), item_key).where(F.contains(F.col(text), F.col("_item"))).select(key, item_key)
-    return pairs.unionByName(docs.join(small(short), F.contains(F.col(text), F.col("_item"))).select(key, item_key)).distinct()
+    short = short.withColumn("_n", F.least(F.lit(gram), F.length("_item"))).withColumn("_gram", F.substring("_item", F.lit(1), F.col("_n")))
+    if short.limit(MOST_SHORT + 1).count() <= MOST_SHORT:
+        met = docs.select(key, text).join(F.broadcast(short), F.contains(F.col(text), F.col("_item")))
+    else:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+        grams = F.flatten(F.transform(sizes, lambda n: F.transform(starts, lambda k: F.substring(F.col(text), k, n))))
+        met = docs.select(key, F.explode(F.array_distinct(grams)).alias("_gram")).join(small(short.select("_gram", "_item", item_key)), "_gram")
+        met = met.join(docs.select(key, text), key).where(F.contains(F.col(text), F.col("_item")))
+    return pairs.unionByName(met.select(key, item_key)).distinct()
 
 
 def word_jaccard_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str, right_key: str, text: str = "text") -> DataFrame:
@@ -101,13 +117,84 @@ def matched_in_context(gold: DataFrame, docs: DataFrame, terms: DataFrame, key:
 
 
 def audit(checks: dict[str, DataFrame], informational: tuple[str, ...] = (), samples: int = 5) -> DataFrame:
-    """(check, passed, n, sample): a check passes if its table of findings is empty; informational ones always do."""
+    """(check, passed, n, sample): a check passes if its table of findings is empty; informational ones always do. sample: the first few findings as JSON, in order."""
     out = None
     for name, found in checks.items():
         rows = found.select(F.to_json(F.struct(*found.columns)).alias("j"))
-        row = rows.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("j")).alias("s")) if samples < 0 else rows.agg(F.count(F.lit(1)).alias("n"))
-        first = rows.orderBy("j").limit(max(0, samples)).agg(F.collect_list("j").alias("sample"))
-        one = row.withColumn("_one", F.lit(1)).join(first.withColumn("_one", F.lit(1)), "_one")
-        part = one.select(F.lit(name).alias("check"), (F.lit(name in informational) | (F.col("n") == 0)).alias("passed"), "n", "sample")
+        first = rows.orderBy("j").limit(samples).agg(F.collect_list("j").alias("sample"))
+        one = rows.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1)).join(first.withColumn("_one", F.lit(1)), "_one")
+        part = one.select(F.lit(name).alias("check"), (F.lit(name in informational) | (F.col("n") == 0)).alias("passed"), "n", F.array_sort("sample").alias("sample"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def shared_units(records: DataFrame, split: str, a: str, b: str, units: Column) -> DataFrame:
+    """(unit): distinct units (an array per record) of split a that split b has too."""
+    own = lambda s: records.where(F.col(split) == s).select(F.explode(units).alias("unit")).distinct()
+    return own(a).join(own(b), "unit", "left_semi")
+
+
+def leakage_checks(records: DataFrame, split: str, benchmark: DataFrame, terms: DataFrame, gold: DataFrame, holdout: DataFrame, known: DataFrame, generated: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> dict[str, DataFrame]:
+    """The findings of seven checks by name, for audit().
+
+    records: (key, text, split) in train, dev and test. benchmark: (item_key, text, term), protected texts with their terms. gold: (key, start, end, label, term), the annotations of records.
+    holdout, known and generated: tables with a text.
+    1 texts and 2 sentences that two splits share; 3 benchmark terms that are dictionary terms; 4 those that are annotated surfaces;
+    5 those that the dictionary finds in the benchmark's own texts; 6 holdout sentences that the known pool has; 7 benchmark terms in generated texts.
+    """
+    pairs = (("train", "dev"), ("train", "test"), ("dev", "test"))
+    whole = F.filter(F.array(T.strip(text)), lambda x: x != "")
+    between = lambda units: functools.reduce(DataFrame.unionByName, [shared_units(records, split, a, b, units).withColumn("between", F.lit(f"{a} {b}")) for a, b in pairs])
+    protected = benchmark.where("term is not null").select(F.col("term"), F.lit("").alias("label"), F.lit(1).alias("ord")).distinct()
+    sentences = lambda df: df.select(F.explode(T.sentences(text)).alias("unit")).distinct()
+    found = dictionary_entities(benchmark.select(item_key, text), terms, item_key, text).select(item_key, F.col("term").alias("_term"), "start")
+    in_context = benchmark.join(found, item_key).where(F.lower("_term") == F.lower("term")).select(item_key, "term", "start")
+    numbered = protected.select("term", "label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")).alias("ord"))  # a row for each protected term
+    return {
+        "shared_texts": between(whole),
+        "shared_sentences": between(T.sentences(text)),
+        "terms_in_dictionary": covered_terms(protected.select("term"), terms.select("term")),
+        "terms_annotated": covered_terms(protected.select("term"), gold.select("term")),
+        "terms_in_context": in_context,
+        "holdout_in_known_pool": sentences(holdout).join(sentences(known), "unit", "left_semi"),
+        "terms_in_generated": terms_in_texts(generated.select(F.xxhash64(text).alias("id"), text).distinct(), numbered, "id", text),
+    }
+
+
+def fold_checks(folds: DataFrame, fold_train: DataFrame, benchmark: DataFrame, test: DataFrame, surfaces: DataFrame, terms: DataFrame, canonical: DataFrame, text: str = "text") -> DataFrame:
+    """(fold, check, passed, n) for every fold, and fold null for the check of the canonical terms against the dictionary.
+
+    folds: (fold, text), validation texts; fold_train: (fold, text), the pools trained on; surfaces: (fold, term), annotated in training; benchmark: (text, term);
+    test: (text), shared with validation by design, so that check only informs; canonical: (term).
+    """
+    val = folds.select("fold", T.lower_strip(text).alias("k")).distinct()
+    keys = lambda df, *more: df.select(*more, T.lower_strip(text).alias("k")).distinct()
+    own = benchmark.select(F.lower("term").alias("k")).where("k is not null").distinct()
+    checks = {
+        "validation_in_benchmark": (val.join(keys(benchmark), "k", "left_semi"), False),
+        "validation_in_test": (val.join(keys(test), "k", "left_semi"), True),
+        "validation_in_train": (val.join(keys(fold_train, "fold"), ["fold", "k"], "left_semi"), False),
+        "terms_in_training": (surfaces.select("fold", F.lower("term").alias("k")).distinct().join(own, "k", "left_semi"), False),
+    }
+    numbers = folds.select("fold").distinct()
+    out = canonical.select(F.lower("term").alias("k")).distinct().join(terms.select(F.lower("term").alias("k")).distinct(), "k", "left_semi")
+    out = out.agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast(numbers.schema["fold"].dataType).alias("fold"), F.lit("canonical_terms").alias("check"), (F.col("n") == 0).alias("passed"), "n")
+    for name, (found, informs) in checks.items():
+        n = numbers.join(found.groupBy("fold").agg(F.count(F.lit(1)).alias("n")), "fold", "left").na.fill(0, ["n"])
+        out = out.unionByName(n.select("fold", F.lit(name).alias("check"), (F.lit(informs) | (F.col("n") == 0)).alias("passed"), "n"))
+    return out
+
+
+def near_duplicate_audit(augmented: DataFrame, real: DataFrame, evaluation: DataFrame, least: float = 0.7, text: str = "text") -> DataFrame:
+    """One row: distinct synthetic texts (those of augmented that are not real), how many of them and how many real texts are like an
+    evaluation text by sequence ratio, both shares, and whether no synthetic one is; the real share only informs."""
+    from .similarity import ratio_pairs
+
+    keyed = lambda df: df.select(T.normalise(text).alias("text")).distinct().withColumn("id", F.sha2("text", 256))
+    right = keyed(evaluation).withColumnRenamed("id", "other")
+    out = None
+    for name, df in (("synthetic", keyed(only_in(augmented, real, text))), ("real", keyed(real))):
+        like = ratio_pairs(df, right, least, "id", "other").select("id").distinct().agg(F.count(F.lit(1)).alias(f"{name}_like"))
+        both = df.agg(F.count(F.lit(1)).alias(name)).withColumn("_one", F.lit(1)).join(like.withColumn("_one", F.lit(1)), "_one")
+        out = both if out is None else out.join(both, "_one")
+    return out.select("synthetic", "synthetic_like", "real", "real_like", ratio("synthetic_like", "synthetic").alias("synthetic_rate"), ratio("real_like", "real").alias("real_rate"), (F.col("synthetic_like") == 0).alias("passed"))

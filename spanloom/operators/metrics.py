@@ -124,3 +124,18 @@ def by_mode(counts: DataFrame, mode: str = "mode") -> DataFrame:
 def condition_grid(conditions: DataFrame, folds: int) -> DataFrame:
     """Every condition with every fold."""
     return conditions.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+
+
+def full_report(strict: DataFrame, modes: DataFrame, holdout: DataFrame) -> DataFrame:
+    """(section, name, tp, fp, fn, precision, recall, f1): strict counts (label, tp, fp, fn), counts by mode, and holdout counts by status
+    (term_status, tp, fn; no false positives, so no precision), in one table."""
+    part = lambda df, section, name: df.select(F.lit(section).alias("section"), F.col(name).alias("name"), "tp", "fp", "fn", *prf())
+    none = F.lit(None).cast("double")
+    held = holdout.select(F.lit("holdout").alias("section"), F.col("term_status").alias("name"), "tp", F.lit(None).cast("long").alias("fp"), "fn", none.alias("precision"), ratio("tp", F.col("tp") + F.col("fn")).alias("recall"), none.alias("f1"))
+    return part(strict, "strict", "label").unionByName(part(modes, "mode", "mode")).unionByName(held)
+
+
+def skipped(name: str, like: DataFrame) -> DataFrame:
+    """A report for data that are absent: one row with the status, all counts null."""
+    cols = [F.lit("SKIPPED").alias(c) if c == "section" else F.lit(name).alias(c) if c == "name" else F.lit(None).cast(like.schema[c].dataType).alias(c) for c in like.columns]
+    return like.sparkSession.range(1).select(*cols)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.config import LEADING_TRIM, TRAILING_TRIM, TRIM_MARKS
-from ..functions.text import SPACE, is_blank, lower_strip, span_slice, strip
-from .dictionary import dictionary_entities
+from ..functions.text import is_blank, lower_strip, span_slice, strip
+from .dictionary import dictionary_entities, small
+from .names import unused
 from .scratch import Scratch
 
 ENTITY = ["start", "end", "term", "category", "confidence", "source", "status"]
@@ -23,6 +27,22 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str = "doc_id", how: st
     return left.join(r, (left[key] == r[f"r_{key}"]) & (F.greatest(left["start"], r["r_start"]) < F.least(left["end"], r["r_end"])), how)
 
 
+def trimmed(term: str, leading: frozenset[str], trailing: frozenset[str]) -> tuple[int, str]:
+    """Where the kept part of a span's text begins, and the kept part ("" if nothing is kept); see trim_spans."""
+    at = [(m.start(), m.end()) for m in re.finditer(r"\S+", term)]
+    bare = [term[i:j].lower().strip(TRIM_MARKS) for i, j in at]
+    first, last = 0, len(at) - 1
+    while first < last and bare[first] in leading:
+        first += 1
+    while first < last and bare[last] in trailing:
+        last -= 1
+    if not at:
+        return 0, ""
+    kept = term[at[first][0] : at[last][1]]
+    lone = first == last and (bare[first] in leading or bare[first] in trailing) and kept != kept.upper()
+    return (0, "") if lone else (at[first][0], kept)
+
+
 def trim_spans(spans: DataFrame, known: DataFrame | None = None, key: str = "doc_id", leading: Sequence[str] = LEADING_TRIM, trailing: Sequence[str] = TRAILING_TRIM) -> DataFrame:
     """Spans without white space and listed words at their ends; needs term, the slice of the text.
 
@@ -33,33 +53,24 @@ def trim_spans(spans: DataFrame, known: DataFrame | None = None, key: str = "doc
     The steps end at the first word that isn't leading, or, before that, take words from the end only when no leading word
     is left; so the leading run is taken first, then the trailing run, both at most up to the last word.
     """
-    marks = "".join(f"\\{c}" for c in TRIM_MARKS)
-    bare = lambda w: F.regexp_replace(F.lower(w), f"^[{marks}]+|[{marks}]+$", "")
-    words = F.regexp_extract_all("_own", F.lit(rf"[^{SPACE[1:-1]}]+{SPACE}*"), F.lit(0))
-    s = spans.withColumn("_own", strip("term")).withColumn("_lead", F.length("term") - F.length(F.regexp_replace("term", f"^{SPACE}+", "")))
-    s = s.withColumn("_words", words).withColumn("_bare", F.transform("_words", lambda w: bare(strip(w)))).withColumn("_n", F.size("_words"))
-    is_lead, is_trail = (lambda w: w.isin(*leading)), (lambda w: w.isin(*trailing))
-    first_kept = F.array_position(F.transform("_bare", lambda w: ~is_lead(w)), True)
-    a = F.least(F.when(first_kept > 0, first_kept - 1).otherwise(F.col("_n")), F.greatest(F.col("_n") - 1, F.lit(0)))
-    s = s.withColumn("_a", a.cast("int"))
-    rest = F.reverse(F.slice("_bare", F.col("_a") + 1, F.greatest(F.col("_n") - F.col("_a"), F.lit(0))))
-    last_kept = F.array_position(F.transform(rest, lambda w: ~is_trail(w)), True)
-    left = F.col("_n") - F.col("_a")
-    s = s.withColumn("_z", F.least(F.when(last_kept > 0, last_kept - 1).otherwise(left), F.greatest(left - 1, F.lit(0))).cast("int"))
-    kept = strip(F.array_join(F.slice("_words", F.col("_a") + 1, F.greatest(F.col("_n") - F.col("_a") - F.col("_z"), F.lit(0))), ""))
-    s = s.withColumn("_kept", kept)
-    one = F.col("_n") - F.col("_a") - F.col("_z") == 1
-    listed = F.try_element_at("_bare", F.col("_a") + 1)
-    gone = (F.col("_n") == 0) | F.coalesce(one & (is_lead(listed) | is_trail(listed)) & (F.col("_kept") != F.upper("_kept")), F.lit(False))
-    start = F.col("start") + F.col("_lead") + F.length(F.array_join(F.slice("_words", 1, F.col("_a")), ""))
+    lead, trail = frozenset(leading), frozenset(trailing)
+
+    @F.pandas_udf("at int, kept string")
+    def cut(terms: pd.Series) -> pd.DataFrame:
+        own = {t: trimmed(t or "", lead, trail) for t in terms.unique()}
+        return pd.DataFrame([own[t] for t in terms], columns=["at", "kept"])
+
+    mark, part = unused(spans, "_known", "_cut")
     if known is not None:
-        s = s.join(known.select(F.col("term").alias("_known")).distinct(), lower_strip(s["term"]) == F.col("_known"), "left")
+        names = small(known.select(F.col("term").alias(mark)).where(F.col(mark).isNotNull()).distinct())
+        s = spans.join(names, lower_strip(spans["term"]) == F.col(mark), "left")
     else:
-        s = s.withColumn("_known", F.lit(None).cast("string"))
-    safe = F.col("_known").isNotNull()
-    cols = {"start": F.when(safe, F.col("start")).otherwise(start), "end": F.when(safe, F.col("end")).otherwise(start + F.length("_kept")), "term": F.when(safe, strip("term")).otherwise(F.col("_kept"))}
-    s = s.where(safe | ~gone)
-    return s.select(*[cols[c].cast(spans.schema[c].dataType).alias(c) if c in cols else F.col(c) for c in spans.columns]).where(~is_blank("term"))
+        s = spans.withColumn(mark, F.lit(None).cast("string"))
+    s = s.withColumn(part, cut("term"))
+    safe, start = F.col(mark).isNotNull(), F.col("start") + F.col(f"{part}.at")
+    cols = {"start": F.when(safe, F.col("start")).otherwise(start), "end": F.when(safe, F.col("end")).otherwise(start + F.length(f"{part}.kept")), "term": F.when(safe, strip("term")).otherwise(F.col(f"{part}.kept"))}
+    s = s.where(F.when(safe, ~is_blank("term")).otherwise(F.col(f"{part}.kept") != ""))
+    return s.select(*[cols[c].cast(spans.schema[c].dataType).alias(c) if c in cols else F.col(c) for c in spans.columns])
 
 
 def model_entities(preds: DataFrame, known: DataFrame | None, accept_from: float = L.ACCEPT_FROM, key: str = "doc_id") -> DataFrame:
@@ -121,21 +132,27 @@ def merge_adjacent(entities: DataFrame, docs: DataFrame, key: str = "doc_id", te
     """
     e = entities.select(key, F.struct("start", "end", "category", "confidence", "source", "status", "term").alias("e"))
     grouped = e.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es")).join(docs.select(key, F.col(text).alias("_text")), key)
-
-    def step(acc: Column, x: Column) -> Column:
-        prev = F.try_element_at(acc, F.lit(-1))
-        gap = span_slice(F.col("_text"), prev["end"], x["start"])
-        joins = (F.size(acc) > 0) & (prev["category"] == x["category"]) & is_blank(gap) & ~lower_strip(x["term"]).isin(*trailing) & ~lower_strip(prev["term"]).isin(*leading)
-        conf = F.least(prev["confidence"], x["confidence"])
-        merged = F.struct(
-            prev["start"].alias("start"), x["end"].alias("end"), prev["category"].alias("category"), F.round(conf, 4).alias("confidence"),
-            F.when((prev["source"] == "ML") | (x["source"] == "ML"), "ML").otherwise("dictionary").alias("source"), L.route(conf, accept_from).alias("status"),
-            span_slice(F.col("_text"), prev["start"], x["end"]).alias("term"),
-        )
-        return F.when(F.coalesce(joins, F.lit(False)), F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), merged)).otherwise(F.array_append(acc, x))
-
-    es = grouped.schema["es"].dataType.simpleString()
-    out = grouped.select(key, F.aggregate("es", F.array().cast(es), step).alias("es"))
+    lead, trail = frozenset(leading), frozenset(trailing)
+    def fold(spans: list[dict], whole: str) -> list[dict]:
+        out: list[dict] = []
+        for x in spans:
+            prev = out[-1] if out else None
+            if prev and prev["category"] == x["category"] and not whole[prev["end"] : x["start"]].strip() and x["term"].strip().lower() not in trail and prev["term"].strip().lower() not in lead:
+                least = min(c for c in (prev["confidence"], x["confidence"], 1.0) if c is not None)
+                source = "ML" if "ML" in (prev["source"], x["source"]) else "dictionary"
+                status = L.ACCEPTED if least >= accept_from else L.NEEDS_REVIEW
+                out[-1] = x | {"start": prev["start"], "confidence": round(least, 4), "source": source, "status": status, "term": whole[prev["start"] : x["end"]]}
+            else:
+                out.append(x)
+        return out
+
+    def run(batches):
+        for batch in batches:
+            es = batch.column("es")
+            merged = [fold(own, whole or "") for own, whole in zip(es.to_pylist(), batch.column("_text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(merged, es.type)], [key, "es"])
+
+    out = grouped.select(key, "es", "_text").mapInArrow(run, grouped.select(key, "es").schema)
     return out.select(key, F.explode("es").alias("e")).select(key, "e.*")
 
 

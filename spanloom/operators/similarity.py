@@ -9,11 +9,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from .scratch import Scratch
 
 
 @F.pandas_udf(DoubleType())
@@ -34,7 +36,7 @@ GRAM = 4
 LONG = 200
 
 
-@lru_cache(maxsize=128)
+@lru_cache(maxsize=512)
 def profile(text: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
     """A text's distinct n-grams, their numbers, and the numbers of its characters."""
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -57,12 +59,6 @@ def most_matched(a: str, b: str) -> int:
     return int(np.minimum(na[i], nb[j]).sum()) + (GRAM - 1) * blocks
 
 
-def shared_characters(a: str, b: str) -> int:
-    """Characters that both texts hold, with their numbers: another upper bound."""
-    ca, cb = profile(a)[2], profile(b)[2]
-    return sum(min(n, cb.get(c, 0)) for c, n in ca.items())
-
-
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bits; no choice of blocks covers more."""
     at: dict[str, int] = {}
@@ -76,48 +72,102 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def ratio_from(least: float):
-    """ratio_udf, with null where bounds show that the ratio is below least."""
-
-    @F.pandas_udf(DoubleType())
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        m, last, out = difflib.SequenceMatcher(), None, []
-        for x, y in zip(a, b, strict=True):
-            if x == y:
-                out.append(1.0)
+class Block:
+    """Texts that others are compared with: their n-grams and characters as one index, so that bounds come for all of them at once."""
+
+    def __init__(self, texts: list[str], least: float) -> None:
+        self.texts, self.least = texts, least
+        self.size = np.array([len(t) for t in texts])
+        self.grams = _Index([profile(t)[:2] for t in texts])
+        self.chars = _Index([_characters(t) for t in texts])
+        rare = [sum(n for n in profile(t)[2].values() if n <= len(t) // 100 + 1) for t in texts]
+        self.blocks = 1 + np.array(rare)  # no more blocks than this in a comparison with the text as the second one
+
+    def likely(self, text: str) -> np.ndarray:
+        """Numbers of the texts whose lengths, characters and n-grams allow the ratio with text as the first one."""
+        need = self.least * (len(text) + self.size) / 2 - 1e-6
+        ok = np.minimum(len(text), self.size) >= need
+        ok &= self.chars.shared(*_characters(text)) >= need
+        if (ok & (self.size >= LONG)).any():
+            ok &= (self.size < LONG) | (self.grams.shared(*profile(text)[:2]) + (GRAM - 1) * self.blocks >= need)
+        return np.flatnonzero(ok)
+
+    def ratios(self, text: str):
+        """(number, ratio) of the texts with a ratio of least or more."""
+        for k in self.likely(text):
+            other = self.texts[k]
+            if text == other:
+                yield k, 1.0
                 continue
-            need = least * (len(x) + len(y)) / 2 - 1e-6
-            if shared_characters(x, y) < need or (len(y) >= LONG and most_matched(x, y) < need) or common_length(x, y) < need:
-                out.append(None)
+            need = self.least * (len(text) + len(other)) / 2 - 1e-6
+            if (len(other) >= LONG and most_matched(text, other) < need) or common_length(text, other) < need:
                 continue
-            if y != last:
-                m.set_seq2(y)
-                last = y
-            m.set_seq1(x)
-            out.append(m.ratio())
-        return pd.Series(out, dtype="float64")
+            ratio = difflib.SequenceMatcher(None, text, other).ratio()
+            if ratio >= self.least:
+                yield k, ratio
+
+
+def _characters(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)
+
+
+class _Index:
+    """How many values each of several multisets shares with another one, counted with their numbers."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.n = len(sets)
+        value = np.concatenate([v for v, _ in sets])
+        order = np.argsort(value, kind="stable")
+        self.value = value[order]
+        self.of = np.repeat(np.arange(self.n), [len(v) for v, _ in sets])[order]
+        self.count = np.concatenate([n for _, n in sets])[order]
 
-    return ratio
+    def shared(self, value: np.ndarray, count: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.value, value, "left"), np.searchsorted(self.value, value, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.of[at], np.minimum(self.count[at], np.repeat(count, n)), self.n)
 
 
-def length_bound(a: str, b: str, least: float):
-    """Lengths that allow the ratio: 2 min / (min + max) >= least."""
-    n, m = F.length(a), F.length(b)
-    return 2 * F.least(n, m) >= least * (n + m)
+#: Distinct texts of each side that meet in one group.
+LEFT_BLOCK, RIGHT_BLOCK = 1000, 200
 
 
-def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str, right_key: str, text: str = "text", exact: bool = True) -> DataFrame:
-    """(left_key, right_key, ratio) of normalised texts whose sequence ratio is at least least.
+def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str, right_key: str, text: str = "text") -> DataFrame:
+    """(left_key, right_key, ratio) of normalised texts whose sequence ratio is at least least; blank texts are left out.
 
-    Texts meet only in neighbouring bands of the logarithm of their lengths: at this ratio the longer is at most (2 - least) / least times the shorter.
-    Bounds by length, by shared characters, by n-grams and by common subsequences come before the ratio itself.
+    Equal texts of a side are compared once. Texts meet only in neighbouring bands of the logarithm of their lengths: at this ratio the longer is at
+    most (2 - least) / least times the shorter. Within a band both sides are cut into blocks, and each pair of blocks is a group, so
+    no key fills a task and no pair of texts is a row. Bounds by characters and by n-grams come for a whole block at once, then
+    one by common subsequences, then the ratio itself. All bounds are exact. The pairs of blocks grow with the product of the sides: no filter by
+    shared grams is exact at a ratio of 0.7, where texts may share no run of four characters.
     """
     step = math.log((2 - least) / least) or 1e-9
-    band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / step)
-    l = left.select(left_key, T.normalise(text).alias("a")).where("a <> ''").withColumn("band", band("a"))  # noqa: E741
-    r = right.select(right_key, T.normalise(text).alias("b")).where("b <> ''").withColumn("band", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: band("b") + k)))
-    met = l.join(r, "band").where(length_bound("a", "b", least))
-    return met.select(left_key, right_key, ratio_from(least)("a", "b").alias("ratio")).where(F.col("ratio") >= least)
+    band = F.floor(F.log(F.greatest(F.length("t"), F.lit(1))) / step)
+    scratch = Scratch(left.sparkSession, "ratios")
+    side = lambda df, key: scratch.save(df.select(F.col(key).alias("k"), T.normalise(text).alias("t")).where("t <> ''").withColumn("h", F.sha2("t", 256)), "side")
+    l, r = side(left, left_key), side(right, right_key)  # noqa: E741
+    texts = lambda df: df.groupBy("h").agg(F.first("t").alias("t"))
+    near = lambda df: df.withColumn("band", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: band + k)))
+    a, b = scratch.save(texts(l).withColumn("band", band), "texts"), scratch.save(near(texts(r)), "texts")
+    blocks = lambda df, n, name: df.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / n).alias(name))
+    size = scratch.save(blocks(a, LEFT_BLOCK, "nl").join(blocks(b, RIGHT_BLOCK, "nr"), "band"), "blocks")  # a row for each band
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    a = a.join(F.broadcast(size), "band").withColumn("i", F.pmod(F.xxhash64("h"), "nl")).withColumn("j", F.explode(upto("nr")))
+    b = b.join(F.broadcast(size), "band").withColumn("j", F.pmod(F.xxhash64("h"), "nr")).withColumn("i", F.explode(upto("nl")))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if x.num_rows and y.num_rows:
+            block, names = Block(y.column("t").to_pylist(), least), y.column("h").to_pylist()
+            for h, t in zip(x.column("h").to_pylist(), x.column("t").to_pylist(), strict=True):
+                out.extend((h, names[k], ratio) for k, ratio in block.ratios(t))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.string()), "b": pa.array([o[1] for o in out], pa.string()), "ratio": pa.array([o[2] for o in out], pa.float64())})
+
+    on = ["band", "i", "j"]
+    met = a.select(*on, "h", "t").groupBy(*on).cogroup(b.select(*on, "h", "t").groupBy(*on)).applyInArrow(compare, "a string, b string, ratio double")
+    named = met.join(l.select(F.col("h").alias("a"), F.col("k").alias(left_key)), "a").join(r.select(F.col("h").alias("b"), F.col("k").alias(right_key)), "b")
+    return named.select(left_key, right_key, "ratio")
 
 
 def word_then_ratio(left: DataFrame, right: DataFrame, left_key: str, right_key: str, jaccard: float = 0.6, least: float = 0.7, text: str = "text") -> DataFrame:

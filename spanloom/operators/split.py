@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .components import connected_components
-from .dedup import deduplicate_records
+from .dedup import deduplicate_normalised, deduplicate_records
+from .dictionary import aligned_records, small
 from .leakage import exclude, protected_texts
+from .names import unused
 from .scratch import Scratch
 from .similarity import ratio_pairs
 
@@ -30,34 +33,47 @@ def sentence_components(records: DataFrame, scratch: Scratch, key: str = "doc_id
 def component_split(records: DataFrame, scratch: Scratch, order: str, train: float = 0.70, dev: float = 0.15, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component, split) of the deduplicated records: whole components are dealt to train, dev and test.
 
-    Components come in a seeded order and fill train while they fit its share, then dev, then test; train also takes one that dev can't
-    hold while it is short. That rule is a fold over components, so it runs over one table of their sizes (16 bytes each), streamed in
-    order; the records stay where they are.
+    Components come in a seeded order (by MD5 of seed and component) and fill train while they fit its share, then dev, then test; train also takes one when dev is
+    full and train is short. The order is cut into about as many chunks as a chunk has components, and a chunk
+    is a row of a table of sums. A chunk that fits as a whole, or of which nothing fits, is dealt as a whole; only the components of the few
+    chunks where a limit is reached are looked at one by one.
     """
     own = deduplicate_records(records, order, text)
     comp = scratch.save(sentence_components(own, scratch, key, text), "components")
     n = comp.count()
     most = (int(n * train), int(n * dev))
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("o", F.xxhash64(F.lit(seed), "component"))
-
-    def fill(batches):
-        have = [0, 0]
-        for pdf in batches:
-            out = []
-            for size in pdf["n"]:
-                if have[0] + size <= most[0] or (have[1] >= most[1] and have[0] < most[0]):
-                    have[0] += size
-                    out.append("train")
-                elif have[1] + size <= most[1]:
-                    have[1] += size
-                    out.append("dev")
+    order_of = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("component").cast("string")).cast("binary"))
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("o", order_of)
+    digits = max(0, round(math.log(max(1, sizes.count()), 256)))
+    sizes = scratch.save(sizes.withColumn("chunk", F.substring("o", 1, digits)), "sizes")
+    chunks = sizes.groupBy("chunk").agg(F.sum("n").alias("total"), F.min("n").alias("least")).orderBy("chunk").collect()  # about the square root of the components
+    have, whole, single = [0, 0], [], []
+    for c in chunks:
+        left = [m - h for m, h in zip(most, have, strict=True)]
+        takes_any = left[1] <= 0 < left[0]  # dev is full and train is short: train takes whatever comes
+        if not takes_any and c.total <= left[0]:
+            whole.append((c.chunk, "train"))
+            have[0] += c.total
+        elif not takes_any and c.least > left[0] and c.total <= left[1] and not (c.total == left[1] and left[0] > 0):
+            whole.append((c.chunk, "dev"))
+            have[1] += c.total
+        elif not takes_any and c.least > left[0] and c.least > left[1]:
+            whole.append((c.chunk, "test"))
+        else:
+            for r in sizes.where(F.col("chunk") == c.chunk).orderBy("o", "component").select("component", "n").collect():  # one chunk
+                if have[0] + r.n <= most[0] or (have[1] >= most[1] and have[0] < most[0]):
+                    have[0] += r.n
+                    single.append((r.component, "train"))
+                elif have[1] + r.n <= most[1]:
+                    have[1] += r.n
+                    single.append((r.component, "dev"))
                 else:
-                    out.append("test")
-            yield pd.DataFrame({"component": pdf["component"], "split": out})
-
-    kind = comp.schema["component"].dataType.simpleString()
-    dealt = sizes.repartition(1).sortWithinPartitions("o", "component").mapInPandas(fill, f"component {kind}, split string")
-    return comp.join(scratch.save(dealt, "dealt"), "component").select(key, "component", "split")
+                    single.append((r.component, "test"))
+    spark, kind = comp.sparkSession, comp.schema["component"].dataType.simpleString()
+    by_chunk = F.broadcast(spark.createDataFrame(whole, "chunk string, by_chunk string"))
+    by_one = F.broadcast(spark.createDataFrame(single, f"component {kind}, by_one string"))
+    dealt = sizes.join(by_chunk, "chunk", "left").join(by_one, "component", "left").select("component", F.coalesce("by_one", "by_chunk").alias("split"))
+    return comp.join(dealt, "component").select(key, "component", "split")
 
 
 def stratified_folds(records: DataFrame, stratum: str, k: int = 5, key: str = "doc_id", seed: int | None = None) -> DataFrame:
@@ -81,13 +97,14 @@ def stratified_folds(records: DataFrame, stratum: str, k: int = 5, key: str = "d
 
 
 def seeded_sample(records: DataFrame, stratum: str, n: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
-    """n records of each stratum, the least by a seeded hash (a sampling operator); candidates are cut before the shuffle."""
-    near = records.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    top = near.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(stratum, "_s")
+    """n records of each stratum, the least by MD5 of seed and key (a sampling operator); candidates are cut before the shuffle."""
+    hashed, rows, mine, rank = unused(records, "_h", "_n", "_s", "_k")
+    near = records.withColumn(hashed, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
+    top = small(near.groupBy(stratum).agg(F.count(F.lit(1)).alias(rows)).withColumnRenamed(stratum, mine))
     # a hash bound that leaves about 4 n + 64 rows of a stratum, then the exact choice among them
-    share = F.least(F.lit(1.0), (4 * n + 64) / F.col("_n"))
-    few = near.join(F.broadcast(top), F.col(stratum).eqNullSafe(F.col("_s"))).where((F.col("_h") / F.lit(2.0**64) + 0.5) <= share)
-    return few.withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))).where(F.col("_k") <= n).drop("_h", "_n", "_s", "_k")
+    share = F.least(F.lit(1.0), (4 * n + 64) / F.col(rows))
+    few = near.join(top, F.col(stratum).eqNullSafe(F.col(mine))).where(F.conv(F.substring(hashed, 1, 12), 16, 10).cast("long") / F.lit(2.0**48) <= share)
+    return few.withColumn(rank, F.row_number().over(Window.partitionBy(stratum).orderBy(hashed, key))).where(F.col(rank) <= n).select(*records.columns)
 
 
 def fold_pools(real: DataFrame, folds: DataFrame, fold: int, paraphrases: DataFrame, generated: DataFrame, least: float = 0.7, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -107,3 +124,31 @@ def fold_pools(real: DataFrame, folds: DataFrame, fold: int, paraphrases: DataFr
     clean = exclude(generated, protected_texts([val]), T.lower_strip("text"))
     pool = train.select("text").withColumn("pool", F.lit("real")).unionByName(kept.select("text").withColumn("pool", F.lit("paraphrase"))).unionByName(clean.select("text").withColumn("pool", F.lit("generated")))
     return pool, removed, val
+
+
+def make_folds(records: DataFrame, classes: Column, paraphrases: DataFrame, generated: DataFrame, order: str = "doc_id", k: int = 5, least: float = 0.7, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(folds, pools, counts) of cross-validation: near-exact copies go, records are dealt to k folds within their classes, and each fold gets its pools.
+
+    folds: (key, fold); pools: (fold, pool, text); counts: (fold, part, n) of the pools, the validation texts and the sources removed, by reason.
+    """
+    scratch = Scratch(records.sparkSession, "folds")
+    real = scratch.save(deduplicate_normalised(records, order).withColumn("_class", classes), "records")
+    folds = scratch.save(stratified_folds(real.select(key, "_class"), "_class", k, key).select(key, "fold"), "folds")
+    pools = counts = None
+    for fold in range(k):
+        pool, removed, val = fold_pools(real.select(key, "text"), folds, fold, paraphrases, generated, least, key)
+        parts = pool.groupBy(F.col("pool").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.unionByName(removed.groupBy(F.concat(F.lit("removed_by_"), "reason").alias("part")).agg(F.count(F.lit(1)).alias("n")))
+        parts = parts.unionByName(val.agg(F.count(F.lit(1)).alias("n")).select(F.lit("validation").alias("part"), "n"))
+        own, parts = pool.select(F.lit(fold).alias("fold"), "pool", "text"), parts.select(F.lit(fold).alias("fold"), "part", "n")
+        pools, counts = (own, parts) if pools is None else (pools.unionByName(own), counts.unionByName(parts))
+    return folds, pools, counts
+
+
+def prepare(records: DataFrame, spans: DataFrame, scratch: Scratch, order: str = "doc_id", seed: int = 42, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(records with split, spans ready to be stored): deduplicated records in train, dev and test, whole components of shared sentences
+    together, and their spans moved to token ends without overlaps."""
+    split = component_split(records, scratch, order, seed=seed, key=key, text=text)
+    own = scratch.save(records.join(split.select(key, "split"), key), "records")
+    kept = spans.join(own.select(key, "split"), key).drop("split")
+    return own, aligned_records(own, kept, key, text)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.config import LABEL_KEYS, RECORD_KEYS, SECOND_LABEL_WORDS, SURFACE_KEYS
 from ..functions.labels import SPAN_LABELS
-from .dedup import deduplicate_accepted, first_by
+from .dedup import deduplicate_accepted, first_row
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
 
@@ -68,33 +68,65 @@ def relocate(candidates: DataFrame, source_text: str = "source_text", text: str
     return candidates.mapInPandas(run, fields)
 
 
-_NOTHING = {"", "none", "null", "[]", "{}", "no entities"}
+#: Words that stand for "no entity" in generated answers (lower case).
+NO_ENTITY = ("", "none", "null", "[]", "{}", "no entities")
+
+
+def json_values(raw: str) -> Iterator:
+    """Every JSON object or array in a text, left to right, whatever stands around them; what lies inside one is not given again."""
+    read, at = json.JSONDecoder().raw_decode, 0
+    while at < len(raw):
+        if raw[at] in "[{":
+            try:
+                value, at = read(raw, at)
+                yield value
+                continue
+            except ValueError:
+                pass
+        at += 1
+
+
+def _first_of(item: dict, names: Sequence[str]) -> str:
+    return next((str(item[n]).strip() for n in names if item.get(n)), "")
+
+
+def _marked(own: str, marks: Sequence[str]) -> tuple[str, str]:
+    """(surface, label) of a string that may carry a label at its beginning or its end, set off by white space, colons or dashes."""
+    parts = re.split(r"([\s:\-]+)", own)
+    known = {m.upper() for m in marks}
+    if len(parts) > 2 and parts[0].upper() in known:
+        return "".join(parts[2:]), parts[0]
+    if len(parts) > 2 and parts[-1].upper() in known:
+        return "".join(parts[:-2]), parts[-1]
+    return own, ""
+
+
+def entity_items(raw) -> list:
+    """What a record names as entities, as a list: a list as it is, an object or a string as one item, and a string that holds JSON as what it holds."""
+    if isinstance(raw, str):
+        own = raw.strip()
+        if own.lower().rstrip(".") in NO_ENTITY:
+            return []
+        whole = list(json_values(own)) if own[0] in "[{" and own[-1] in "]}" else []
+        return entity_items(whole[0]) if len(whole) == 1 else [own]
+    if isinstance(raw, list):
+        return [x for x in raw if x and str(x).strip().lower().rstrip(".") not in NO_ENTITY]
+    return [raw] if raw else []
 
 
 def read_entity(raw, marks: Sequence[str] = (*SPAN_LABELS, "IT", "CLERICAL")) -> tuple[str, str] | None:
     """(surface, label) of one entity as a generator may write it: an object, the same as JSON text, or a
     string with the label before or after it; None if it names nothing."""
-    if isinstance(raw, str):
-        own = raw.strip()
-        if own.lower() in _NOTHING:
-            return None
-        if own[:1] == "{" and own[-1:] == "}":
-            try:
-                decoded = json.loads(own)
-            except ValueError:
-                decoded = None
-            raw = decoded if isinstance(decoded, dict) else own
-    if isinstance(raw, dict):
-        pick = lambda keys: str(next((raw[k] for k in keys if raw.get(k)), "")).strip()
-        surface = pick(SURFACE_KEYS)
-        return (surface, pick(LABEL_KEYS)) if surface else None
-    if not isinstance(raw, str):
+    items = entity_items(raw) if isinstance(raw, str) else [raw]
+    if len(items) != 1:
+        return None
+    if isinstance(items[0], dict):
+        surface, label = _first_of(items[0], SURFACE_KEYS), _first_of(items[0], LABEL_KEYS)
+    elif isinstance(items[0], str):
+        surface, label = _marked(items[0].strip(), marks)
+        surface = surface.strip().strip("'\"`")
+    else:
         return None
-    own, names = raw.strip(), "|".join(map(re.escape, marks))
-    before = re.match(rf"({names})[\s:\-]+(.*)$", own, re.IGNORECASE)
-    after = None if before else re.match(rf"(.*?)[\s:\-]+({names})$", own, re.IGNORECASE)
-    surface, label = (before[2], before[1]) if before else (after[1], after[2]) if after else (own, "")
-    surface = surface.strip().strip("'\"`")
     return (surface, label) if surface else None
 
 
@@ -106,31 +138,17 @@ def guess_label(raw: str, surface: str, second_words: Sequence[str] = SECOND_LAB
     return SPAN_LABELS[1] if "CLERICAL" in up or any(w in low for w in second_words) else SPAN_LABELS[0]
 
 
-def _as_list(value) -> list | None:
+def _records(value) -> list | None:
+    """The records in a decoded answer: a list of objects, the list that an object wraps, or an object that is a record itself."""
     if isinstance(value, list):
-        return value
-    if isinstance(value, dict):
-        named = next((value[k] for k in RECORD_KEYS if isinstance(value.get(k), list)), None)
-        return named if named is not None else [value] if "text" in value else None
-    return None
+        return value if not value or any(isinstance(x, dict) for x in value) else None
+    wrapped = [value[k] for k in RECORD_KEYS if isinstance(value.get(k), list)]
+    return wrapped[0] if wrapped else [value] if "text" in value else None
 
 
 def read_response(raw: str) -> list:
-    """Records in a generator's answer: a fenced block, the whole as JSON, or the first thing that looks like a list of objects."""
-    own = raw.strip()
-    fenced = re.search(r"```(?:json)?\s*([\s\S]*?)\s*```", own)
-    listed = re.search(r"\[\s*\{[\s\S]*\}\s*\]", own)
-    for source, only_list in ((fenced and fenced[1], False), (own, False), (listed and listed[0], True)):
-        if not source:
-            continue
-        try:
-            value = json.loads(source)
-        except ValueError:
-            continue
-        got = value if only_list and isinstance(value, list) else _as_list(value)
-        if got is not None:
-            return got
-    return []
+    """Records in a generator's answer: those of the first JSON value that holds any, be it fenced, bare or in the middle of prose."""
+    return next((found for found in map(_records, json_values(raw)) if found is not None), [])
 
 
 def parse_responses(responses: DataFrame, key: str = "response_id", raw: str = "raw") -> DataFrame:
@@ -144,11 +162,9 @@ def parse_responses(responses: DataFrame, key: str = "response_id", raw: str = "
                     text = rec.get("text") if isinstance(rec, dict) else None
                     if not isinstance(text, str):
                         continue
-                    ents = rec.get("entities")
-                    ents = ents if isinstance(ents, list) else [ents] if ents else []
-                    named = [x for x in map(read_entity, ents) if x]
-                    real = [x for x in ents if x and str(x).lower().strip() not in _NOTHING]
-                    spans = (None if real else []) if not named else place_all(text, [(s, guess_label(lab, s)) for s, lab in named])
+                    items = entity_items(rec.get("entities"))
+                    named = [x for x in map(read_entity, items) if x]
+                    spans = (None if items else []) if not named else place_all(text, [(s, guess_label(lab, s)) for s, lab in named])
                     rows.append((k, i, text, spans))
             yield pd.DataFrame(rows, columns=[key, "idx", "text", "entities"])
 
@@ -184,8 +200,8 @@ def accept_candidates(candidates: DataFrame, protected: DataFrame, reason: Colum
     passes reason, and is neither protected nor an accepted candidate of a source before it."""
     moved = relocate(candidates).withColumn("_reason", reason).where("_reason is null").drop("_reason")
     free = moved.join(protected.select(F.col("key").alias("_key")), T.lower_strip("text") == F.col("_key"), "left_anti")
-    best = first_by(free, ["source_id"], "rank")
-    return first_by(best, [T.lower_strip("text")], "source_id")
+    best = first_row(free, ["source_id"], "rank")
+    return first_row(best, [T.lower_strip("text")], "source_id")
 
 
 def accept_generated(responses: DataFrame, protected: DataFrame, banned_terms: DataFrame | None, reason: Column, key: str = "response_id") -> DataFrame:

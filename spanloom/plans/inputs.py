@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
-from ..operators.dictionary import token_table
+from ..operators.dictionary import token_rows
+from ..operators.scratch import Scratch
 from ..sources.tables import table
 
 TOK_SQL = f"""
-tk0 AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS t FROM documents),
+tk0 AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS t FROM documents),
 tk1 AS (SELECT doc_id, unnest(t) AS tok, unnest(range(len(t))) AS idx FROM tk0),
-tok AS (SELECT doc_id, idx, tok, CAST(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY idx) - length(tok) AS BIGINT) AS start FROM tk1)"""
+tok AS MATERIALIZED (SELECT doc_id, idx, tok, CAST(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY idx) - length(tok) AS BIGINT) AS start FROM tk1)"""
 
 TERMS_SQL = """
 tw AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 4) AS w FROM documents WHERE lang = 'en'),
@@ -31,7 +32,10 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
-    """(term, label, ord): the 40 most frequent English words of four letters or more and their 20 most frequent pairs."""
+    """(term, label, ord): the 40 most frequent English words of four letters or more and their 20 most frequent pairs.
+
+    The table is written once a call, since operators read a dictionary more than once.
+    """
     w = docs(spark, d).where("lang = 'en'").select(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) >= 4).alias("w"))
     pairs = F.when(F.size("w") >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1))))).otherwise(F.array().cast("array<string>"))
 
@@ -41,24 +45,23 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
 
     both = top(F.array_distinct("w"), 40, 0).unionByName(top(pairs, 20, 40))
     label = F.when(F.col("r") % 2 == 1, "IT_TERM").otherwise("CLERICAL_TERM")
-    return both.select("term", label.alias("label"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.length("term").desc(), "r")).alias("ord"))
+    return Scratch(spark, "terms").save(both.select("term", label.alias("label"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.length("term").desc(), "r")).alias("ord")))
 
 
 PAIRS_SQL = r"""
 wp0 AS (SELECT doc_id, idx, tok, start, lead(tok, 1) OVER w AS gap, lead(tok, 2) OVER w AS second FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
-wp AS (SELECT doc_id, idx, tok, second, start, start + length(tok) + 1 + length(second) AS end_, tok || ' ' || second AS term
+wp AS MATERIALIZED (SELECT doc_id, idx, tok, second, start, start + length(tok) + 1 + length(second) AS end_, tok || ' ' || second AS term
        FROM wp0 WHERE gap = ' ' AND regexp_full_match(tok, '[\p{L}\p{N}_]+') AND regexp_full_match(second, '[\p{L}\p{N}_]+')),
-ml AS (SELECT doc_id, idx, start, end_, term, CASE WHEN (doc_id + idx) % 2 = 0 THEN 'IT_TERM' ELSE 'CLERICAL_TERM' END AS category,
+ml AS MATERIALIZED (SELECT doc_id, idx, start, end_, term, CASE WHEN (doc_id + idx) % 2 = 0 THEN 'IT_TERM' ELSE 'CLERICAL_TERM' END AS category,
               0.5 + ((31 * doc_id + idx) % 50) / 100.0::DOUBLE AS confidence FROM wp WHERE (doc_id + idx) % 17 = 0),
-gold AS (SELECT doc_id, idx, start, CASE WHEN idx % 5 = 0 THEN start + length(tok) ELSE end_ END AS end_,
+gold AS MATERIALIZED (SELECT doc_id, idx, start, CASE WHEN idx % 5 = 0 THEN start + length(tok) ELSE end_ END AS end_,
                 CASE WHEN idx % 5 = 0 THEN tok ELSE term END AS term, CASE WHEN (doc_id + idx) % 4 < 2 THEN 'IT_TERM' ELSE 'CLERICAL_TERM' END AS label
          FROM wp WHERE (doc_id + idx) % 34 = 0 OR (doc_id + idx) % 51 < 2)"""
 
 
 def word_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, idx, tok, second, start, end, term): two words with one space between."""
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    t = token_table(docs(spark, d)).withColumn("gap", F.lead("tok", 1).over(w)).withColumn("second", F.lead("tok", 2).over(w))
+    t = token_rows(docs(spark, d), after=2).withColumnsRenamed({"after1": "gap", "after2": "second"})
     word = r"^[\p{L}\p{N}_]+$"
     t = t.where((F.col("gap") == " ") & F.col("tok").rlike(word) & F.col("second").rlike(word))
     return t.withColumn("end", F.col("start") + F.length("tok") + 1 + F.length("second")).withColumn("term", F.concat_ws(" ", "tok", "second")).drop("gap")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.config import TRAILING_TRIM
 from ..operators import dictionary as D
 from ..operators import summary as S
 from ..sources.readers import known_terms, terms_by_label
@@ -46,7 +47,7 @@ ORACLE_SQL["dict_extract"] = f'WITH {EXTRACT_SQL} SELECT doc_id, start, end_ AS
 QUERIES["dict_entities"] = lambda spark, d: D.dictionary_entities(docs(spark, d), terms(spark, d))
 ORACLE_SQL["dict_entities"] = f"""WITH {ENTITIES_SQL}
 SELECT doc_id, start, end_ AS "end", term, label AS category, 1.0::DOUBLE AS confidence, 'dictionary' AS source, 'ACCEPTED' AS status FROM dict
-WHERE NOT (lower(term) IN ('is','was','are','were','be','been','being','the','a','an','and','or','in','on','at','to','for','with','by','of') AND term <> upper(term))"""
+WHERE NOT (lower(term) IN {TRAILING_TRIM} AND term <> upper(term))"""
 
 
 def dict_summary(spark, d):

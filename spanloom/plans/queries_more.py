@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.config import LEADING_TRIM, TRAILING_TRIM
 from ..functions import text as T
 from ..operators import leakage as K
 from ..operators import metrics as M
@@ -12,16 +13,16 @@ from ..operators import report as R
 from ..operators import resolve as X
 from ..operators import split as P
 from ..operators import synth as Y
+from ..operators.scratch import Scratch
 from ..operators.summary import batch_rows, review_flag
 from ..sources.tables import table
 from .inputs import PAIRS_SQL, TERMS_SQL, TOK_SQL, docs, gold_spans, ml_spans, terms
-from .queries_resolve import entity_pairs
+from .queries_resolve import RESOLVED_SQL, entity_pairs
 
 QUERIES, ORACLE_SQL = {}, {}
 
 TRIMMED = f"""{TOK_SQL}, {PAIRS_SQL}, {TERMS_SQL},
-lw AS (SELECT ['the','a','an','and','or','in','on','at','to','for','with','by','of','processing','installing','configuring','managing','troubleshooting','encoding','updating','handling','assisting','performing','conducting'] AS l,
-              ['is','was','are','were','be','been','being','the','a','an','and','or','in','on','at','to','for','with','by','of'] AS t),
+lw AS (SELECT {list(LEADING_TRIM)} AS l, {list(TRAILING_TRIM)} AS t),
 x AS (SELECT ml.*, split_part(term, ' ', 1) AS a, split_part(term, ' ', 2) AS b, lower(term) IN (SELECT term FROM terms) AS safe FROM ml),
 y AS (SELECT x.*, NOT safe AND list_contains(l, lower(a)) AS la, NOT safe AND list_contains(t, lower(b)) AS tb, list_contains(l, lower(b)) OR list_contains(t, lower(b)) AS eb, list_contains(l, lower(a)) OR list_contains(t, lower(a)) AS ea FROM x, lw),
 z AS (SELECT doc_id, category, round(least(0.9999::DOUBLE, confidence), 4) AS confidence, CASE WHEN la THEN start + length(a) + 1 ELSE start END AS start, CASE WHEN la THEN end_ WHEN tb THEN start + length(a) ELSE end_ END AS end_,
@@ -64,7 +65,7 @@ def quality_reasons(spark, d):
 
 
 QUERIES["quality_reasons"] = quality_reasons
-ORACLE_SQL["quality_reasons"] = f"""WITH {TOK_SQL}, {PAIRS_SQL}, g AS (SELECT doc_id, list(lower(term)) AS s FROM gold WHERE start < 600 GROUP BY doc_id)
+ORACLE_SQL["quality_reasons"] = f"""WITH {TOK_SQL}, {PAIRS_SQL}, g AS (SELECT doc_id, list(lower(term)) AS s FROM gold GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN length(trim(text)) < 10 OR length(text) > 1500 THEN 'length' WHEN len(list_filter(s, lambda t: t IN ('the', 'of', 'a'))) > 0 THEN 'blocked_term'
        WHEN len(list_filter(s, lambda t: t <> 'of the' AND (suffix(t, ' the') OR suffix(t, ' le')))) > 0 THEN 'loose_ending' END AS reason FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
 
@@ -139,7 +140,7 @@ ORACLE_SQL["condition_grid"] = "SELECT condition, CAST(fold AS INTEGER) AS fold
 def fold_pools(spark, d):
     """Pools of each of five folds: real documents, all of them with their number added as paraphrases, turns as generated texts; sizes and removals."""
     real = docs(spark, d).select("doc_id", "text")
-    folds = P.stratified_folds(docs(spark, d).select("doc_id", "lang"), "lang", 5)
+    folds = Scratch(spark, "folds").save(P.stratified_folds(docs(spark, d).select("doc_id", "lang"), "lang", 5).select("doc_id", "fold"))
     para = real.select(T.source_id("text").alias("source_id"), F.col("doc_id").alias("para_id"), F.col("text").alias("source_text"), F.concat_ws(" ", "text", F.col("doc_id").cast("string")).alias("text"))
     out = None
     for fold in range(5):
@@ -155,3 +156,41 @@ QUERIES["tagged_union"] = lambda spark, d: K.tag_union({"documents": docs(spark,
 ORACLE_SQL["tagged_union"] = "SELECT 'documents' AS augmentation_type, count(*) AS n, 0 AS with_role FROM documents UNION ALL SELECT 'turns', count(*), count(role) FROM conversations"
 QUERIES["status_search"] = lambda spark, d: R.search(ml_spans(spark, d).withColumn("status", L.route("confidence")), "accepted", ["term", "status"]).select("doc_id", "start")
 ORACLE_SQL["status_search"] = f"WITH {TOK_SQL}, {PAIRS_SQL} SELECT doc_id, start FROM ml WHERE contains(lower(term), 'accepted') OR confidence >= 0.8::DOUBLE"
+
+
+def full_report(spark, d):
+    """Strict counts, counts by mode and holdout counts by status in one table."""
+    from .queries_resolve import holdout, strict_prf
+
+    return M.full_report(strict_prf(spark, d), mode_comparison(spark, d), holdout(spark, d))
+
+
+QUERIES["full_report"] = full_report
+from .queries_resolve import ORACLE_SQL as RESOLVE_SQL  # noqa: E402
+
+ORACLE_SQL["full_report"] = f"""SELECT 'strict' AS section, label AS name, tp, fp, fn, precision, recall, f1 FROM ({RESOLVE_SQL["strict_prf"]})
+UNION ALL SELECT 'mode', mode, tp, fp, fn, precision, recall, f1 FROM ({ORACLE_SQL["mode_comparison"]}) UNION ALL SELECT 'holdout', term_status, tp, NULL, fn, NULL, recall / 100, NULL FROM ({RESOLVE_SQL["holdout_by_status"]})"""
+#: The stand-in model's spans are 17 tokens apart, so none merges with its neighbour.
+QUERIES["extract_model_only"] = lambda spark, d: X.extract(docs(spark, d), ml_spans(spark, d), terms(spark, d), mode="transformer_only")[0]
+ORACLE_SQL["extract_model_only"] = ORACLE_SQL["model_entities"]
+
+#: The hybrid in SQL: model spans trimmed without the dictionary, conflicts as in RESOLVED_SQL, neighbours folded in order, trimmed once more.
+_words = "list_filter(string_split_regex(term, '\\s+'), lambda x: x <> '')"
+_ML = RESOLVED_SQL[RESOLVED_SQL.index("m AS (SELECT") : RESOLVED_SQL.index("j AS (SELECT d.doc_id")]
+_TRIMMED_ML = TRIMMED[TRIMMED.index("lw AS (SELECT") :].replace("lower(term) IN (SELECT term FROM terms) AS safe", "false AS safe") + ", m AS (SELECT * FROM me), "
+ORACLE_SQL["extract_hybrid"] = rf"""WITH {RESOLVED_SQL.replace(_ML, _TRIMMED_ML)},
+nb AS MATERIALIZED (SELECT r.*, text[lag(end_) OVER w + 1:start] AS gap FROM resolved r JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY start, end_)),
+fl AS (SELECT doc_id, list({{'s': start, 'e': end_, 'c': category, 'p': confidence::DOUBLE, 'o': source, 't': term, 'g': gap}} ORDER BY start, end_) AS h FROM nb GROUP BY doc_id),
+fd AS (SELECT doc_id, list_reduce(list_transform(h, lambda x: [x]), lambda a, y: CASE WHEN a[-1].c = y[1].c AND trim(y[1].g, E' 
+	') = '' AND lower(trim(y[1].t)) NOT IN {TRAILING_TRIM} AND lower(trim(a[-1].t)) NOT IN {LEADING_TRIM}
+       THEN list_concat(a[:-2], [{{'s': a[-1].s, 'e': y[1].e, 'c': y[1].c, 'p': round(least(a[-1].p, y[1].p), 4), 'o': CASE WHEN 'ML' IN (a[-1].o, y[1].o) THEN 'ML' ELSE 'dictionary' END, 't': a[-1].t || y[1].g || y[1].t, 'g': a[-1].g}}])
+       ELSE list_concat(a, y) END) AS k FROM fl),
+mg AS (SELECT doc_id, k.s AS start, k.e AS end_, k.c AS category, k.p AS confidence, k.o AS source, k.t AS term FROM (SELECT doc_id, unnest(k) AS k FROM fd)),
+w0 AS (SELECT *, lower(trim(term)) IN (SELECT term FROM terms) AS safe, {_words} AS w FROM mg),
+w1 AS (SELECT *, list_transform(w, lambda x: trim(lower(x), '.,:;!?()''"')) AS b, len(w) AS n FROM w0),
+w2 AS (SELECT *, least(coalesce(list_position(list_transform(b, lambda x: NOT list_contains({list(LEADING_TRIM)}, x)), true), n + 1) - 1, n - 1) AS a FROM w1),
+w3 AS (SELECT *, least(coalesce(list_position(list_transform(list_reverse(b[a + 1:]), lambda x: NOT list_contains({list(TRAILING_TRIM)}, x)), true), n - a + 1) - 1, n - a - 1) AS z FROM w2),
+w4 AS (SELECT *, CASE WHEN safe OR a = 0 THEN '' ELSE regexp_extract(term, '^(\S+\s+){{' || a || '}}') END AS head FROM w3),
+w5 AS (SELECT *, CASE WHEN safe OR z = 0 THEN substring(term, length(head) + 1) ELSE regexp_replace(substring(term, length(head) + 1), '(\s+\S+){{' || z || '}}$', '') END AS kept FROM w4)
+SELECT doc_id, start + length(head) AS start, CASE WHEN safe THEN end_ ELSE start + length(head) + length(kept) END AS "end", kept AS term, category, confidence, source, CASE WHEN confidence >= 0.8::DOUBLE THEN 'ACCEPTED' ELSE 'NEEDS_REVIEW' END AS status
+FROM w5 WHERE safe OR NOT (n - a - z = 1 AND (list_contains({list(LEADING_TRIM)}, b[a + 1]) OR list_contains({list(TRAILING_TRIM)}, b[a + 1])) AND kept <> upper(kept))"""

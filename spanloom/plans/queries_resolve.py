@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.config import LEADING_TRIM, TRAILING_TRIM
 from ..operators import metrics as M
 from ..operators import resolve as R
 from ..operators.dictionary import dictionary_entities, find_term_spans
@@ -15,7 +16,7 @@ QUERIES, ORACLE_SQL = {}, {}
 
 BOTH_SQL = f"""{ENTITIES_SQL}, {PAIRS_SQL},
 d AS (SELECT doc_id, start, end_, term, label AS category FROM dict
-      WHERE NOT (lower(term) IN ('is','was','are','were','be','been','being','the','a','an','and','or','in','on','at','to','for','with','by','of') AND term <> upper(term))),
+      WHERE NOT (lower(term) IN {TRAILING_TRIM} AND term <> upper(term))),
 m AS (SELECT doc_id, start, end_, term, category, least(0.9999::DOUBLE, confidence) AS confidence, CASE WHEN confidence >= 0.8::DOUBLE THEN 'ACCEPTED' ELSE 'NEEDS_REVIEW' END AS status FROM ml)"""
 
 
@@ -66,11 +67,9 @@ i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS island F
 SELECT doc_id, min(start) AS start, max(end_) AS "end", label AS category FROM i GROUP BY doc_id, island, label"""
 
 QUERIES["extract_hybrid"] = lambda spark, d: R.extract(docs(spark, d), ml_spans(spark, d), terms(spark, d))[0]
-QUERIES["extract_model_only"] = lambda spark, d: R.extract(docs(spark, d), ml_spans(spark, d), terms(spark, d), mode="transformer_only")[0]
 QUERIES["trim_spans"] = lambda spark, d: R.trim_spans(ml_spans(spark, d).select("doc_id", "start", "end", "term", "category"))
 ORACLE_SQL["trim_spans"] = f"""WITH {TOK_SQL}, {PAIRS_SQL},
-lw AS (SELECT ['the','a','an','and','or','in','on','at','to','for','with','by','of','processing','installing','configuring','managing','troubleshooting','encoding','updating','handling','assisting','performing','conducting'] AS l,
-              ['is','was','are','were','be','been','being','the','a','an','and','or','in','on','at','to','for','with','by','of'] AS t),
+lw AS (SELECT {list(LEADING_TRIM)} AS l, {list(TRAILING_TRIM)} AS t),
 x AS (SELECT ml.*, split_part(term, ' ', 1) AS a, split_part(term, ' ', 2) AS b FROM ml),
 y AS (SELECT x.*, list_contains(l, lower(a)) AS la, list_contains(t, lower(b)) AS tb, list_contains(l, lower(b)) OR list_contains(t, lower(b)) AS eb, list_contains(l, lower(a)) OR list_contains(t, lower(a)) AS ea FROM x, lw),
 z AS (SELECT doc_id, category, CASE WHEN la THEN start + length(a) + 1 ELSE start END AS start, CASE WHEN la THEN end_ WHEN tb THEN start + length(a) ELSE end_ END AS end_,

@@ -16,6 +16,7 @@ from ..sources.tables import table
 from ..streaming.extract import guard
 from .inputs import PAIRS_SQL, TERMS_SQL, TOK_SQL, docs, gold_spans, ml_spans, terms
 from .queries_corpus import LABELLED, labelled
+from .queries_dictionary import GREEDY_SQL
 from .queries_resolve import STATUS_SQL, entity_pairs
 from .queries_text import STRIP
 
@@ -87,9 +88,11 @@ def curated(spark, d):
     return Y.curation_reasons(turns.unionByName(more), own.where("doc_id % 3 = 0"), own.where("doc_id % 3 = 1"), own.where("doc_id % 3 = 2"), terms(spark, d), "idx")
 
 
-CURATED = rf"""{TERMS_SQL}, cr AS (SELECT conv_id * 1000 + turn AS idx, text FROM conversations UNION ALL SELECT doc_id + 10000000, text FROM documents WHERE doc_id % 7 = 3),
+CURATED = rf"""{TERMS_SQL}, cr AS (SELECT conv_id * 1000 + turn AS idx, text FROM conversations UNION ALL SELECT doc_id + 10000000, text FROM documents),
 ck AS (SELECT idx, text, {STRIP} AS k, min(idx) OVER (PARTITION BY {STRIP}) AS f FROM cr), dk AS (SELECT DISTINCT doc_id % 3 AS part, {STRIP} AS k FROM documents),
-ch AS (SELECT DISTINCT idx FROM cr JOIN terms ON regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || term || '($|[^\p{{L}}\p{{N}}_])')),
+ct AS (SELECT idx, regexp_extract_all(lower(text), '{TOKEN}') AS t FROM cr),
+cg AS (SELECT idx, unnest(list_distinct(list_concat(t, list_transform(range(1, len(t) - 1), lambda i: t[i] || t[i + 1] || t[i + 2])))) AS g FROM ct),
+ch AS (SELECT DISTINCT idx FROM cg JOIN terms ON g = term),
 cu AS (SELECT idx, text, CASE WHEN idx <> f OR k IN (SELECT k FROM dk WHERE part = 0) THEN 'duplicate' WHEN k IN (SELECT k FROM dk WHERE part = 1) THEN 'test_leak' WHEN k IN (SELECT k FROM dk WHERE part = 2) THEN 'dev_leak'
               WHEN idx IN (SELECT idx FROM ch) THEN 'accidental_entity' ELSE 'accept' END AS reason FROM ck)"""
 QUERIES["curation_reasons"] = lambda spark, d: curated(spark, d).select("idx", "reason")
@@ -109,17 +112,25 @@ def first_seen():
     return F.struct("doc_id", "start")
 
 
+def plain_gold(spark, d):
+    return gold_spans(spark, d).select("doc_id", "start", "end", "label", "term")
+
+
 QUERIES["consistency_audit"] = lambda spark, d: E.consistency(gold_spans(spark, d), first_seen()).select("term", "n_labels", "total", F.col("counts")["IT_TERM"].alias("it"), F.col("counts")["CLERICAL_TERM"].alias("cl"))
 CONSISTENT = f"""{TOK_SQL}, {PAIRS_SQL}, gl AS (SELECT lower(term) AS term, label, count(*) AS n, min(doc_id * 10000000 + start) AS f FROM gold GROUP BY ALL)"""
 ORACLE_SQL["consistency_audit"] = f"WITH {CONSISTENT} SELECT term, count(*) AS n_labels, CAST(sum(n) AS BIGINT) AS total, max(n) FILTER (WHERE label = 'IT_TERM') AS it, max(n) FILTER (WHERE label = 'CLERICAL_TERM') AS cl FROM gl GROUP BY term HAVING count(*) > 1"
 QUERIES["majority_label"] = lambda spark, d: E.consistency(gold_spans(spark, d), first_seen()).select("term", "majority")
 ORACLE_SQL["majority_label"] = f"WITH {CONSISTENT}, r AS (SELECT *, count(*) OVER (PARTITION BY term) AS k, row_number() OVER (PARTITION BY term ORDER BY n DESC, f) AS o FROM gl) SELECT term, label AS majority FROM r WHERE k > 1 AND o = 1"
-QUERIES["resolve_to_majority"] = lambda spark, d: E.resolve_to_majority(gold_spans(spark, d), first_seen()).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-ORACLE_SQL["resolve_to_majority"] = f"WITH {CONSISTENT}, r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, f) AS o FROM gl) SELECT r.label, count(*) AS n FROM gold g JOIN r ON lower(g.term) = r.term AND o = 1 GROUP BY r.label"
-
-
-def plain_gold(spark, d):
-    return gold_spans(spark, d).select("doc_id", "start", "end", "label", "term")
+QUERIES["resolve_to_majority"] = lambda spark, d: E.resolve_to_majority(docs(spark, d), plain_gold(spark, d), first_seen())[1]
+ORACLE_SQL["resolve_to_majority"] = rf"""WITH {CONSISTENT}, r AS (SELECT *, count(*) OVER (PARTITION BY term) AS k, row_number() OVER (PARTITION BY term ORDER BY n DESC, f) AS o FROM gl),
+mj AS MATERIALIZED (SELECT term, label AS ml, contains(term, ' ') AS two FROM r WHERE k > 1 AND o = 1),
+tg AS (SELECT doc_id, start, tok, tok || coalesce(lead(tok, 1) OVER w, '') || coalesce(lead(tok, 2) OVER w, '') AS three FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+pl AS MATERIALIZED (SELECT doc_id, start AS ps, start + length(tok) AS pe, ml FROM tg JOIN mj ON lower(tok) = term AND NOT two UNION ALL SELECT doc_id, start, start + length(three), ml FROM tg JOIN mj ON lower(three) = term AND two),
+mt AS (SELECT pl.*, g.start AS gs, g.end_ AS ge, g.label, row_number() OVER (PARTITION BY pl.doc_id, ps, pe ORDER BY g.start, g.end_, g.label) AS k FROM pl LEFT JOIN gold g ON g.doc_id = pl.doc_id AND g.start < pe AND g.end_ > ps),
+sy AS MATERIALIZED (SELECT doc_id, ps AS start, pe AS end_, ml AS label, CASE WHEN gs IS NULL THEN 'added' WHEN gs = ps AND ge = pe AND label <> ml THEN 'relabelled' WHEN gs = ps AND ge = pe THEN 'same' ELSE 'skipped' END AS action FROM mt WHERE k = 1),
+hits AS (SELECT doc_id, start, substring(text, start + 1, end_ - start) AS surface, label FROM sy JOIN documents USING (doc_id) WHERE action = 'added'),
+{GREEDY_SQL.format(name="free", order="-length(surface), start").strip()}
+SELECT sy.doc_id, sy.start, sy.end_ AS "end", sy.label, CASE WHEN action = 'added' AND free.start IS NULL THEN 'skipped' ELSE action END AS action FROM sy LEFT JOIN free ON sy.doc_id = free.doc_id AND sy.start = free.start AND sy.end_ = free.end_"""
 
 
 def sync_add(spark, d):
