@@ -71,7 +71,7 @@ def percentage(part: Column | str, whole: Column | str, digits: int) -> Column:
 
 
 def signed(x: Column | str) -> Column:
-    """A lift for reports: always a plus sign, then the number and a percent sign."""
+    """A lift for reports: always a plus sign, then the number and a percent sign; see report.lift."""
     return F.concat(F.lit("+"), F.round(_c(x), 2).cast("string"), F.lit("%"))
 
 

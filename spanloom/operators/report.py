@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.labels import SPAN_LABELS, percentage, ratio
 
@@ -92,3 +94,67 @@ def search(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
     for c in columns:
         cond = cond | F.coalesce(F.contains(F.lower(c), F.lit(query.lower())), F.lit(False))
     return rows.where(cond)
+
+
+@F.pandas_udf(IntegerType())
+def _place_near(text: pd.Series, term: pd.Series, near: pd.Series) -> pd.Series:
+    """The start of a term in a text that is nearest to near: places as written, or else in any case."""
+    out = []
+    for t, w, n in zip(text, term, near, strict=True):
+        found: list[int] = []
+        for own, part in ((t, w), (t and t.lower(), w and w.lower())):
+            at = own.find(part) if own and part and not found else -1
+            while at >= 0:
+                found.append(at)
+                at = own.find(part, at + 1)
+        out.append(min(found, key=lambda s: (abs(s - (s if pd.isna(n) else n)), s)) if found else None)
+    return pd.Series(out, dtype="Int32")
+
+
+def enrich_offsets(statuses: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """statuses (as of classify_status) with missing offsets of named predictions filled in: the place of the term nearest to the gold span."""
+    own = statuses.join(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), F.col(key) == F.col("_k"), "left")
+    own = own.withColumn("_at", F.when(F.col("pred_start").isNull() & F.col("pred_term").isNotNull(), _place_near("_t", "pred_term", "gold_start")))
+    fill = {"pred_start": F.coalesce("pred_start", "_at"), "pred_end": F.coalesce("pred_end", F.col("_at") + F.length("pred_term"))}
+    return own.select(*[fill[c].cast(statuses.schema[c].dataType).alias(c) if c in fill else F.col(c) for c in statuses.columns])
+
+
+def filter_documents(items: DataFrame, query: str | None = None, status: str | None = None, label: str | None = None, source: str | None = None) -> DataFrame:
+    """Items (text, entity_results) that satisfy all conditions given: the query in the text or a gold or predicted term, in any case; a result of
+    the status; the label on either side; the prediction's source."""
+    r, out = F.col("entity_results"), items
+    if query is not None:
+        held = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(query.lower())), F.lit(False))
+        out = out.where(held("text") | F.exists(r, lambda x: held(x["gold_term"]) | held(x["pred_term"])))
+    if status is not None:
+        out = out.where(F.exists(r, lambda x: x["status"] == status))
+    if label is not None:
+        out = out.where(F.exists(r, lambda x: F.coalesce(x["gold_label"] == label, F.lit(False)) | F.coalesce(x["pred_label"] == label, F.lit(False))))
+    return out if source is None else out.where(F.exists(r, lambda x: F.coalesce(x["pred_source"] == source, F.lit(False))))
+
+
+def sort_rows(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Rows by a column: numbers by value, whatever the column's type, before other texts by code points; nulls last."""
+    number = F.col(column).cast("string").try_cast("double")
+    keys = (number, F.col(column).cast("string"))
+    return rows.orderBy(*[k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys])
+
+
+def lift(value: Column | str, base: Column | str) -> Column:
+    """The difference of two percentages as a report writes it."""
+    from ..functions.labels import signed
+
+    return signed((F.col(value) if isinstance(value, str) else value) - (F.col(base) if isinstance(base, str) else base))
+
+
+def prompts(terms: DataFrame, examples: DataFrame, forbidden: DataFrame, size: int = 10) -> DataFrame:
+    """One row (prompt): a request for annotated sentences, put together from sampled terms (label, term), examples (text, entities as JSON) and terms to avoid (term).
+
+    The tables are samples (see split.seeded_sample), so the text stays short.
+    """
+    listed = terms.groupBy("label").agg(F.array_join(F.array_sort(F.collect_list("term")), ", ").alias("t"))
+    a = listed.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "label", "t"))), "\n").alias("a")).withColumn("_one", F.lit(1))
+    b = examples.agg(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct("text", "entities")))), "\n").alias("b")).withColumn("_one", F.lit(1))
+    c = forbidden.agg(F.array_join(F.array_sort(F.collect_list("term")), ", ").alias("c")).withColumn("_one", F.lit(1))
+    parts = [F.lit(f"Write {size} short work-journal sentences as a JSON array of objects with text and entities."), F.concat(F.lit("Terms by label:\n"), "a"), F.concat(F.lit("Examples:\n"), "b"), F.concat(F.lit("Do not use: "), "c")]
+    return a.join(b, "_one").join(c, "_one").select(F.concat_ws("\n\n", *parts).alias("prompt"))

@@ -162,11 +162,11 @@ def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str,
             block, names = Block(y.column("t").to_pylist(), least), y.column("h").to_pylist()
             for h, t in zip(x.column("h").to_pylist(), x.column("t").to_pylist(), strict=True):
                 out.extend((h, names[k], ratio) for k, ratio in block.ratios(t))
-        return pa.table({"a": pa.array([o[0] for o in out], pa.string()), "b": pa.array([o[1] for o in out], pa.string()), "ratio": pa.array([o[2] for o in out], pa.float64())})
+        return pa.table({"_own": pa.array([o[0] for o in out], pa.string()), "_other": pa.array([o[1] for o in out], pa.string()), "ratio": pa.array([o[2] for o in out], pa.float64())})
 
     on = ["band", "i", "j"]
-    met = a.select(*on, "h", "t").groupBy(*on).cogroup(b.select(*on, "h", "t").groupBy(*on)).applyInArrow(compare, "a string, b string, ratio double")
-    named = met.join(l.select(F.col("h").alias("a"), F.col("k").alias(left_key)), "a").join(r.select(F.col("h").alias("b"), F.col("k").alias(right_key)), "b")
+    met = a.select(*on, "h", "t").groupBy(*on).cogroup(b.select(*on, "h", "t").groupBy(*on)).applyInArrow(compare, "_own string, _other string, ratio double")
+    named = met.join(l.select(F.col("h").alias("_own"), F.col("k").alias(left_key)), "_own").join(r.select(F.col("h").alias("_other"), F.col("k").alias(right_key)), "_other")
     return named.select(left_key, right_key, "ratio")
 
 
@@ -175,6 +175,6 @@ def word_then_ratio(left: DataFrame, right: DataFrame, left_key: str, right_key:
     from .leakage import word_jaccard_pairs
 
     pairs = word_jaccard_pairs(left, right, jaccard, left_key, right_key, text).select(left_key, right_key)
-    both = pairs.join(left.select(left_key, F.lower(text).alias("a")), left_key).join(right.select(right_key, F.lower(text).alias("b")), right_key)
-    both = both.withColumn("ratio", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(ratio_udf("a", "b"))).where(F.col("ratio") >= least)
+    both = pairs.join(left.select(left_key, F.lower(text).alias("_own")), left_key).join(right.select(right_key, F.lower(text).alias("_other")), right_key)
+    both = both.withColumn("ratio", F.when(F.col("_own") == F.col("_other"), F.lit(1.0)).otherwise(ratio_udf("_own", "_other"))).where(F.col("ratio") >= least)
     return both.groupBy(left_key).agg(F.min_by(F.struct(right_key, "ratio"), right_key).alias("m")).select(left_key, f"m.{right_key}", "m.ratio")

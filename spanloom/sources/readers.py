@@ -88,7 +88,9 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
 def read_single(spark: SparkSession, path: str) -> DataFrame:
     """(text) of one file: the first record of .jsonl, the text or content of .json, else everything."""
     if path.endswith(".jsonl"):
-        return read_batch(spark, path).limit(1)
+        rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"))  # numbered in the order of the file
+        first = parse_tolerant(rows.where(~is_blank("value")).agg(F.min_by("value", "n").alias("value")), "text string", comments=False)
+        return first.where(~is_blank("text"))
     whole = spark.read.text(path, wholetext=True)
     if path.endswith(".json"):
         return whole.select(F.coalesce(F.get_json_object("value", "$.text"), F.get_json_object("value", "$.content")).alias("text"))
@@ -96,8 +98,16 @@ def read_single(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_evaluations(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Per-item evaluation rows of all models and scopes, written by partition below root."""
-    return spark.read.schema(schema).json(root)
+    """Per-item evaluation rows below root, with the model and the scope (all or errors) that the path <root>/<model>/<scope>/ names."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(root)
+    path = F.col("_metadata.file_path")
+    return rows.select("*", F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1).alias("model"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("scope"))
+
+
+def load_settings(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """The dictionary and the settings that save_settings wrote."""
+    rows = spark.read.schema("name string, value string").json(f"{path}/settings").collect()  # a row for each setting
+    return spark.read.parquet(f"{path}/terms"), {r.name: r.value for r in rows}
 
 
 def only_new(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
