@@ -7,15 +7,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix
+from ..operators import bloom
 from ..operators.components import connected_components
+from . import families
+from .common import Scratch, mix, quoted
 
 #: Tables, E8 lattices (of eight dimensions each) in a table's key, cells probed beside a vector's own, and the size of a cell.
 TABLES, LATTICES, PROBES, SCALE = 6, 2, 8, 2.0
 #: A sketch has 128 sign bits. At cosine 0.93 two sketches differ in 15 bits, by 4; at more than this (six deviations) no cosine is computed.
 MOST_BITS = 40
-#: Vectors of one group of a comparison.
-BLOCK = 512
+#: Vectors of one block of a comparison. Cells of up to SMALL classes are compared pair by pair, larger ones in blocks.
+BLOCK, SMALL = 512, 64
+#: Buckets of several vectors are broadcast up to this number (16 bytes each); beyond, a filter of them comes first.
+MAX_BROADCAST = 1_000_000
 
 
 def _roots() -> np.ndarray:
@@ -89,25 +93,47 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _lattices(batches, run):
+    """Call run(part of a batch, its unit vectors, lattice) for vectors of one dimension, 1024 at a time."""
+    made: dict[int, Lattice] = {}
+    for batch in batches:
+        size = np.array([len(x) for x in batch.column("vector").to_pylist()]) // 8
+        for dim in np.unique(size):
+            part = batch.filter(pa.array(size == dim))
+            for i in range(0, part.num_rows, 1024):
+                own = part.slice(i, 1024)
+                yield run(own, _matrix(own.column("vector")), made.setdefault(int(dim), Lattice(int(dim))), int(dim))
+
+
 def _cells(classes: DataFrame) -> DataFrame:
-    """(key, cid, s1, s2): a row for each cell of each vector, with the vector's sketch."""
+    """(key, cid): a row for each cell of each vector, none twice."""
+
+    def one(own, unit, lattice, dim):
+        keys = lattice.keys(unit, mix(own.column("group").to_numpy().astype(np.int64).view(np.uint64) + np.uint64(dim)))
+        keys.sort(axis=1)
+        new = np.ones(keys.shape, bool)
+        new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+        cid = np.broadcast_to(own.column("cid").to_numpy()[:, None], keys.shape)
+        return pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(cid[new])], ["key", "cid"])
+
+    return classes.select("cid", "group", "vector").mapInArrow(lambda batches: _lattices(batches, one), "key bigint, cid bigint")
+
+
+def _sketches(classes: DataFrame) -> DataFrame:
+    """(cid, s1, s2): the sign bits of each vector."""
+
+    def one(own, unit, lattice, dim):
+        s = lattice.sketch(unit)
+        return pa.RecordBatch.from_arrays([own.column("cid"), pa.array(s[:, 0]), pa.array(s[:, 1])], ["cid", "s1", "s2"])
+
+    return classes.select("cid", "vector").mapInArrow(lambda batches: _lattices(batches, one), "cid bigint, s1 bigint, s2 bigint")
 
-    def run(batches):
-        made: dict[int, Lattice] = {}
-        for batch in batches:
-            size = np.array([len(x) for x in batch.column("vector").to_pylist()]) // 8
-            for dim in np.unique(size):
-                part = batch.filter(pa.array(size == dim))
-                for i in range(0, part.num_rows, 1024):
-                    own = part.slice(i, 1024)
-                    unit = _matrix(own.column("vector"))
-                    lattice = made.setdefault(int(dim), Lattice(int(dim)))
-                    keys = lattice.keys(unit, mix(own.column("group").to_numpy().astype(np.int64).view(np.uint64) + np.uint64(dim)))
-                    s = np.repeat(lattice.sketch(unit), keys.shape[1], 0)
-                    cols = [keys.ravel(), np.repeat(own.column("cid").to_numpy(), keys.shape[1]), s[:, 0], s[:, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "s1", "s2"])
 
-    return classes.select("cid", "group", "vector").mapInArrow(run, "key bigint, cid bigint, s1 bigint, s2 bigint").distinct()
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in at most MOST_BITS bits."""
+    side = lambda x: sketches.select(F.col("cid").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"))
+    bits = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= MOST_BITS).select("a", "b")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -126,6 +152,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "v_a", "v_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _links_in_families(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between members of families (columns of families.cells with group and vector), two blocks at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, comp, group = (table.column(c).to_numpy() for c in ("cid", "comp", "group"))
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        size = np.array([len(x) for x in table.column("vector").to_pylist()])
+        out = [np.zeros((0, 2), np.int64)]
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            unit = _matrix(table.column("vector").take(pa.array(at)))
+            x, y = np.flatnonzero(left[at]), np.flatnonzero(~left[at])
+            if left.all():  # a block with itself
+                y = x
+            for k in range(0, len(x), BLOCK):
+                i = x[k : k + BLOCK]
+                hit = (unit[i] @ unit[y].T >= least) & (comp[at[i]][:, None] != comp[at[y]]) & (group[at[i]][:, None] == group[at[y]])
+                p, q = np.nonzero(hit)
+                out.append(np.stack([cid[at[i[p]]], cid[at[y[q]]]], 1))
+        found = np.concatenate(out)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return rows.groupBy(*families.KEYS).applyInArrow(run, "a bigint, b bigint")
+
+
 def _degrees(members: DataFrame, least: float) -> DataFrame:
     """(cid, linked): how many vectors of other classes each class is linked with, all pairs of a component compared in blocks.
 
@@ -163,19 +214,22 @@ def _degrees(members: DataFrame, least: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Vectors are compared if their group is equal and not null (and they have one length), and linked at cosine >= least in double
-    precision. Equal vectors of a group form a class. Each class stands in the cells of TABLES tables: its projection's nearest
-    points of E8 lattices and the PROBES neighbouring points that are nearest. In a cell, classes are paired with the smallest one; pairs
-    whose sign sketches are near enough are verified. Classes that are then outside the component of their cell's smallest
-    class are paired with all others of the cell, under the same tests. Within components all pairs are compared,
+    Vectors are compared if their group is equal and not null (of whatever type, compared by a 64-bit hash) and they have one length, and linked at
+    cosine >= least in double precision. Equal vectors of a group form a class. Each class stands in the cells of TABLES tables: its projection's nearest
+    points of E8 lattices and the PROBES neighbouring points that are nearest. Cells of one class are put aside at once. In the others, classes are paired with the
+    smallest one; pairs whose sign sketches are near enough are verified. Classes that are then outside the component of their cell's
+    smallest class are paired with the others of the cell, under the same tests; if the cell is large, they are compared with all of its family in
+    blocks (see families.cells), so no cell is unfolded into pairs. Within components all pairs are compared,
     in blocks, so n_links counts every link between vectors that were found to hang together; equal vectors count.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors without group, link with nothing: n_links is 0 and
-    component_id their own id. A null id is never smallest; a component of null ids only has a null component_id.
+    component_id their own id. A null id is never smallest; a component of null ids only has a null component_id. Rows that repeat are
+    copies of each other. Other columns are not read; an empty table gives an empty one.
     """
-    v = F.col(vector_col).cast("array<double>")
-    good = F.col(group_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).cast("long").alias("group"), v.alias("vector"), F.coalesce(good, F.lit(False)).alias("good"))
+    v = F.col(quoted(vector_col)).cast("array<double>")
+    label = F.col(quoted(group_col))
+    good = label.isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(label).alias("group"), v.alias("vector"), F.coalesce(good, F.lit(False)).alias("good"))
     rows = rows.withColumn("cid", F.when(F.col("good"), F.xxhash64("group", "vector"))).withColumn("check", F.when(F.col("good"), F.xxhash64("vector", "group", F.lit(1))))
 
     def pack(batches):
@@ -186,21 +240,29 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.93, id_c
     packed = scratch.save(rows.mapInArrow(pack, "id bigint, group bigint, cid bigint, check bigint, vector binary"), "vectors")
     classes = scratch.save(packed.where("cid is not null").groupBy("cid", "check").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("group").alias("group"), F.first("vector").alias("vector")), "classes")
     cells = scratch.save(_cells(classes), "cells")
-    hub = F.min(F.struct("cid", "s1", "s2")).alias("hub")
-    hubs = scratch.save(cells.groupBy("key").agg(hub, F.count(F.lit(1)).alias("members")).where("members > 1"), "hubs")
-    bits = lambda a1, b1, a2, b2: F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2))) <= MOST_BITS
-    met = cells.join(hubs, "key").where("cid <> hub.cid")
-    star = met.where(bits("s1", "hub.s1", "s2", "hub.s2")).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct()
-    links = scratch.save(_verified(star, classes, least), "links")
+    sketches = scratch.save(_sketches(classes), "sketches")
+    hubs = scratch.save(cells.groupBy("key").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"), "hubs")
+    n = hubs.count()
+    if n <= MAX_BROADCAST:
+        members = cells.join(F.broadcast(hubs), "key")
+    else:
+        words = bloom.n_words(n)
+        tested = bloom.probe(cells, F.col("key"), scratch.save(bloom.build(hubs, F.col("key"), words), "filter"), words, "_hit", broadcast=words <= bloom.MAX_WORDS)
+        members = tested.where("_hit").drop("_hit").join(hubs, "key")
+    members = scratch.save(members, "members")
+    scratch.drop(cells, hubs)
+    star = members.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    links = scratch.save(_verified(_near(star, sketches), classes, least), "links")
     first = scratch.save(connected_components(links, scratch), "components")
-    placed = cells.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    placed = scratch.save(placed.join(hubs.select("key", F.col("hub.cid").alias("hub"), "members"), "key"), "placed")
-    home = placed.where("cid = hub").select("key", F.col("comp").alias("home"))
-    outside = placed.where("members > 2").join(home, "key").where("comp <> home").select("key", F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    others = placed.select("key", F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    more = outside.join(others, "key").where("comp_a <> comp_b").where(bits("a1", "b1", "a2", "b2")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.save(_verified(more, classes, least), "links")
-    scratch.drop(cells, hubs, placed)
+    open_ = scratch.save(families.open_buckets(members.where("members > 2"), first).select("key", "members", "family", "cid", "comp"), "families")
+    small = open_.where(F.col("members") <= SMALL)
+    outside = small.where("comp <> family").select("key", F.col("cid").alias("x"), F.col("comp").alias("comp_x"))
+    met = outside.join(small.select("key", F.col("cid").alias("y"), "comp"), "key").where("comp <> comp_x")
+    met = _verified(_near(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sketches), classes, least)
+    large = open_.where(F.col("members") > SMALL).select("family", "cid", "comp").distinct()
+    large = _links_in_families(families.cells(large, classes.select("cid", "group", "vector"), BLOCK), least)
+    more = scratch.save(met.unionByName(large), "links")
+    scratch.drop(members, sketches, open_)
     last = first if not more.take(1) else scratch.save(connected_components(links.unionByName(more), scratch), "components")
     members = scratch.save(last.withColumnRenamed("node", "cid").join(classes, "cid").select("comp", "cid", "id", "copies", "vector"), "members")
     degrees = _degrees(members.drop("id"), least)
