@@ -9,8 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Scratch, Words, key64, mix, pieces, text_of
+from ..operators import bloom
+from .common import Scratch, Words, mix, pieces, quoted, released, text_of
 
 #: Words of the grams that anchors are chosen from.
 GRAM = 8
@@ -18,14 +20,18 @@ GRAM = 8
 MOST_WINDOWS = 62
 #: Words of a reference shard, about.
 SHARD_WORDS = 50_000
-#: Anchors with more different segments than this are cut into single windows, so that no shard depends on one anchor. The
-#: limit grows with the segments so that there are MOST_HOT such anchors at most (4 MB), which bounds what is broadcast.
+#: Anchors with more different segments than this are cut into single windows, so that no shard depends on one anchor.
 HOT_SEGMENTS = 1000
+#: Up to so many of these anchors are broadcast (4 MB); more are joined by shuffle.
 MOST_HOT = 500_000
 #: The filter of repeated anchors has 2^20 to 2^28 bits (32 MB), which bounds what is collected and broadcast.
 FILTER_BITS = (20, 28)
 
 
+#: Bytes of the texts that a task holds as arrays at a time, about.
+PIECE = 2_000_000
+
+
 class Automaton:
     """A suffix automaton of several word sequences, with the number of places where each state's sequences end."""
 
@@ -144,9 +150,9 @@ def _anchor_counts(docs: DataFrame, size: int) -> DataFrame:
     """(anchor, n): how often each anchor occurs in segments, summed for each piece of input."""
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            for i, j in pieces(texts):
+            for i, j in pieces(texts, PIECE):
                 s = Segments(texts[i:j], size)
                 anchor, inverse = np.unique(s.anchor, return_inverse=True)
                 n = np.bincount(inverse, s.times, len(anchor)).astype(np.int64)
@@ -175,16 +181,16 @@ def _in(values: np.ndarray, bits: np.ndarray, power: int) -> np.ndarray:
 
 
 def _segments(docs: DataFrame, size: int, anchors: tuple[np.ndarray, int], needed: tuple[np.ndarray, int] | None = None) -> DataFrame:
-    """The segments whose anchor passes the filter: (key, first, windows, inner, anchor, hi, lo); with a second filter, on
-    hi, (anchor, hi, lo, content) of those that pass both, once for each piece of input."""
+    """The segments whose anchor passes the filter: (key, key2, first, windows, inner, anchor, hi, lo); with a second filter, on
+    hi and the key of the text chosen to give a segment's words, (anchor, hi, lo, content) of those that pass both."""
     sent = docs.sparkSession.sparkContext.broadcast((anchors, needed))
 
     def run(batches):
         by_anchor, by_content = sent.value
-        for batch in batches:
+        for batch in released(batches):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            keys = batch.column("key").to_numpy()
-            for i, j in pieces(texts):
+            keys, keys2 = batch.column("key").to_numpy(), batch.column("key2").to_numpy()
+            for i, j in pieces(texts, PIECE):
                 s = Segments(texts[i:j], size)
                 own = np.flatnonzero(_in(s.anchor, *by_anchor))
                 for a in range(0, len(own), 20_000):
@@ -192,15 +198,16 @@ def _segments(docs: DataFrame, size: int, anchors: tuple[np.ndarray, int], neede
                     content = [s.content(k, size) for k in part]
                     digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, content)), ">i8").astype(np.int64).reshape(-1, 2)
                     if by_content is None:
-                        cols = [keys[i + s.doc[part]], s.first[part].astype(np.int32), s.count[part].astype(np.int32), s.times[part] > 1, s.anchor[part], digest[:, 0], digest[:, 1]]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["key", "first", "windows", "inner", "anchor", "hi", "lo"])
+                        cols = [keys[i + s.doc[part]], keys2[i + s.doc[part]], s.first[part].astype(np.int32), s.count[part].astype(np.int32), s.times[part] > 1, s.anchor[part], digest[:, 0], digest[:, 1]]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["key", "key2", "first", "windows", "inner", "anchor", "hi", "lo"])
                     else:
-                        _, once = np.unique(digest, axis=0, return_index=True)
-                        once = once[_in(np.ascontiguousarray(digest[once, 0]), *by_content)]
+                        chosen = np.flatnonzero(_in(digest[:, 0] ^ keys[i + s.doc[part]], *by_content))
+                        _, once = np.unique(digest[chosen], axis=0, return_index=True)
+                        once = chosen[once]
                         cols = [s.anchor[part][once], digest[once, 0], digest[once, 1]]
                         yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([content[k] for k in once], pa.binary())], ["anchor", "hi", "lo", "content"])
 
-    return docs.select("key", "text").mapInArrow(run, "anchor bigint, hi bigint, lo bigint, content binary" if needed else "key bigint, first int, windows int, inner boolean, anchor bigint, hi bigint, lo bigint")
+    return docs.select("key", "key2", "text").mapInArrow(run, "anchor bigint, hi bigint, lo bigint, content binary" if needed else "key bigint, key2 bigint, first int, windows int, inner boolean, anchor bigint, hi bigint, lo bigint")
 
 
 def _marks(counts: pa.Table, contents: pa.Table, size: int) -> pa.Table:
@@ -253,31 +260,33 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, size: int = 35, id_col: st
     Windows are routed by anchor, the least hash of the grams in them, so equal windows have equal anchors. Neighbouring
     windows with one anchor are a segment, and every window is in one segment. A first scan counts anchors; a second
     gives hashes of only the segments whose anchor repeats (a filter of bounded size lets some others pass); a third the
-    words of those whose anchor has different segments, once for each piece of input. Different segments,
+    words of those whose anchor has several segments, or copies of one, from one text that holds them. Different segments,
     with the number of their copies, are the reference; shards of it are cut by anchor, each shard's suffix automaton is built
     where it is used, and the shard's segments are streamed through it for matching statistics: a match of size words that
-    ends in a state with two or more places marks its window. Segments with copies are marked whole. Anchors with very many different segments are
+    ends in a state with two or more places marks its window. Anchors with very many different segments are
     cut into single windows, each its own anchor, counted before the shuffle. Marks go back to the texts by segment.
 
-    A null text is empty. Texts with fewer words than size lose none. Ids may be null or repeat: rows are known by a hash of id and
-    text; rows that agree in both are copies of each other.
+    A null text is empty. Texts with fewer words than size lose none; an empty table gives an empty one. Ids may be null or repeat: rows are known by
+    two hashes of id and text; rows that agree in both are copies of each other. Other columns are not read. Texts are read whole; only those
+    that a filter of the marked ones does not rule out are shuffled, to meet their marks.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", key64("doc_id", "text"))
+    docs = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_of(quoted(text_col)).alias("text")).withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.xxhash64("text", "doc_id", F.lit(1))})
     anchors = _anchor_counts(docs, size).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     anchors = scratch.save(anchors, "anchors")
     by_anchor = _filter(anchors)
     scratch.drop(anchors)
     found = scratch.save(_segments(docs, size, by_anchor), "segments")
-    different = found.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"), F.first("inner").alias("inner"))
+    different = found.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows"), F.first("inner").alias("inner"), F.min("key").alias("owner"))
     different = scratch.save(different, "different")
-    hot_from = max(hot_segments, different.count() // MOST_HOT)
-    per_anchor = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("windows") + size).alias("words"), F.bool_or("inner").alias("inside"))
-    per_anchor = scratch.save(per_anchor.where("segments > 1 or inside"), "per_anchor")
-    words = per_anchor.where(F.col("segments") <= hot_from).agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"]
-    hot = F.broadcast(per_anchor.where(F.col("segments") > hot_from).select("anchor"))
+    per_anchor = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("windows") + size).alias("words"), F.bool_or("inner").alias("inside"), F.max("n").alias("copies"))
+    per_anchor = scratch.save(per_anchor.where("segments > 1 or inside or copies > 1"), "per_anchor")
+    is_hot = F.col("segments") > hot_segments
+    words, n_hot = per_anchor.agg(F.coalesce(F.sum(F.when(~is_hot, F.col("words"))), F.lit(0)), F.count_if(is_hot)).first()
+    hot = per_anchor.where(is_hot).select("anchor")
+    hot = F.broadcast(hot) if n_hot <= MOST_HOT else hot
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, words // shard_words))).alias("shard")
-    needed = scratch.save(different.join(per_anchor.select("anchor"), "anchor").select("hi", "lo", "n", "anchor"), "needed")
-    contents = scratch.save(_segments(docs, size, by_anchor, _filter(needed.select("hi"))), "contents")
+    needed = scratch.save(different.join(per_anchor.select("anchor"), "anchor").select("hi", "lo", "n", "anchor", F.col("hi").bitwiseXOR(F.col("owner")).alias("place")), "needed")
+    contents = scratch.save(_segments(docs, size, by_anchor, _filter(needed.select("place"))), "contents")
     counts = needed.join(hot, "anchor", "left_anti").select(shard, "hi", "lo", "n")
     texts = contents.join(hot, "anchor", "left_anti").select(shard, "hi", "lo", "content")
     marked = counts.groupBy("shard").cogroup(texts.groupBy("shard")).applyInArrow(lambda a, b: _marks(a, b, size), "hi bigint, lo bigint, marks bigint")
@@ -285,16 +294,15 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, size: int = 35, id_col: st
     windows = scratch.save(_single_windows(cut, size), "windows")
     again = scratch.save(windows.groupBy("whi", "wlo").agg(F.sum("n").alias("times")).where("times > 1").select("whi", "wlo"), "again")
     cut = windows.join(again, ["whi", "wlo"]).groupBy("hi", "lo").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("marks"))
-    copied = different.where("n > 1").select("hi", "lo", F.expr("shiftleft(1L, windows) - 1").alias("marks"))
-    marks = marked.unionByName(cut).unionByName(copied).groupBy("hi", "lo").agg(F.bit_or("marks").alias("marks")).where("marks <> 0")
+    marks = marked.unionByName(cut).groupBy("hi", "lo").agg(F.bit_or("marks").alias("marks")).where("marks <> 0")
     marks = scratch.save(marks, "marks")
     scratch.drop(windows, again, per_anchor, different, needed, contents)
-    places = found.select("key", "first", "hi", "lo").join(marks, ["hi", "lo"]).groupBy("key").agg(F.collect_set(F.struct("first", "marks")).alias("places"))
-    places = scratch.save(places.select("key", F.col("places.first").alias("firsts"), F.col("places.marks").alias("marks")), "places")
+    places = found.select("key", "key2", "first", "hi", "lo").join(marks, ["hi", "lo"]).groupBy("key", "key2").agg(F.collect_set(F.struct("first", "marks")).alias("places"))
+    places = scratch.save(places.select("key", "key2", F.col("places.first").alias("firsts"), F.col("places.marks").alias("marks")), "places")
     scratch.drop(found, marks)
 
     def clean(batches):
-        for batch in batches:
+        for batch in released(batches):
             out: list[list] = [[], [], []]
             for text, firsts, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "firsts", "marks")), strict=True):
                 words = text.encode().split()
@@ -309,5 +317,12 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, size: int = 35, id_col: st
             cols = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.join(places, "key", "left").select("doc_id", "text", "firsts", "marks").mapInArrow(clean, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string")
+    # Texts without marks stay where they are: a Bloom filter of the marked ones tells them from those that have to meet their marks.
+    n_words = min(bloom.n_words(places.count()), bloom.MAX_WORDS)
+    filled = scratch.save(bloom.build(places, F.col("key"), n_words), "filter")
+    tested = bloom.probe(docs, F.col("key"), filled, n_words, "hit")
+    met = tested.where("hit").join(places, ["key", "key2"], "left").select("doc_id", "text", "firsts", "marks")
+    kinds = {f.name: f.dataType for f in places.schema.fields}
+    free = tested.where("not hit").select("doc_id", "text", F.lit(None).cast(kinds["firsts"]).alias("firsts"), F.lit(None).cast(kinds["marks"]).alias("marks"))
+    schema = StructType([docs.schema["doc_id"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return free.unionByName(met).mapInArrow(clean, schema)
