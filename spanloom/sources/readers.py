@@ -86,11 +86,12 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_single(spark: SparkSession, path: str) -> DataFrame:
-    """(text) of one file: the first record of .jsonl, the text or content of .json, else everything."""
+    """(text) of one file: the first record with a text of .jsonl, the text or content of .json, else everything."""
     if path.endswith(".jsonl"):
         rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"))  # numbered in the order of the file
-        first = parse_tolerant(rows.where(~is_blank("value")).agg(F.min_by("value", "n").alias("value")), "text string", comments=False)
-        return first.where(~is_blank("text"))
+        own = rows.select("n", F.from_json("value", "text string, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r"))
+        own = own.where(F.col("r._bad").isNull() & ~is_blank("r.text"))
+        return own.agg(F.min_by("r.text", "n").alias("text")).where("text is not null")
     whole = spark.read.text(path, wholetext=True)
     if path.endswith(".json"):
         return whole.select(F.coalesce(F.get_json_object("value", "$.text"), F.get_json_object("value", "$.content")).alias("text"))
