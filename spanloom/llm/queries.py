@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, langid, mixing, near_dedup, quality, secrets, substring_dedup, toxicity
+from . import bpe, centroids, embed_dedup, exact_dedup, filter_audit, langid, mixing, near_dedup, quality, secrets, substring_dedup, toxicity
 from .common import Scratch, crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,18 @@ FROM w LEFT JOIN k USING (doc_id)
 """
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by language."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, _table(spark, sf_dir, "labels"), Scratch(spark, "op11"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 components after three rounds."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.clusters(vectors, Scratch(spark, "op12")).withColumnRenamed("id", "vec_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -157,6 +169,8 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": op8_secret_scan,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_centroid_clusters": op12_centroid_clusters,
         "pipeline": pipeline,
     }
 
@@ -168,4 +182,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": OP6_SQL,
         "op8_secret_scan": secrets.digest_sql(),
         "op10_substring_dedup": OP10_SQL,
+        "op11_filter_audit": filter_audit.AUDIT_SQL,
+        "op12_centroid_clusters": centroids.clusters_sql(),
     }
