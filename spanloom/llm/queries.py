@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, embed_dedup, exact_dedup, filter_audit, langid, mixing, near_dedup, quality, secrets, substring_dedup, toxicity
+from . import bpe, centroids, embed_dedup, exact_dedup, filter_audit, langid, main_text, mixing, near_dedup, quality, secrets, substring_dedup, toxicity
 from .common import Scratch, crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +152,12 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(vectors, Scratch(spark, "op12")).withColumnRenamed("id", "vec_id")
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages, [F.col("page_id"), F.col("url")], main_text.train(pages))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -171,6 +177,7 @@ def queries() -> dict[str, Query]:
         "op10_substring_dedup": op10_substring_dedup,
         "op11_filter_audit": op11_filter_audit,
         "op12_centroid_clusters": op12_centroid_clusters,
+        "op13_html_text": op13_html_text,
         "pipeline": pipeline,
     }
 
