@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import functools
-import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.config import TRAILING_TRIM
 from ..functions.labels import ACCEPTED
-from ..functions.text import TOKEN, WORD_RUN, tokens
+from .automaton import Automaton, are_words, cut_tokens, fold, joined, per_distinct
+from .scratch import Scratch
 
-#: Dictionaries are broadcast up to this many terms and joined by shuffle beyond.
-MAX_BROADCAST_TERMS = 200_000
+#: Dictionaries are broadcast up to this many terms and characters, and joined by shuffle beyond.
+MAX_BROADCAST_TERMS, MAX_BROADCAST_CHARS = 200_000, 20_000_000
+#: Bits that say with which tokens the terms of a larger dictionary begin; a power of two.
+FIRST_SLOTS = 1 << 22
 
 
 def token_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,24 +45,6 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         i = j
 
 
-def cut_tokens(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, number of its text, its number there, start) of all tokens of some texts."""
-    found = list(map(_split().findall, texts))
-    tok = pa.array(itertools.chain.from_iterable(found), pa.string())
-    n = np.fromiter(map(len, found), np.int64, len(found))
-    of = np.repeat(np.arange(len(texts)), n)
-    edge = np.cumsum(n) - n
-    size = pc.utf8_length(tok).to_numpy(zero_copy_only=False).astype(np.int64)
-    start = np.cumsum(size) - size
-    start -= np.append(start, 0)[edge[of]]
-    return tok, of, np.arange(len(of)) - edge[of], start
-
-
-@functools.cache
-def _split() -> regex.Pattern:
-    return regex.compile(TOKEN)
-
-
 def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", before: int = 0, after: int = 0, blanks: bool = True) -> DataFrame:
     """token_table with up to so many tokens before (before1 is the nearest) and after (after1, ..) each token of its text, null beyond its ends.
 
@@ -105,75 +88,92 @@ def small(df: DataFrame, limit: int = MAX_BROADCAST_TERMS) -> DataFrame:
 def match_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", limit: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """Every place of every term: (key, start, end, term, label, ord, n_tokens), before any selection.
 
-    terms: (term, label, ord). A term matches in any case where its tokens stand in a row and no word character touches
-    it: ends that are words are whole tokens already, at other ends the neighbouring token must not be a word. term is the
-    surface as it stands in the text.
+    terms: (term, label, ord); a null or empty term has no place. A term matches where its tokens stand in a row, compared by automaton.fold, and no
+    word character touches it: ends that are words are whole tokens already, at other ends the neighbouring token must not be a
+    word. term is the surface as it stands in the text. A null text has no places.
 
-    A dictionary of at most limit terms is sent to the texts, which are read once and not shuffled. A larger one is joined with the
-    token table on whole n-grams.
+    A dictionary of at most limit terms and MAX_BROADCAST_CHARS characters is made an automaton once and sent to the texts, which are read once and not
+    shuffled. A larger one is joined with the texts' n-grams. Both fold tokens by the same function.
     """
     listed = terms.select("term", "label", "ord")
-    few = listed.limit(limit + 1).collect()
-    return match_by_scan(docs, few, key, text) if len(few) <= limit else match_by_join(docs, listed, key, text)
+    size = listed.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    return match_by_scan(docs, listed, key, text) if size.n <= limit and size.chars <= MAX_BROADCAST_CHARS else match_by_join(docs, listed, key, text)
 
 
-def match_by_scan(docs: DataFrame, terms: Sequence, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """match_terms with the dictionary, a few rows (term, label, ord), at hand in every task."""
-    sent = docs.sparkSession.sparkContext.broadcast([(t.term, t.label, t.ord) for t in terms])
-    kind = docs.schema[key].dataType.simpleString()
+def match_by_scan(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """match_terms for a dictionary that the driver may hold (see match_terms for the bound): one automaton, broadcast."""
+    rows = terms.select(F.col("term").cast("string"), F.col("label").cast("string"), F.col("ord").cast("int")).orderBy("ord", "term", "label").toPandas()
+    built = Automaton.build(*[pa.array(rows[c], t, from_pandas=True) for c, t in (("term", pa.string()), ("label", pa.string()), ("ord", pa.int32()))])
+    sent = docs.sparkSession.sparkContext.broadcast(built)
+    kind = docs.schema[key].dataType
     names = [key, "start", "end", "term", "label", "ord", "n_tokens"]
 
     def run(batches):
-        word = regex.compile(WORD_RUN).fullmatch
-        by_first: dict[str, list] = {}
-        for term, label, ord_ in sent.value:
-            toks = _split().findall(term.lower())
-            if toks:
-                by_first.setdefault(toks[0], []).append((toks, not word(toks[0]), not word(toks[-1]), label, ord_))
-        firsts = pa.array(by_first, pa.string())
+        own = sent.value
         for batch in batches:
             for i, texts in pieces(batch.column(1)):
                 tok, of, _, start = cut_tokens(texts)
-                hits = np.flatnonzero(pc.is_in(pc.utf8_lower(tok), firsts).to_numpy(zero_copy_only=False))
-                bound = np.searchsorted(of, np.arange(len(texts) + 1))
-                rows: list[list] = [[] for _ in range(7)]
-                for h, n in zip(hits.tolist(), of[hits].tolist(), strict=True):
-                    first, last = bound[n], bound[n + 1]
-                    near = tok.slice(h, min(longest, last - h)).to_pylist()
-                    low = [x.lower() for x in near]
-                    for own, open_, close, label, ord_ in by_first.get(low[0], ()):
-                        k = len(own)
-                        if low[:k] != own or (open_ and h > first and word(tok[h - 1].as_py())) or (close and h + k < last and word(tok[h + k].as_py())):
-                            continue
-                        surface = "".join(near[:k])
-                        for col, v in zip(rows, (n + i, start[h], start[h] + len(surface), surface, label, ord_, k), strict=True):
-                            col.append(v)
-                ids = batch.column(0).take(pa.array(rows[0], pa.int64()))
-                cols = [pa.array(c, k) for c, k in zip(rows[1:], (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, *cols], names)
-
-    longest = max((len(_split().findall(t.term or "")) for t in terms), default=1)
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, start int, end int, term string, label string, ord int, n_tokens int")
-
-
-def match_by_join(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """match_terms by an equi-join of n-grams of the texts' tokens, for dictionaries of any size; only n-grams are shuffled, if anything is."""
-    t = terms.select("label", "ord", F.transform(tokens("term"), F.lower).alias("toks")).where("size(toks) > 0")
-    t = t.withColumn("n_tokens", F.size("toks")).withColumn("gram", F.array_join("toks", ""))
-    word = lambda c: c.rlike(f"^{WORD_RUN}$")
-    t = t.withColumn("open", ~word(F.col("toks")[0])).withColumn("close", ~word(F.element_at("toks", -1))).drop("toks")
+                first, n, row = own.match(tok, of)
+                surface = joined(tok, first, n)
+                begin = start[first]
+                end = begin + pc.utf8_length(surface).to_numpy(zero_copy_only=False)
+                at = pa.array(row)
+                cols = [batch.column(0).take(pa.array(of[first] + i)), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), surface, own.label.take(at), own.ord.take(at), pa.array(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = StructType([StructField(key, kind)]).add("start", "integer").add("end", "integer").add("term", "string").add("label", "string").add("ord", "integer").add("n_tokens", "integer")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+
+
+def folded_terms(terms: DataFrame) -> DataFrame:
+    """(label, ord, n_tokens, first, gram, open, close): terms by their folded tokens; terms without a token are left out."""
+
+    def run(batches):
+        for batch in batches:
+            tok, of, _, _ = cut_tokens([t or "" for t in batch.column(0).to_pylist()])
+            own, first, n = np.unique(of, return_index=True, return_counts=True)
+            low, word, at = fold(tok), are_words(tok), pa.array(own)
+            cols = [batch.column(1).take(at), batch.column(2).take(at), pa.array(n, pa.int32()), low.take(pa.array(first)), joined(low, first, n), pa.array(~word[first]), pa.array(~word[first + n - 1])]
+            yield pa.RecordBatch.from_arrays(cols, ["label", "ord", "n_tokens", "first", "gram", "open", "close"])
+
+    kinds = "label string, ord int, n_tokens int, first string, gram string, open boolean, close boolean"
+    return terms.select("term", F.col("label").cast("string"), F.col("ord").cast("int")).mapInArrow(run, kinds)
+
+
+def match_by_join(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", slots: int = FIRST_SLOTS) -> DataFrame:
+    """match_terms by an equi-join of n-grams, for dictionaries of any size; texts stay where they are.
+
+    Only n-grams that begin with a token some term may begin with are made: a bit for each of slots hashes of first tokens is sent
+    to the texts, a bound that holds for any dictionary.
+    """
+    t = Scratch(docs.sparkSession, "terms").save(folded_terms(terms))
     sizes = sorted(r.n_tokens for r in t.select("n_tokens").distinct().collect())  # a row for each length of a term
-    if not sizes:
-        return match_by_scan(docs, [], key, text)
-    rows = token_rows(docs, key, text, before=1, after=sizes[-1]).withColumnRenamed("before1", "before")
-    rows = rows.withColumn("next", F.array("tok", *[f"after{k}" for k in range(1, sizes[-1] + 1)]))
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice("next", 1, n), "").alias("surface"), F.get("next", F.lit(n)).alias("after")) for n in sizes])
-    rows = rows.where(~F.col("next")[0].rlike(r"^[ \t\n\r\f]+$")).select(key, "start", "before", F.explode(grams).alias("g"))
-    rows = rows.withColumn("_gram", F.lower("g.surface"))
-    hit = rows.join(t, (F.col("_gram") == F.col("gram")) & (F.col("g.n") == F.col("n_tokens")))
-    touches = (F.col("open") & F.coalesce(word(F.col("before")), F.lit(False))) | (F.col("close") & F.coalesce(word(F.col("g.after")), F.lit(False)))
-    hit = hit.where(~touches)
-    return hit.select(key, "start", (F.col("start") + F.length("g.surface")).alias("end"), F.col("g.surface").alias("term"), "label", F.col("ord").cast("int").alias("ord"), "n_tokens")
+    used = np.zeros(slots, bool)
+    used[[r.s for r in t.select(F.pmod(F.xxhash64("first"), F.lit(slots)).alias("s")).distinct().collect()]] = True  # at most slots rows
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(used))
+    kind = docs.schema[key].dataType
+    names = ["key", "start", "n", "gram", "surface", "before", "behind"]
+
+    def run(batches):
+        bits = np.unpackbits(sent.value).astype(bool)
+        begins = lambda token: bits[xxhash.xxh64_intdigest(token.encode(), 42) % slots]
+        for batch in batches:
+            for i, texts in pieces(batch.column(1)):
+                tok, of, _, start = cut_tokens(texts)
+                low, last = fold(tok), np.searchsorted(of, of, "right")
+                at = np.flatnonzero(per_distinct(low, begins))
+                for n in sizes:
+                    first = at[at + n <= last[at]]
+                    near = [np.clip(first + k, 0, max(0, len(of) - 1)) for k in (-1, n)]
+                    word = [are_words(tok.take(pa.array(x))) & (of[x] == of[first]) & (x == first + k) for x, k in zip(near, (-1, n), strict=True)]
+                    size = np.full(len(first), n)
+                    cols = [batch.column(0).take(pa.array(of[first] + i)), pa.array(start[first], pa.int32()), pa.array(size, pa.int32()), joined(low, first, size), joined(tok, first, size), pa.array(word[0]), pa.array(word[1])]
+                    yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = StructType([StructField("key", kind)]).add("start", "integer").add("n", "integer").add("gram", "string").add("surface", "string").add("before", "boolean").add("behind", "boolean")
+    grams = docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("gram", "_gram")
+    hit = grams.join(t, (F.col("_gram") == F.col("gram")) & (F.col("n") == F.col("n_tokens"))).where("not (open and before) and not (close and behind)")
+    return hit.select(F.col("key").alias(key), "start", (F.col("start") + F.length("surface")).alias("end"), F.col("surface").alias("term"), "label", "ord", "n_tokens")
 
 
 def greedy(spans: DataFrame, order: Sequence[Column], key: str = "doc_id") -> DataFrame:
@@ -193,7 +193,7 @@ def greedy(spans: DataFrame, order: Sequence[Column], key: str = "doc_id") -> Da
                 taken = bytearray(max(ends, default=0) + 1)
                 own = []
                 for s, e in zip(starts, ends, strict=True):
-                    free = e <= s or not any(taken[s:e])
+                    free = taken.find(1, s, e) < 0
                     if free:
                         taken[s:e] = b"\x01" * (e - s)
                     own.append(free)

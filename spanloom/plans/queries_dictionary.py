@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.config import TRAILING_TRIM
 from ..operators import dictionary as D
 from ..operators import summary as S
+from ..operators.scratch import Scratch
 from ..sources.readers import known_terms, terms_by_label
 from .inputs import TERMS_SQL, TOK_SQL, docs, ml_spans, terms
 
@@ -34,6 +36,38 @@ ORACLE_SQL["dict_candidates"] = f'WITH {HITS_SQL} SELECT doc_id, start, start +
 QUERIES["dict_candidates_join"] = lambda spark, d: D.match_by_join(docs(spark, d), terms(spark, d)).select("doc_id", "start", "end", "term", "label")
 ORACLE_SQL["dict_candidates_join"] = ORACLE_SQL["dict_candidates"]
 
+#: Frequent words and word pairs with letters beyond ASCII, each as some document spells it or in other capitals.
+ACCENTED_SQL = """
+tw AS (SELECT list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[ ]|[^\\p{L}\\p{N}_ ]'), lambda x: true) AS w FROM documents),
+t0 AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w) - 1), lambda i: CASE WHEN w[i + 1] = ' ' THEN w[i] || ' ' || w[i + 2] ELSE '' END))) AS s FROM tw),
+t1 AS (SELECT replace(lower(s), 'ς', 'σ') AS f, max(s) AS s, count(*) AS n FROM t0 WHERE regexp_full_match(s, '[\\p{L}]+( [\\p{L}]+)?') AND regexp_matches(s, '[^\\x00-\\x7F]') GROUP BY f),
+t2 AS (SELECT s, row_number() OVER (ORDER BY n DESC, s) AS r FROM t1),
+terms AS (SELECT CASE r % 3 WHEN 0 THEN s WHEN 1 THEN lower(s) ELSE translate(s, 'abcdefghijklmnopqrstuvwxyzäöüéèêàç', 'ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÀÇ') END AS term,
+                 CASE WHEN r % 2 = 1 THEN 'IT_TERM' ELSE 'CLERICAL_TERM' END AS label, r AS ord FROM t2 WHERE r <= 120)"""
+
+
+def accented_terms(spark, d):
+    """(term, label, ord) like ACCENTED_SQL: 120 terms."""
+    w = docs(spark, d).select(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+|[ ]|[^\p{L}\p{N}_ ]"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.when(F.get("w", i) == " ", F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i + 1))))
+    s = w.select(F.explode(F.concat("w", pairs)).alias("s")).where(r"s rlike '^\\p{L}+( \\p{L}+)?$' and s rlike '[^\\x00-\\x7F]'")
+    s = s.groupBy("s").agg(F.count(F.lit(1)).alias("n")).groupBy(F.replace(F.lower("s"), F.lit("ς"), F.lit("σ")).alias("f")).agg(F.max("s").alias("s"), F.sum("n").alias("n"))
+    best = s.orderBy(F.desc("n"), "s").limit(120).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "s")))
+    low, up = "abcdefghijklmnopqrstuvwxyzäöüéèêàç", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÀÇ"
+    term = F.when(F.col("r") % 3 == 0, F.col("s")).when(F.col("r") % 3 == 1, F.lower("s")).otherwise(F.translate("s", low, up))
+    return Scratch(spark, "terms").save(best.select(term.alias("term"), F.when(F.col("r") % 2 == 1, "IT_TERM").otherwise("CLERICAL_TERM").alias("label"), F.col("r").alias("ord")))
+
+
+ACCENTED_HITS_SQL = rf"""WITH {TOK_SQL}, {ACCENTED_SQL},
+tn AS (SELECT replace(lower(term), 'ς', 'σ') AS f, label, ord, len(regexp_extract_all(term, '[\p{{L}}\p{{N}}_]+|[ \t\n\r\f]+|[^\p{{L}}\p{{N}}_ \t\n\r\f]')) AS n FROM terms),
+tg AS (SELECT doc_id, start, tok, tok || coalesce(lead(tok, 1) OVER w, '') || coalesce(lead(tok, 2) OVER w, '') AS three FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
+SELECT doc_id, start, start + length(CASE WHEN n = 1 THEN tok ELSE three END) AS "end", CASE WHEN n = 1 THEN tok ELSE three END AS term, label
+FROM tg JOIN tn ON (n = 1 AND replace(lower(tok), 'ς', 'σ') = f) OR (n = 3 AND replace(lower(three), 'ς', 'σ') = f)"""
+QUERIES["dict_accented"] = lambda spark, d: D.match_terms(docs(spark, d), accented_terms(spark, d)).select("doc_id", "start", "end", "term", "label")
+ORACLE_SQL["dict_accented"] = ACCENTED_HITS_SQL
+QUERIES["dict_accented_join"] = lambda spark, d: D.match_by_join(docs(spark, d), accented_terms(spark, d)).select("doc_id", "start", "end", "term", "label")
+ORACLE_SQL["dict_accented_join"] = ACCENTED_HITS_SQL
+
 #: A greedy choice in SQL: hits in order are folded into the list of those taken.
 GREEDY_SQL = """
 {name}_l AS (SELECT doc_id, list({{'s': start, 'e': start + length(surface), 't': surface, 'l': label}} ORDER BY {order}) AS h FROM hits GROUP BY doc_id),
