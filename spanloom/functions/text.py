@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode text processing understands it (the pattern works in Java and in RE2).
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters as a string.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Lossless tokens: word runs, runs of plain white space, single other characters.
 TOKEN = r"[\p{L}\p{N}_]+|[ \t\n\r\f]+|[^\p{L}\p{N}_ \t\n\r\f]"
 WORD_RUN = r"[\p{L}\p{N}_]+"
@@ -18,7 +20,7 @@ def _c(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """White space removed from both ends; null stays null."""
-    return F.regexp_replace(_c(x), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_c(x), F.lit(SPACES))
 
 
 def lower_strip(x: Column | str) -> Column:

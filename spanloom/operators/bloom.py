@@ -53,16 +53,27 @@ def without(rows: DataFrame, own: list[Column], lost: DataFrame, limit: int, scr
     """rows whose values own (null equals null) are no row of lost, a saved table of distinct rows.
 
     Up to limit rows lost is broadcast. Beyond, rows are tested against a Bloom filter of lost: those that miss it
-    stay where they are, the others meet lost by a shuffle.
+    stay where they are, the others meet lost by a shuffle. own is computed once for each row.
     """
+    mine = unused(rows, *[f"_own{i}" for i in range(len(own))])
+    keyed = rows.withColumns(dict(zip(mine, own, strict=True)))
+    return gone(keyed, mine, lost, limit, scratch)[0].select(*[quoted(c) for c in rows.columns])
+
+
+def gone(rows: DataFrame, mine: list[str], lost: DataFrame, limit: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows that are not in lost, rows that are) by the columns mine and the first columns of lost, null equal to null; see without. The latter have lost's further columns too."""
     n = lost.count()
-    hit, word, bits, *names = unused(rows, "_hit", "_word", "_bits", *[f"_gone{i}" for i in range(len(own))])
-    lost = lost.toDF(*names)
-    same = functools.reduce(Column.__and__, [c.eqNullSafe(F.col(k)) for c, k in zip(own, names, strict=True)])
+    extra = lost.columns[len(mine) :]
+    hit, word, bits, mark, *names = unused(rows, "_hit", "_word", "_bits", "_mark", *[f"_gone{i}" for i in range(len(mine))])
+    lost = lost.toDF(*names, *extra).withColumn(mark, F.lit(True))
+    same = functools.reduce(Column.__and__, [F.col(quoted(c)).eqNullSafe(F.col(k)) for c, k in zip(mine, names, strict=True)])
+    keep = [quoted(c) for c in rows.columns]
     if n <= limit:
-        return rows.join(F.broadcast(lost), same, "left_anti")
+        met = rows.join(F.broadcast(lost), same, "left")
+        return met.where(F.col(mark).isNull()).select(*keep), met.where(F.col(mark)).select(*keep, *extra)
     words = min(n_words(n), MAX_WORDS)
     filled = scratch.save(build(lost, F.xxhash64(*names), words, (word, bits)), "filter")
-    tested = probe(rows, F.xxhash64(*own), filled, words, hit, (word, bits))
-    met = tested.where(hit).join(lost, same, "left_anti")
-    return tested.where(~F.col(hit)).unionByName(met).select(*[quoted(c) for c in rows.columns])
+    tested = probe(rows, F.xxhash64(*[quoted(c) for c in mine]), filled, words, hit, (word, bits))
+    met = tested.where(hit).join(lost, same, "left")
+    stay = tested.where(~F.col(hit)).select(*keep).unionByName(met.where(F.col(mark).isNull()).select(*keep))
+    return stay, met.where(F.col(mark)).select(*keep, *extra)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .bloom import without
+from .bloom import gone
+from .names import quoted, unused
 from .scratch import Scratch
 
 
@@ -14,28 +15,45 @@ from .scratch import Scratch
 MAX_BROADCAST = 1_000_000
 
 
-def first_by(df: DataFrame, keys: list[Column | str], order: str) -> DataFrame:
-    """The row of least order for each key, with all columns; order must tell the rows of a key apart, and a null comes last.
+def key_hashes(keys: list[Column]) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a key of several parts; a null part is unlike any value, and unlike a null at another place."""
+    flat = [x for k in keys for x in (k, k.isNull())]
+    return F.xxhash64(*flat), F.xxhash64(F.lit(1), *flat)
 
-    Only thin rows meet: two 64-bit hashes of the key, and the order. Minima are combined before the shuffle, so no key fills a
-    task. The rows that are not least are then taken away where they are, so texts are not shuffled.
+
+def _columns(keys: list[Column | str]) -> list[Column]:
+    return [F.col(quoted(k)) if isinstance(k, str) else k for k in keys]
+
+
+def first_by(df: DataFrame, keys: list[Column | str], order: str, limit: int = MAX_BROADCAST) -> DataFrame:
+    """The row of least order for each key, with all columns; a null order comes last, and of rows that agree in key and order one stays.
+
+    Only thin rows meet: two hashes of the key, the order and a row number. Minima are combined before the shuffle, so no key fills a
+    task. The rows that are not least are then taken away where they are, so texts are not shuffled; a key is computed once for each of the two
+    passes over df. Rows that agree in key and order with a least one are told apart by a grouping of just those.
     """
     scratch = Scratch(df.sparkSession, "first")
-    keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    own = [F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys), F.col(order)]
-    thin = scratch.save(df.select(*[c.alias(n) for c, n in zip(own, ("h", "g", "o"), strict=True)]), "thin")
-    least = thin.groupBy("h", "g").agg(F.min("o").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    lost = scratch.save(thin.join(least, ["h", "g"]).where(~F.col("o").eqNullSafe(F.col("least"))).select("h", "g", "o").distinct(), "lost")
+    h, g, o = unused(df, "_h", "_g", "_o")
+    keyed = df.withColumns(dict(zip((h, g), key_hashes(_columns(keys)), strict=True))).withColumn(o, F.col(quoted(order)))
+    thin = scratch.save(keyed.select(F.col(h).alias("h"), F.col(g).alias("g"), F.col(o).alias("o")).withColumn("rid", F.monotonically_increasing_id()), "thin")
+    rank = F.struct(F.col("o").isNull().alias("none"), "o", "rid")
+    least = thin.groupBy("h", "g").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    lost = thin.join(least, ["h", "g"]).where("rid <> least.rid").groupBy("h", "g", "o").agg(F.bool_or(F.col("o").eqNullSafe(F.col("least.o"))).alias("_twin"))
+    lost = scratch.save(lost, "lost")
     scratch.drop(thin)
-    return without(df, own, lost, MAX_BROADCAST, scratch)
+    stay, out = gone(keyed, [h, g, o], lost, limit, scratch)
+    own = [quoted(c) for c in df.columns]
+    if lost.where("_twin").isEmpty():
+        return stay.select(*own)
+    return stay.unionByName(out.where("_twin").dropDuplicates([h, g]).drop("_twin")).select(*own)
 
 
 def first_row(df: DataFrame, keys: list[Column | str], order: str) -> DataFrame:
     """As first_by, for derived tables of thin rows: one aggregate, combined before the shuffle, so df is computed once; of equal orders one row stays."""
-    keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    grouped = df.select(F.xxhash64(*keys).alias("_h"), F.xxhash64(F.lit(1), *keys).alias("_g"), whole.alias("_row")).groupBy("_h", "_g")
-    return grouped.agg(F.min_by("_row", F.col(f"_row.{order}")).alias("_row")).select("_row.*")
+    h, g = key_hashes(_columns(keys))
+    whole = F.struct(*[F.col(quoted(c)) for c in df.columns])
+    grouped = df.select(h.alias("_h"), g.alias("_g"), F.struct(F.col(quoted(order)).isNull().alias("none"), F.col(quoted(order)).alias("o")).alias("_rank"), whole.alias("_row")).groupBy("_h", "_g")
+    return grouped.agg(F.min_by("_row", "_rank").alias("_row")).select("_row.*")
 
 
 def deduplicate_records(records: DataFrame, order: str, text: str = "text") -> DataFrame:

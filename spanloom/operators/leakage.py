@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.labels import ratio
 from .dictionary import dictionary_entities, match_terms, small
+from .names import quoted, unused
 
 
 #: Items of one or two words are compared with every text up to this number.
@@ -34,13 +35,19 @@ def protected_texts(pools: list[DataFrame], text: str = "text") -> DataFrame:
 
 
 def exclude(rows: DataFrame, protected: DataFrame, key: Column) -> DataFrame:
-    """Rows whose key is not among the protected ones."""
-    return rows.join(protected.select(F.col("key").alias("_key")), key == F.col("_key"), "left_anti")
+    """Rows whose key is not among the protected ones; a null key never is.
+
+    Keys may be whole texts, so two 64-bit hashes of them meet, computed once for each row.
+    """
+    h, g, ph, pg = unused(rows, "_h", "_g", "_ph", "_pg")
+    own = protected.where(F.col("key").isNotNull()).select(F.xxhash64("key").alias(ph), F.xxhash64(F.lit(1), "key").alias(pg)).distinct()
+    keyed = rows.withColumns({h: F.when(key.isNotNull(), F.xxhash64(key)), g: F.xxhash64(F.lit(1), key)})
+    return keyed.join(own, (F.col(h) == F.col(ph)) & (F.col(g) == F.col(pg)), "left_anti").select(*[quoted(c) for c in rows.columns])
 
 
 def only_in(rows: DataFrame, base: DataFrame, text: str = "text") -> DataFrame:
     """Rows (repeated ones too) whose normalised text is not in base."""
-    return rows.join(base.select(T.normalise(text).alias("_key")).distinct(), T.normalise(text) == F.col("_key"), "left_anti")
+    return exclude(rows, base.select(T.normalise(text).alias("key")), T.normalise(text))
 
 
 def split_overlap(records: DataFrame, split: str, units: Column) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.labels import ratio
 from .dedup import deduplicate_negatives
+from .dictionary import small
 from .leakage import exclude
+from .scratch import Scratch
 
 MINE_FROM = 0.85
 
@@ -18,12 +20,14 @@ def hard_negatives(docs: DataFrame, preds: DataFrame, gold: DataFrame, protected
 
     The constant confidence that stands in for a missing one is high enough to count.
     """
-    free = exclude(docs, protected, T.lower_strip("text")).join(gold.select(key).distinct(), key, "left_anti")
-    own = free.select(key, "text", F.sha2(T.strip("text"), 256).alias("_sha"))
-    hits = preds.where((F.col("confidence") >= mine_from) & ~T.is_blank("term")).join(own.select(key, "_sha"), key)
+    scratch = Scratch(docs.sparkSession, "negatives")
+    free = exclude(docs, protected, T.lower_strip("text")).select(key, F.sha2(T.strip("text"), 256).alias("_sha"))
+    own = scratch.save(free.join(gold.select(key).distinct(), key, "left_anti"), "own")
+    hits = preds.where((F.col("confidence") >= mine_from) & ~T.is_blank("term")).join(own, key)
     rows = hits.select(key, "_sha", F.col("term").alias("false_positive_term"), F.col("category").alias("false_positive_category"), "confidence", F.lit(0).alias("gold_entity_count"), F.struct(key, "start").alias("_order"))
-    first = deduplicate_negatives(rows, "_order", text="_sha").drop("_order", "_sha")  # texts join only the rows that stay
-    return first.join(own.select(key, "text"), key).select(key, "text", "false_positive_term", "false_positive_category", "confidence", "gold_entity_count")
+    first = scratch.save(deduplicate_negatives(rows, "_order", text="_sha").drop("_order", "_sha"), "first")
+    texts = docs.join(small(first.select(key).distinct()), key, "left_semi").select(key, "text")  # texts join only the rows that stay
+    return first.join(texts, key).select(key, "text", "false_positive_term", "false_positive_category", "confidence", "gold_entity_count")
 
 
 def top_terms(negatives: DataFrame, n: int = 20, order: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,17 @@ class Scratch:
 
     A written table cuts the lineage and outlives lost executors. The folder is the
     one that the session names in spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a folder is chosen here. Tables that the returned DataFrame still reads
+    one machine) a folder is chosen here, and a session on several machines without it is an error. Tables that the returned DataFrame still reads
     stay; those that are used up are removed with drop().
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or UNSET
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.conf.get("spark.master", "")):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = UNSET
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 

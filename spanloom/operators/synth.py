@@ -73,7 +73,10 @@ NO_ENTITY = ("", "none", "null", "[]", "{}", "no entities")
 
 
 def json_values(raw: str) -> Iterator:
-    """Every JSON object or array in a text, left to right, whatever stands around them; what lies inside one is not given again."""
+    """Every JSON object or array in a text, left to right, whatever stands around them; what lies inside one is not given again.
+
+    RecursionError if one is nested more deeply than the decoder goes.
+    """
     read, at = json.JSONDecoder().raw_decode, 0
     while at < len(raw):
         if raw[at] in "[{":
@@ -107,7 +110,10 @@ def entity_items(raw) -> list:
         own = raw.strip()
         if own.lower().rstrip(".") in NO_ENTITY:
             return []
-        whole = list(json_values(own)) if own[0] in "[{" and own[-1] in "]}" else []
+        try:
+            whole = list(json_values(own)) if own[0] in "[{" and own[-1] in "]}" else []
+        except RecursionError:
+            whole = []
         return entity_items(whole[0]) if len(whole) == 1 else [own]
     if isinstance(raw, list):
         return [x for x in raw if x and str(x).strip().lower().rstrip(".") not in NO_ENTITY]
@@ -139,16 +145,49 @@ def guess_label(raw: str, surface: str, second_words: Sequence[str] = SECOND_LAB
 
 
 def _records(value) -> list | None:
-    """The records in a decoded answer: a list of objects, the list that an object wraps, or an object that is a record itself."""
+    """The records in a decoded answer: a list that holds an object, the list that an object wraps, or an object that is a record itself."""
     if isinstance(value, list):
-        return value if not value or any(isinstance(x, dict) for x in value) else None
+        return value if any(isinstance(x, dict) for x in value) else None
     wrapped = [value[k] for k in RECORD_KEYS if isinstance(value.get(k), list)]
     return wrapped[0] if wrapped else [value] if "text" in value else None
 
 
+#: Why an answer has no record.
+EMPTY, NO_JSON, NO_RECORDS, TOO_DEEP = "empty", "no_json", "no_records", "too_deep"
+
+
+def read_answer(raw: str | None) -> tuple[list, str | None]:
+    """(records, reason) of a generator's answer: the records of the first JSON value that holds any, be it fenced, bare or in the middle of
+    prose, past values that hold none; without records, the reason. A value nested too deeply ends an answer, not the job."""
+    if not (raw or "").strip():
+        return [], EMPTY
+    any_json = False
+    try:
+        for value in json_values(raw):
+            any_json = True
+            found = [r for r in _records(value) or () if isinstance(r, dict) and isinstance(r.get("text"), str)]
+            if found:
+                return _records(value), None
+    except RecursionError:
+        return [], TOO_DEEP
+    return [], NO_RECORDS if any_json else NO_JSON
+
+
 def read_response(raw: str) -> list:
-    """Records in a generator's answer: those of the first JSON value that holds any, be it fenced, bare or in the middle of prose."""
-    return next((found for found in map(_records, json_values(raw)) if found is not None), [])
+    """The records of read_answer."""
+    return read_answer(raw)[0]
+
+
+def failed_responses(responses: DataFrame, key: str = "response_id", raw: str = "raw") -> DataFrame:
+    """(key, reason) of the answers that hold no record: empty, no_json, no_records or too_deep."""
+
+    def run(frames):
+        for pdf in frames:
+            pdf["reason"] = [read_answer(x)[1] for x in pdf[raw]]
+            yield pdf.loc[pdf["reason"].notna(), [key, "reason"]]
+
+    kind = responses.schema[key].dataType.simpleString()
+    return responses.select(key, raw).mapInPandas(run, f"{key} {kind}, reason string")
 
 
 def parse_responses(responses: DataFrame, key: str = "response_id", raw: str = "raw") -> DataFrame:
