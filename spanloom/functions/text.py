@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: The same characters as a string.
 SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: White space that is not a single space already; the look ahead spares most characters the long class.
+_WIDE = rf"(?=[\x00-\x20\x{{85}}-\x{{3000}}])(?:(?! ){SPACE}{SPACE}*| {SPACE}+)"
 #: Lossless tokens: word runs, runs of plain white space, single other characters.
 TOKEN = r"[\p{L}\p{N}_]+|[ \t\n\r\f]+|[^\p{L}\p{N}_ \t\n\r\f]"
 WORD_RUN = r"[\p{L}\p{N}_]+"
@@ -29,7 +31,7 @@ def lower_strip(x: Column | str) -> Column:
 
 def collapse(x: Column | str) -> Column:
     """Stripped, inner white space as single spaces, case kept."""
-    return F.regexp_replace(strip(x), f"{SPACE}+", " ")
+    return F.regexp_replace(strip(x), _WIDE, " ")
 
 
 def normalise(x: Column | str) -> Column:

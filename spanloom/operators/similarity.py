@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -18,19 +18,6 @@ from ..functions import text as T
 from .scratch import Scratch
 
 
-@F.pandas_udf(DoubleType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of a to b; the order of the arguments matters, and b's index is kept while it stays the same."""
-    m, last, out = difflib.SequenceMatcher(), None, []
-    for x, y in zip(a, b, strict=True):
-        if y != last:
-            m.set_seq2(y)
-            last = y
-        m.set_seq1(x)
-        out.append(m.ratio())
-    return pd.Series(out)
-
-
 GRAM = 4
 #: From this length on difflib doesn't look up characters of over a hundredth of the second text.
 LONG = 200
@@ -72,6 +59,107 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+#: Characters that shared stretches are compared by at first; longer ones are measured one by one.
+FOLLOWED = 32
+
+
+def _stretches(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The FOLLOWED characters from each place on to the right and to the left, as rows of bytes; unlike characters may have one byte."""
+    codes = (np.frombuffer(text.encode("utf-32-le"), np.uint32) % 255 + 1).astype(np.uint8)
+    rows = lambda x: np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.zeros(FOLLOWED - 1, np.uint8)]), FOLLOWED)
+    return rows(codes), rows(codes[::-1])[::-1]
+
+
+def _as_strings(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"S{FOLLOWED}").ravel()
+
+
+@lru_cache(maxsize=8)
+def _sorted_stretches(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.sort(_as_strings(rows)) for rows in _stretches(text))
+
+
+@lru_cache(maxsize=512)
+def _looked_up(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the characters that difflib looks up in a second text, and the stretches there in both directions."""
+    _, own, n = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True, return_counts=True)
+    at = np.flatnonzero(n[own] <= len(text) // 100 + 1)
+    return at, *[_as_strings(rows[at]) for rows in _stretches(text)]
+
+
+def covered(a: str, b: str) -> int:
+    """An upper bound of the characters that difflib's blocks cover, for a b of LONG characters at least, tighter than most_matched.
+
+    Each block but one at the start of both texts holds a character that difflib looks up, at a place p of b, and is part of a stretch around p that stands in a
+    as well. So no block leaves the union, over all p, of the longest stretches from p to the right and from p to the left that stand in a; these are next to
+    p's own among the sorted stretches of a.
+    """
+    least = min(len(a), len(b))
+    lead = next((i for i in range(least) if a[i] != b[i]), least)
+    at, *own = _looked_up(b)
+    if not len(at):
+        return lead
+    reach = []
+    for side, (mine, theirs) in enumerate(zip(own, _sorted_stretches(a), strict=True)):
+        k = np.searchsorted(theirs, mine)
+        here = mine.view(np.uint8).reshape(len(mine), FOLLOWED)
+        best = np.zeros(len(mine), np.int64)
+        for j in (np.maximum(k - 1, 0), np.minimum(k, len(theirs) - 1)):
+            unlike = here != theirs[j].view(np.uint8).reshape(len(mine), FOLLOWED)
+            best = np.maximum(best, np.where(unlike.any(1), unlike.argmax(1), FOLLOWED))
+        far = np.flatnonzero(best == FOLLOWED)
+        if len(far) > len(at) // 2:
+            return len(b)
+        for i in far.tolist():
+            best[i] = _longest(a, b, int(at[i]), side == 0)
+        reach.append(best)
+    met = reach[0] > 0
+    edge = np.zeros(len(b) + 1, np.int64)
+    np.add.at(edge, np.maximum(at[met] - reach[1][met] + 1, 0), 1)
+    np.add.at(edge, np.minimum(at[met] + reach[0][met], len(b)), -1)
+    return lead + int((np.cumsum(edge)[:-1] > 0).sum())
+
+
+def _longest(a: str, b: str, p: int, right: bool) -> int:
+    """Length of the longest stretch of b from p to the right (or up to p) that stands in a, FOLLOWED at least."""
+    most = len(b) - p if right else p + 1
+    part = (lambda n: b[p : p + n]) if right else (lambda n: b[p + 1 - n : p + 1])
+    low, high = 0, FOLLOWED
+    while high < most and part(high) in a:
+        low, high = high, 2 * high
+    high = min(high, most)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if part(mid) in a else (low, mid - 1)
+    return max(low, min(FOLLOWED, most))
+
+
+def ratio_from(a: str, b: str, least: float) -> float | None:
+    """difflib's ratio of a to b if it is least or more, else None; what the bounds rule out is not compared."""
+    if a == b:
+        return 1.0
+    need = least * (len(a) + len(b)) / 2 - 1e-6
+    if min(len(a), len(b)) < need:
+        return None
+    if len(b) < LONG:
+        if common_length(a, b) < need:
+            return None
+    elif most_matched(a, b) < need or covered(a, b) < need:
+        return None
+    ratio = difflib.SequenceMatcher(None, a, b).ratio()
+    return ratio if ratio >= least else None
+
+
+def ratios_from(a: Column, b: Column, least: float) -> Column:
+    """ratio_from of two columns, pair by pair."""
+
+    @F.pandas_udf(DoubleType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([ratio_from(u, v, least) for u, v in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)
+
+
 class Block:
     """Texts that others are compared with: their n-grams and characters as one index, so that bounds come for all of them at once."""
 
@@ -95,15 +183,8 @@ class Block:
     def ratios(self, text: str):
         """(number, ratio) of the texts with a ratio of least or more."""
         for k in self.likely(text):
-            other = self.texts[k]
-            if text == other:
-                yield k, 1.0
-                continue
-            need = self.least * (len(text) + len(other)) / 2 - 1e-6
-            if (len(other) >= LONG and most_matched(text, other) < need) or common_length(text, other) < need:
-                continue
-            ratio = difflib.SequenceMatcher(None, text, other).ratio()
-            if ratio >= self.least:
+            ratio = ratio_from(text, self.texts[k], self.least)
+            if ratio is not None:
                 yield k, ratio
 
 
@@ -130,7 +211,7 @@ class _Index:
 
 
 #: Distinct texts of each side that meet in one group.
-LEFT_BLOCK, RIGHT_BLOCK = 1000, 200
+LEFT_BLOCK, RIGHT_BLOCK = 250, 200
 
 
 def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str, right_key: str, text: str = "text") -> DataFrame:
@@ -139,8 +220,8 @@ def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str,
     Equal texts of a side are compared once. Texts meet only in neighbouring bands of the logarithm of their lengths: at this ratio the longer is at
     most (2 - least) / least times the shorter. Within a band both sides are cut into blocks, and each pair of blocks is a group, so
     no key fills a task and no pair of texts is a row. Bounds by characters and by n-grams come for a whole block at once, then
-    one by common subsequences, then the ratio itself. All bounds are exact. The pairs of blocks grow with the product of the sides: no filter by
-    shared grams is exact at a ratio of 0.7, where texts may share no run of four characters.
+    one by shared stretches (covered), then the ratio itself. All bounds are exact. The pairs of blocks grow with the product of the sides: at a ratio of 0.7 an
+    equi-join on shared characters with their numbers, or on shared grams, is exact too but meets most pairs of a band (see README).
     """
     step = math.log((2 - least) / least) or 1e-9
     band = F.floor(F.log(F.greatest(F.length("t"), F.lit(1))) / step)
@@ -176,5 +257,5 @@ def word_then_ratio(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     pairs = word_jaccard_pairs(left, right, jaccard, left_key, right_key, text).select(left_key, right_key)
     both = pairs.join(left.select(left_key, F.lower(text).alias("_own")), left_key).join(right.select(right_key, F.lower(text).alias("_other")), right_key)
-    both = both.withColumn("ratio", F.when(F.col("_own") == F.col("_other"), F.lit(1.0)).otherwise(ratio_udf("_own", "_other"))).where(F.col("ratio") >= least)
+    both = both.withColumn("ratio", ratios_from(F.col("_own"), F.col("_other"), least)).where(F.col("ratio") >= least)
     return both.groupBy(left_key).agg(F.min_by(F.struct(right_key, "ratio"), right_key).alias("m")).select(left_key, f"m.{right_key}", "m.ratio")

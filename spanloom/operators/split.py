@@ -107,8 +107,14 @@ def seeded_sample(records: DataFrame, stratum: str, n: int, key: str = "doc_id",
     return few.withColumn(rank, F.row_number().over(Window.partitionBy(stratum).orderBy(hashed, key))).where(F.col(rank) <= n).select(*records.columns)
 
 
-def fold_pools(real: DataFrame, folds: DataFrame, fold: int, paraphrases: DataFrame, generated: DataFrame, least: float = 0.7, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pool, removed) parts of one fold: training pools by name, and the paraphrases removed with their reason.
+def like_paraphrases(real: DataFrame, paraphrases: DataFrame, scratch: Scratch, least: float = 0.7, key: str = "doc_id") -> DataFrame:
+    """(para_id, val_id): paraphrases and the records they are like by sequence ratio. All folds are cut from this one table, since each record is validated in one of them."""
+    pairs = ratio_pairs(paraphrases.select("para_id", "text"), real.select(F.col(key).alias("val_id"), "text"), least, "para_id", "val_id")
+    return scratch.save(pairs.select("para_id", "val_id"), "alike")
+
+
+def fold_pools(real: DataFrame, folds: DataFrame, fold: int, paraphrases: DataFrame, generated: DataFrame, alike: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pool, removed, validation) parts of one fold: training pools by name, and the paraphrases removed with their reason; alike: like_paraphrases.
 
     A paraphrase goes if its source is a validation text (reason source), else if it is like one by sequence ratio (similarity), with all
     paraphrases of the same source_id. Generated texts equal to a validation text go.
@@ -117,8 +123,8 @@ def fold_pools(real: DataFrame, folds: DataFrame, fold: int, paraphrases: DataFr
     val, train = tagged.where(F.col("fold") == fold), tagged.where(F.col("fold") != fold)
     by_source = paraphrases.join(val.select(T.normalise("text").alias("_k")).distinct(), T.normalise("source_text") == F.col("_k"), "left_semi").select("source_id").distinct()
     rest = paraphrases.join(by_source, "source_id", "left_anti")
-    alike = ratio_pairs(rest.select("source_id", "para_id", "text"), val.select(F.col(key).alias("val_id"), "text"), least, "para_id", "val_id").select("para_id").distinct()
-    by_similarity = rest.join(alike, "para_id", "left_semi").select("source_id").distinct()
+    near = alike.join(val.select(F.col(key).alias("val_id")), "val_id", "left_semi").select("para_id").distinct()
+    by_similarity = rest.join(near, "para_id", "left_semi").select("source_id").distinct()
     kept = rest.join(by_similarity, "source_id", "left_anti")
     removed = by_source.withColumn("reason", F.lit("source")).unionByName(by_similarity.withColumn("reason", F.lit("similarity")))
     clean = exclude(generated, protected_texts([val]), T.lower_strip("text"))
@@ -134,9 +140,10 @@ def make_folds(records: DataFrame, classes: Column, paraphrases: DataFrame, gene
     scratch = Scratch(records.sparkSession, "folds")
     real = scratch.save(deduplicate_normalised(records, order).withColumn("_class", classes), "records")
     folds = scratch.save(stratified_folds(real.select(key, "_class"), "_class", k, key).select(key, "fold"), "folds")
+    alike = like_paraphrases(real.select(key, "text"), paraphrases, scratch, least, key)
     pools = counts = None
     for fold in range(k):
-        pool, removed, val = fold_pools(real.select(key, "text"), folds, fold, paraphrases, generated, least, key)
+        pool, removed, val = fold_pools(real.select(key, "text"), folds, fold, paraphrases, generated, alike, key)
         parts = pool.groupBy(F.col("pool").alias("part")).agg(F.count(F.lit(1)).alias("n"))
         parts = parts.unionByName(removed.groupBy(F.concat(F.lit("removed_by_"), "reason").alias("part")).agg(F.count(F.lit(1)).alias("n")))
         parts = parts.unionByName(val.agg(F.count(F.lit(1)).alias("n")).select(F.lit("validation").alias("part"), "n"))

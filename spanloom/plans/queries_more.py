@@ -142,9 +142,9 @@ def fold_pools(spark, d):
     real = docs(spark, d).select("doc_id", "text")
     folds = Scratch(spark, "folds").save(P.stratified_folds(docs(spark, d).select("doc_id", "lang"), "lang", 5).select("doc_id", "fold"))
     para = real.select(T.source_id("text").alias("source_id"), F.col("doc_id").alias("para_id"), F.col("text").alias("source_text"), F.concat_ws(" ", "text", F.col("doc_id").cast("string")).alias("text"))
-    out = None
+    alike, out = P.like_paraphrases(real, para, Scratch(spark, "folds")), None
     for fold in range(5):
-        pool, removed, _ = P.fold_pools(real, folds, fold, para, table(spark, d, "conversations").select("text"))
+        pool, removed, _ = P.fold_pools(real, folds, fold, para, table(spark, d, "conversations").select("text"), alike)
         a = pool.groupBy(F.col("pool").alias("part")).agg(F.count(F.lit(1)).alias("n"))
         both = a.unionByName(removed.groupBy(F.concat(F.lit("removed_by_"), "reason").alias("part")).agg(F.count(F.lit(1)).alias("n"))).select(F.lit(fold).alias("fold"), "part", "n")
         out = both if out is None else out.unionByName(both)
@@ -152,6 +152,16 @@ def fold_pools(spark, d):
 
 
 QUERIES["fold_pools"] = fold_pools
+
+
+def make_folds(spark, d):
+    """Sizes of all parts of five folds: documents without near-exact copies, those of every third with a word changed as paraphrases, turns as generated texts."""
+    own = docs(spark, d).select("doc_id", "text", "lang")
+    para = own.where("doc_id % 3 = 0").select(T.source_id("text").alias("source_id"), F.col("doc_id").alias("para_id"), F.col("text").alias("source_text"), F.concat(F.lit("Besides, "), "text").alias("text"))
+    return P.make_folds(own, F.col("lang"), para, table(spark, d, "conversations").select("text"))[2]
+
+
+QUERIES["make_folds"] = make_folds
 QUERIES["tagged_union"] = lambda spark, d: K.tag_union({"documents": docs(spark, d).select("text"), "turns": table(spark, d, "conversations").select("text", "role")}).groupBy("augmentation_type").agg(F.count(F.lit(1)).alias("n"), F.count("role").alias("with_role"))
 ORACLE_SQL["tagged_union"] = "SELECT 'documents' AS augmentation_type, count(*) AS n, 0 AS with_role FROM documents UNION ALL SELECT 'turns', count(*), count(role) FROM conversations"
 QUERIES["status_search"] = lambda spark, d: R.search(ml_spans(spark, d).withColumn("status", L.route("confidence")), "accepted", ["term", "status"]).select("doc_id", "start")
@@ -182,7 +192,8 @@ ORACLE_SQL["extract_hybrid"] = rf"""WITH {RESOLVED_SQL.replace(_ML, _TRIMMED_ML)
 nb AS MATERIALIZED (SELECT r.*, text[lag(end_) OVER w + 1:start] AS gap FROM resolved r JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY start, end_)),
 fl AS (SELECT doc_id, list({{'s': start, 'e': end_, 'c': category, 'p': confidence::DOUBLE, 'o': source, 't': term, 'g': gap}} ORDER BY start, end_) AS h FROM nb GROUP BY doc_id),
 fd AS (SELECT doc_id, list_reduce(list_transform(h, lambda x: [x]), lambda a, y: CASE WHEN a[-1].c = y[1].c AND trim(y[1].g, E' 
-	') = '' AND lower(trim(y[1].t)) NOT IN {TRAILING_TRIM} AND lower(trim(a[-1].t)) NOT IN {LEADING_TRIM}
+	
+') = '' AND lower(trim(y[1].t)) NOT IN {TRAILING_TRIM} AND lower(trim(a[-1].t)) NOT IN {LEADING_TRIM}
        THEN list_concat(a[:-2], [{{'s': a[-1].s, 'e': y[1].e, 'c': y[1].c, 'p': round(least(a[-1].p, y[1].p), 4), 'o': CASE WHEN 'ML' IN (a[-1].o, y[1].o) THEN 'ML' ELSE 'dictionary' END, 't': a[-1].t || y[1].g || y[1].t, 'g': a[-1].g}}])
        ELSE list_concat(a, y) END) AS k FROM fl),
 mg AS (SELECT doc_id, k.s AS start, k.e AS end_, k.c AS category, k.p AS confidence, k.o AS source, k.t AS term FROM (SELECT doc_id, unnest(k) AS k FROM fd)),

@@ -69,7 +69,7 @@ def test_bounds_of_the_ratio_hold():
         a = prose(rnd, rnd.randrange(20, 200))
         b = norm(changed(rnd, a, rnd.randrange(1, len(a) // 6))) if rnd.random() < 0.7 else prose(rnd, rnd.randrange(20, 200))
         covered = sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
-        most = min(S.common_length(a, b), S.most_matched(a, b) if len(b) >= S.LONG else len(a))
+        most = min(S.common_length(a, b), *((S.most_matched(a, b), S.covered(a, b)) if len(b) >= S.LONG else (len(a),)))
         assert covered <= most
         cut, kept = cut + (most < 0.35 * (len(a) + len(b))), kept + (covered >= 0.35 * (len(a) + len(b)))
     assert cut > 30 and kept > 30
@@ -94,6 +94,27 @@ def test_fold_pools_against_brute_force(spark, tmp_path):
     assert sum(n for (_, part), n in want.items() if part == "removed_by_similarity") > 5
 
 
+def test_make_folds_against_brute_force(spark, tmp_path):
+    rnd = random.Random(9)
+    texts = [prose(rnd, 60 + 6 * i) for i in range(15)]
+    texts += [changed(rnd, texts[i], len(texts[i]) // 150) for i in (0, 3, 6, 9, 12)] + [texts[3].upper(), texts[4] + " "]
+    documents, turns = list(enumerate(texts)), [(0, 0, "user", texts[3].upper()), (0, 1, "user", "A turn"), (1, 0, "user", texts[8])]
+    got = {(r.fold, r.part): r.n for r in queries_more.make_folds(spark, tables(spark, tmp_path, documents, conversations=turns)).collect()}
+    own = {}
+    for i, t in documents:
+        own.setdefault(norm(t), (i, t))
+    real = sorted(own.values())
+    para = [(norm(t), "Besides, " + t) for i, t in documents if i % 3 == 0]
+    want = Counter()
+    for fold in range(5):
+        val = [t for k, (_, t) in enumerate(real) if k % 5 == fold]
+        by_source = {s for s, _ in para if s in {norm(v) for v in val}}
+        by_similarity = {s for s, t in para if s not in by_source and any(difflib.SequenceMatcher(None, norm(t), norm(v)).ratio() >= 0.7 for v in val)}
+        want |= {(fold, "real"): len(real) - len(val), (fold, "validation"): len(val), (fold, "generated"): sum(t.lower().strip() not in {v.lower().strip() for v in val} for *_, t in turns)}
+        want |= {(fold, "paraphrase"): sum(s not in by_source | by_similarity for s, _ in para), (fold, "removed_by_source"): len(by_source), (fold, "removed_by_similarity"): len(by_similarity)}
+    assert got == {k: n for k, n in want.items() if n} and sum(n for (_, part), n in want.items() if part == "removed_by_similarity") >= 3
+
+
 def test_quality_reasons_read_all_spans(spark, tmp_path):
     rnd = random.Random(2)
     documents = [(i, " ".join(rnd.choice("kamor lopin nutar velis dorin".split()) for _ in range(110 + i)) + " " + " ".join(rnd.choice("the of a le kamor".split()) for _ in range(i))) for i in range(60)]
