@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.config import LEADING_TRIM, TRAILING_TRIM
 from ..functions import text as T
+from ..operators import dictionary as D
 from ..operators import leakage as K
 from ..operators import metrics as M
+from ..operators import provider as V
 from ..operators import report as R
 from ..operators import resolve as X
 from ..operators import split as P
 from ..operators import synth as Y
+from ..operators import tagger as G
 from ..operators.scratch import Scratch
 from ..operators.summary import batch_rows, review_flag
 from ..sources.tables import table
@@ -162,6 +165,34 @@ def make_folds(spark, d):
 
 
 QUERIES["make_folds"] = make_folds
+
+
+def learnable(spark, d, scratch):
+    """Annotations that a tagger can learn: the dictionary's places in all documents."""
+    return scratch.save(D.find_term_spans(docs(spark, d), terms(spark, d)).select("doc_id", "start", "end", "label"), "gold")
+
+
+def cv_report(spark, d):
+    """Held-out metrics of taggers by condition (documents as they are, a tenth of them in lower case), fold and label; folds are stratified by language."""
+    scratch = Scratch(spark, "cv")
+    own = docs(spark, d).select("doc_id", "text")
+    folds = scratch.save(P.stratified_folds(docs(spark, d).select("doc_id", "lang"), "lang", 3).select("doc_id", "fold"), "folds")
+    counts = G.cross_validate({"real": own, "lowered": V.lower_some(own)}, learnable(spark, d, scratch), folds, ("IT_TERM", "CLERICAL_TERM"), f"{scratch.root}/models", scratch, epochs=2)
+    return counts.select("condition", "fold", "label", "tp", "fp", "fn", *M.prf())
+
+
+QUERIES["cv_report"] = cv_report
+
+
+def tagger_entities(spark, d):
+    """Spans in all documents of a tagger taught on four fifths of them, with the confidence of its best decodings and whether the document was held out."""
+    scratch = Scratch(spark, "tagger")
+    own, gold = docs(spark, d).select("doc_id", "text"), learnable(spark, d, scratch)
+    model = G.train(own.where("doc_id % 5 <> 0"), gold.where("doc_id % 5 <> 0"), ("IT_TERM", "CLERICAL_TERM"), scratch, epochs=2)
+    return G.predict(own, model, scratch).withColumn("held_out", F.col("doc_id") % 5 == 0)
+
+
+QUERIES["tagger_entities"] = tagger_entities
 QUERIES["tagged_union"] = lambda spark, d: K.tag_union({"documents": docs(spark, d).select("text"), "turns": table(spark, d, "conversations").select("text", "role")}).groupBy("augmentation_type").agg(F.count(F.lit(1)).alias("n"), F.count("role").alias("with_role"))
 ORACLE_SQL["tagged_union"] = "SELECT 'documents' AS augmentation_type, count(*) AS n, 0 AS with_role FROM documents UNION ALL SELECT 'turns', count(*), count(role) FROM conversations"
 QUERIES["status_search"] = lambda spark, d: R.search(ml_spans(spark, d).withColumn("status", L.route("confidence")), "accepted", ["term", "status"]).select("doc_id", "start")
