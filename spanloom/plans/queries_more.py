@@ -102,10 +102,11 @@ SELECT *, CASE WHEN third = 0 AND base > 0 THEN 'fixed' WHEN base = 0 AND second
 
 
 def mode_comparison(spark, d):
-    """Strict counts of the model alone, of its confident spans, and of the dictionary, side by side."""
+    """Strict counts of the model alone, of its confident spans, of the dictionary, and of both as the hybrid resolves them, side by side."""
     g, p = entity_pairs(spark, d)
     found = X.dictionary_entities(docs(spark, d), terms(spark, d)).select("doc_id", "start", "end", F.col("category").alias("label"))
-    parts = {"transformer_only": p, "confident": p.where("confidence >= 0.8D"), "entity_ruler_only": found}
+    hybrid = X.extract(docs(spark, d), ml_spans(spark, d), terms(spark, d))[0].select("doc_id", "start", "end", F.col("category").alias("label"))
+    parts = {"transformer_only": p, "confident": p.where("confidence >= 0.8D"), "entity_ruler_only": found, "hybrid": hybrid}
     out = None
     for mode, preds in parts.items():
         c = M.strict_counts(g, preds).agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]).withColumn("mode", F.lit(mode))
@@ -116,15 +117,6 @@ def mode_comparison(spark, d):
 QUERIES["mode_comparison"] = mode_comparison
 from .queries_dictionary import ENTITIES_SQL  # noqa: E402
 
-ORACLE_SQL["mode_comparison"] = f"""WITH {ENTITIES_SQL}, {PAIRS_SQL},
-pr AS (SELECT 'transformer_only' AS mode, doc_id, start, end_, category AS label FROM ml UNION ALL SELECT 'confident', doc_id, start, end_, category FROM ml WHERE confidence >= 0.8::DOUBLE
-       UNION ALL SELECT 'entity_ruler_only', doc_id, start, end_, label FROM dict WHERE NOT (lower(term) = 'with' AND term <> upper(term))),
-c AS (SELECT mode, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = pr.doc_id AND g.start = pr.start AND g.end_ = pr.end_ AND g.label = pr.label)) AS tp, count(*) AS n FROM pr GROUP BY mode),
-t AS (SELECT mode, tp, n - tp AS fp, (SELECT count(*) FROM gold) - tp AS fn FROM c),
-m AS (SELECT *, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall FROM t)
-SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, recall - (SELECT recall FROM m WHERE mode = 'entity_ruler_only') AS recall_lift FROM m"""
-
-
 def rounded_report(spark, d):
     g, p = entity_pairs(spark, d)
     return M.strict_counts(g, p).select("label", *M.rounded_prf())
@@ -199,18 +191,6 @@ QUERIES["status_search"] = lambda spark, d: R.search(ml_spans(spark, d).withColu
 ORACLE_SQL["status_search"] = f"WITH {TOK_SQL}, {PAIRS_SQL} SELECT doc_id, start FROM ml WHERE contains(lower(term), 'accepted') OR confidence >= 0.8::DOUBLE"
 
 
-def full_report(spark, d):
-    """Strict counts, counts by mode and holdout counts by status in one table."""
-    from .queries_resolve import holdout, strict_prf
-
-    return M.full_report(strict_prf(spark, d), mode_comparison(spark, d), holdout(spark, d))
-
-
-QUERIES["full_report"] = full_report
-from .queries_resolve import ORACLE_SQL as RESOLVE_SQL  # noqa: E402
-
-ORACLE_SQL["full_report"] = f"""SELECT 'strict' AS section, label AS name, tp, fp, fn, precision, recall, f1 FROM ({RESOLVE_SQL["strict_prf"]})
-UNION ALL SELECT 'mode', mode, tp, fp, fn, precision, recall, f1 FROM ({ORACLE_SQL["mode_comparison"]}) UNION ALL SELECT 'holdout', term_status, tp, NULL, fn, NULL, recall / 100, NULL FROM ({RESOLVE_SQL["holdout_by_status"]})"""
 #: The stand-in model's spans are 17 tokens apart, so none merges with its neighbour.
 QUERIES["extract_model_only"] = lambda spark, d: X.extract(docs(spark, d), ml_spans(spark, d), terms(spark, d), mode="transformer_only")[0]
 ORACLE_SQL["extract_model_only"] = ORACLE_SQL["model_entities"]
@@ -236,3 +216,42 @@ w4 AS (SELECT *, CASE WHEN safe OR a = 0 THEN '' ELSE regexp_extract(term, '^(\S
 w5 AS (SELECT *, CASE WHEN safe OR z = 0 THEN substring(term, length(head) + 1) ELSE regexp_replace(substring(term, length(head) + 1), '(\s+\S+){{' || z || '}}$', '') END AS kept FROM w4)
 SELECT doc_id, start + length(head) AS start, CASE WHEN safe THEN end_ ELSE start + length(head) + length(kept) END AS "end", kept AS term, category, confidence, source, CASE WHEN confidence >= 0.8::DOUBLE THEN 'ACCEPTED' ELSE 'NEEDS_REVIEW' END AS status
 FROM w5 WHERE safe OR NOT (n - a - z = 1 AND (list_contains({list(LEADING_TRIM)}, b[a + 1]) OR list_contains({list(TRAILING_TRIM)}, b[a + 1])) AND kept <> upper(kept))"""
+
+ORACLE_SQL["mode_comparison"] = f"""WITH {ENTITIES_SQL}, {PAIRS_SQL},
+pr AS (SELECT 'transformer_only' AS mode, doc_id, start, end_, category AS label FROM ml UNION ALL SELECT 'confident', doc_id, start, end_, category FROM ml WHERE confidence >= 0.8::DOUBLE
+       UNION ALL SELECT 'entity_ruler_only', doc_id, start, end_, label FROM dict WHERE NOT (lower(term) = 'with' AND term <> upper(term))
+       UNION ALL SELECT 'hybrid', doc_id, start, "end", category FROM ({ORACLE_SQL["extract_hybrid"]})),
+c AS (SELECT mode, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = pr.doc_id AND g.start = pr.start AND g.end_ = pr.end_ AND g.label = pr.label)) AS tp, count(*) AS n FROM pr GROUP BY mode),
+t AS (SELECT mode, tp, n - tp AS fp, (SELECT count(*) FROM gold) - tp AS fn FROM c),
+m AS (SELECT *, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall FROM t)
+SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, recall - (SELECT recall FROM m WHERE mode = 'entity_ruler_only') AS recall_lift FROM m"""
+
+
+def full_report(spark, d):
+    """Strict counts, counts by mode and holdout counts by status in one table."""
+    from .queries_resolve import holdout, strict_prf
+
+    return M.full_report(strict_prf(spark, d), mode_comparison(spark, d), holdout(spark, d))
+
+
+QUERIES["full_report"] = full_report
+from .queries_resolve import ORACLE_SQL as RESOLVE_SQL  # noqa: E402
+
+ORACLE_SQL["full_report"] = f"""SELECT 'strict' AS section, label AS name, tp, fp, fn, precision, recall, f1 FROM ({RESOLVE_SQL["strict_prf"]})
+UNION ALL SELECT 'mode', mode, tp, fp, fn, precision, recall, f1 FROM ({ORACLE_SQL["mode_comparison"]}) UNION ALL SELECT 'holdout', term_status, tp, NULL, fn, NULL, recall / 100, NULL FROM ({RESOLVE_SQL["holdout_by_status"]})"""
+
+
+def prepared(spark, d):
+    """Documents split by shared sentences, with their annotations at token ends: annotated documents and spans of each split."""
+    split, spans = P.prepare(docs(spark, d).select("doc_id", "text"), gold_spans(spark, d).select("doc_id", "start", "end", "label"), Scratch(spark, "prepare"))
+    both = spans.join(split.select("doc_id", "split"), "doc_id")
+    return both.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+QUERIES["prepared"] = prepared
+QUERIES["extract_dictionary_only"] = lambda spark, d: X.extract(docs(spark, d), None, terms(spark, d), mode="entity_ruler_only")[0].select("doc_id", "start", "end", "term", "category", "confidence", "source", "status")
+_after = ORACLE_SQL["extract_hybrid"][ORACLE_SQL["extract_hybrid"].index("nb AS MATERIALIZED") :]
+ORACLE_SQL["extract_dictionary_only"] = f"""WITH {ENTITIES_SQL}, resolved AS (SELECT doc_id, start, end_, term, label AS category, 1.0::DOUBLE AS confidence, 'dictionary' AS source FROM dict
+WHERE NOT (lower(term) IN {TRAILING_TRIM} AND term <> upper(term))), {_after}"""
+QUERIES["failed_responses"] = lambda spark, d: Y.failed_responses(docs(spark, d).select("doc_id", F.col("text").alias("raw")), "doc_id")
+ORACLE_SQL["failed_responses"] = """SELECT doc_id, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'empty' ELSE 'no_json' END AS reason FROM documents"""

@@ -128,8 +128,11 @@ tg AS (SELECT doc_id, start, tok, tok || coalesce(lead(tok, 1) OVER w, '') || co
 pl AS MATERIALIZED (SELECT doc_id, start AS ps, start + length(tok) AS pe, ml FROM tg JOIN mj ON lower(tok) = term AND NOT two UNION ALL SELECT doc_id, start, start + length(three), ml FROM tg JOIN mj ON lower(three) = term AND two),
 mt AS (SELECT pl.*, g.start AS gs, g.end_ AS ge, g.label, row_number() OVER (PARTITION BY pl.doc_id, ps, pe ORDER BY g.start, g.end_, g.label) AS k FROM pl LEFT JOIN gold g ON g.doc_id = pl.doc_id AND g.start < pe AND g.end_ > ps),
 sy AS MATERIALIZED (SELECT doc_id, ps AS start, pe AS end_, ml AS label, CASE WHEN gs IS NULL THEN 'added' WHEN gs = ps AND ge = pe AND label <> ml THEN 'relabelled' WHEN gs = ps AND ge = pe THEN 'same' ELSE 'skipped' END AS action FROM mt WHERE k = 1),
-hits AS (SELECT doc_id, start, substring(text, start + 1, end_ - start) AS surface, label FROM sy JOIN documents USING (doc_id) WHERE action = 'added'),
-{GREEDY_SQL.format(name="free", order="-length(surface), start").strip()}
+ad AS (SELECT doc_id, start, end_, CASE WHEN start < max(end_) OVER (PARTITION BY doc_id ORDER BY start, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM sy WHERE action = 'added'),
+il AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, end_ ROWS UNBOUNDED PRECEDING) AS island FROM ad),
+fl AS (SELECT doc_id, list({{'s': start, 'e': end_}} ORDER BY start - end_, start) AS h FROM il GROUP BY doc_id, island),
+fk AS (SELECT doc_id, list_reduce(list_transform(h, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: greatest(y.s, x[1].s) < least(y.e, x[1].e))) > 0 THEN a ELSE list_concat(a, x) END) AS k FROM fl),
+free AS (SELECT doc_id, k.s AS start, k.e AS end_ FROM (SELECT doc_id, unnest(k) AS k FROM fk))
 SELECT sy.doc_id, sy.start, sy.end_ AS "end", sy.label, CASE WHEN action = 'added' AND free.start IS NULL THEN 'skipped' ELSE action END AS action FROM sy LEFT JOIN free ON sy.doc_id = free.doc_id AND sy.start = free.start AND sy.end_ = free.end_"""
 
 

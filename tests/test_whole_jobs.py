@@ -115,6 +115,26 @@ def test_make_folds_against_brute_force(spark, tmp_path):
     assert got == {k: n for k, n in want.items() if n} and sum(n for (_, part), n in want.items() if part == "removed_by_similarity") >= 3
 
 
+def test_prepared_against_brute_force(spark, tmp_path):
+    rnd = random.Random(3)
+    documents = [(i, " ".join(rnd.choice("kamor lopin nutar velis dorin".split()) for _ in range(60 + i)) + f". Shared {i % 9}.") for i in range(40)] + [(50, documents_text := "Lone."), (51, documents_text)]
+    d = tables(spark, tmp_path, documents)
+    split = {r.doc_id: r.split for r in queries_corpus.QUERIES["component_split"](spark, d).collect()}
+    assert len(split) == 41 and set(split.values()) == {"train", "dev", "test"}
+    want, seen = Counter(), {}
+    for i, spans in gold(spark, d).items():
+        kept = []
+        for s, e, label in sorted(set(spans), key=lambda x: (x[0] - x[1], x[0])):
+            if i in split and all(e <= a or s >= b for a, b, _ in kept):
+                kept.append((s, e, label))
+        for s, e, label in kept:
+            want[split[i], label, "n"] += 1
+            want[split[i], label, "chars"] += e - s
+            seen.setdefault((split[i], label), set()).add(i)
+    got = {(r.split, r.label): (r.n, r.chars, r.documents) for r in queries_more.prepared(spark, d).collect()}
+    assert got == {k: (want[*k, "n"], want[*k, "chars"], len(v)) for k, v in seen.items()} and len(got) > 2
+
+
 def test_quality_reasons_read_all_spans(spark, tmp_path):
     rnd = random.Random(2)
     documents = [(i, " ".join(rnd.choice("kamor lopin nutar velis dorin".split()) for _ in range(110 + i)) + " " + " ".join(rnd.choice("the of a le kamor".split()) for _ in range(i))) for i in range(60)]
