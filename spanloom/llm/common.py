@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import functools
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.names import quoted, unused
 from ..operators.scratch import Scratch
 
-__all__ = ["Scratch", "WORD", "Words", "crc_mod", "key64", "mix", "pieces", "quoted", "released", "text_of", "unused"]
+__all__ = ["Beside", "Scratch", "WORD", "Words", "crc_mod", "key64", "mix", "pieces", "quoted", "released", "text_of", "unused"]
 
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,6 +77,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+class Beside:
+    """Columns that stay (keep) and columns that a map over Arrow batches adds to them (results: name -> type), whatever the names of the former.
+
+    The map reads columns called c0, c1, .. (those in keep, then inputs) and yields batches of the kept ones and the results, called names. A result whose
+    name a kept column has gets a longer one.
+    """
+
+    def __init__(self, docs: DataFrame, keep: Sequence[Column], inputs: Sequence[Column], results: dict[str, str]) -> None:
+        kept = docs.select(*keep)
+        n = len(kept.columns)
+        self.rows = docs.select(*keep, *inputs).toDF(*[f"c{i}" for i in range(n + len(inputs))])
+        self.kept, self.names = n, [*[f"c{i}" for i in range(n)], *[f"r{i}" for i in range(len(results))]]
+        self.final = [*kept.columns, *unused(kept, *results)]
+        added = StructType.fromDDL(", ".join(f"{r} {kind}" for r, kind in zip(self.names[n:], results.values(), strict=True)))
+        self.schema = StructType([*self.rows.schema.fields[:n], *added.fields])
+
+    def map(self, run) -> DataFrame:
+        return self.rows.mapInArrow(run, self.schema).toDF(*self.final)
+
+
 class Words:
     """The words of several texts: byte ranges in one buffer, 64-bit hashes, and each text's range of words."""
 

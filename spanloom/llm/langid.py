@@ -8,14 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import pieces, quoted, released, text_of
+from .common import Beside, pieces, quoted, released, text_of
 
 #: Training documents of each language, about; a larger language is thinned by a hash of id and text.
 TRAIN_DOCS = 2000
-#: Letters, and letters times languages, that are scored at a time, about; and characters whose words are labelled side by side.
-LETTERS, SCORES, SIDE_BY_SIDE = 300_000, 2_000_000, 3_000_000
+#: Letters, and letters times languages, that are scored at a time, about; and characters times languages whose words are labelled side by side.
+LETTERS, SCORES, SIDE_BY_SIDE = 300_000, 2_000_000, 8_000_000
 #: Buckets of each order of n-grams.
 BITS = 16
 ORDERS = 3
@@ -187,22 +186,21 @@ def identify(docs: DataFrame, model: Model, keep: list[Column], text_col: str =
     these; Viterbi with a cost for each switch labels all words of the whole text. lang_pred has the most letters (a tie goes to
     the first by name), and score is its share of the letters. Texts that are null or without letters get `und`,
     score 0 and no spans, and so does every text if there was nothing to learn from. Other columns are not read; an empty table gives an empty
-    one. Rows are labelled one by one, so ties and repeated rows need no rule. Memory grows with the longest text times the languages.
+    one. Rows are labelled one by one, so ties and repeated rows need no rule. Memory grows with the longest text times the languages. If a
+    column in keep has the name of a result, the result's is made longer by an underscore.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, text_of(quoted(text_col)).alias("_text"))
-    names = rows.columns[:-1]
+    beside = Beside(docs, keep, [text_of(quoted(text_col))], {"lang_pred": "string", "score": "double", "spans": "array<struct<start:int,end:int,lang:string>>"})
+    kept, names, limit = beside.kept, beside.names, SIDE_BY_SIDE // max(1, len(model.langs))
 
     def run(batches):
         m = sent.value
         for batch in released(batches):
-            texts = batch.column("_text").to_pylist()
-            rest = batch.drop_columns(["_text"])
-            for i, j in pieces(texts, SIDE_BY_SIDE):
-                yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, *label(m, texts[i:j])], [*names, "lang_pred", "score", "spans"])
+            texts, rest = batch.column(kept).to_pylist(), batch.select(range(kept))
+            for i, j in pieces(texts, limit):
+                yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, *label(m, texts[i:j])], names)
 
-    found = StructType.fromDDL("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *found.fields]))
+    return beside.map(run)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))

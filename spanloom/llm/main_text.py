@@ -10,9 +10,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import quoted, released, unused
+from .common import Beside, quoted, released
 from .html_blocks import AWAY, MAIN, NOTHING, Block, blocks
 
 #: Pages the classifier learns from at most, about; and blocks of each kind.
@@ -213,19 +212,17 @@ def extract(pages: DataFrame, keep: Sequence[Column], weights: np.ndarray, html_
     """The columns in keep, text and n_chars (its code points) of every whole page, one by one.
 
     A null or empty page, and one without main text, has an empty text; repeated rows have equal texts and an empty table gives an empty one. Columns in keep
-    must not be called text or n_chars; others may have any names.
+    may have any names; if one has the name of a result, the result's is made longer by an underscore.
     """
-    rows = pages.select(*keep)
-    (name,) = unused(rows, "_html")
-    rows = pages.select(*keep, F.col(quoted(html_col)).alias(name))
-    names = rows.columns[:-1]
+    beside = Beside(pages, keep, [F.col(quoted(html_col))], {"text": "string", "n_chars": "long"})
+    kept, names = beside.kept, beside.names
     sent = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in released(batches):
-            rest = batch.select(names)
-            for i, texts in _pieces(batch.column(batch.num_columns - 1)):
+            rest = batch.select(range(kept))
+            for i, texts in _pieces(batch.column(kept)):
                 text = pa.array(main_text(texts, sent.value), pa.string())
-                yield pa.RecordBatch.from_arrays([*rest.slice(i, len(texts)).columns, text, pa.compute.utf8_length(text).cast(pa.int64())], [*names, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*rest.slice(i, len(texts)).columns, text, pa.compute.utf8_length(text).cast(pa.int64())], names)
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add("text", "string").add("n_chars", "long"))
+    return beside.map(run)

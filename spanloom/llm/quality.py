@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StructType
 
-from .common import Scratch, Words, pieces, quoted, released, text_of
+from .common import Beside, Scratch, Words, pieces, quoted, released, text_of
 from .samples import labelled_sample
 
 #: Labelled documents of each class that are learnt from, and characters of all of them together, about.
@@ -143,10 +142,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int, float]], epochs: int = EPO
 
 
 def _batches(batches, build):
+    """The last two columns are texts and lengths."""
     for batch in released(batches):
-        texts = [t.encode() for t in batch.column("_text").to_pylist()]
-        chars = batch.column("_chars").to_pylist()
-        rest = batch.drop_columns(["_text", "_chars"])
+        last = batch.num_columns - 2
+        texts = [t.encode() for t in batch.column(last).to_pylist()]
+        chars = batch.column(last + 1).to_pylist()
+        rest = batch.select(range(last))
         for i, j in pieces(texts):
             yield from build(rest.slice(i, j - i), *features(texts[i:j], chars[i:j]), j - i)
 
@@ -178,16 +179,17 @@ def score(docs: DataFrame, model: Machine, keep: list[Column], text_col: str = "
     """The columns in keep and score (0 to 1, higher: the label 1 is likelier) of every whole text.
 
     A null text is empty; texts without words are scored by their statistics alone, and if there was nothing to learn from, or one class only, all
-    texts get one constant. Rows are scored one by one, so ties and repeated rows need no rule; an empty table gives an empty one.
+    texts get one constant. Rows are scored one by one, so ties and repeated rows need no rule; an empty table gives an empty one. A column in keep that is
+    called score stays, and the result's name is made longer by an underscore.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, text_of(quoted(text_col)).alias("_text"), _chars(chars_col))
-    names = rows.columns[:-2]
+    beside = Beside(docs, keep, [text_of(quoted(text_col)), _chars(chars_col)], {"score": "double"})
+    names = beside.names
 
     def run(batches):
         def build(rest, row, feat, value, n):
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sent.value.score(row, feat, value, n))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sent.value.score(row, feat, value, n))], names)
 
         yield from _batches(batches, build)
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields[:-2]).add("score", "double"))
+    return beside.map(run)

@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StructType
 
-from .common import Scratch, pieces, quoted, released, text_of
+from .common import Beside, Scratch, pieces, quoted, released, text_of
 from .langid import Letters
 from .samples import labelled_sample
 
@@ -324,17 +323,16 @@ def score(docs: DataFrame, model: Network, keep: list[Column], text_col: str = "
 
     A text that is null, empty or without letters has no window and gets a low constant. If there was nothing to
     learn from, or one class only, all texts get it. Rows are scored one by one, so ties and repeated rows need no rule; an empty
-    table gives an empty one.
+    table gives an empty one. A column in keep that is called score stays, and the result's name is made longer by an underscore.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, text_of(quoted(text_col)).alias("_text"))
-    names = rows.columns[:-1]
+    beside = Beside(docs, keep, [text_of(quoted(text_col))], {"score": "double"})
+    kept, names = beside.kept, beside.names
 
     def run(batches):
         for batch in released(batches):
-            texts = batch.column("_text").to_pylist()
-            rest = batch.drop_columns(["_text"])
+            texts, rest = batch.column(kept).to_pylist(), batch.select(range(kept))
             for i, j in pieces(texts, 4_000_000):
-                yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, pa.array(sent.value.scores(texts[i:j]))], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, pa.array(sent.value.scores(texts[i:j]))], names)
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add("score", "double"))
+    return beside.map(run)
