@@ -89,11 +89,20 @@ def lenient_counts(gold: DataFrame, preds: DataFrame, key: str = "doc_id") -> Da
 
 
 def holdout_matches(gold: DataFrame, preds: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Gold spans with the first prediction (by idx) of their label that overlaps them or whose term holds, or is held by, theirs."""
-    p = preds.select(key, F.col("idx").alias("p_idx"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.lower("term").alias("p_term"), "label")
-    met = gold.join(p, [key, "label"], "left")
-    hit = (F.greatest("start", "p_start") < F.least("end", "p_end")) | F.contains(F.lower("term"), F.col("p_term")) | F.contains("p_term", F.lower("term"))
-    return met.groupBy(key, "idx", "label", "term").agg(F.min(F.when(hit, F.col("p_idx"))).alias("matched_idx"))
+    """Gold spans with the first prediction (by idx) of their label that overlaps them or whose term holds, or is held by, theirs.
+
+    Places meet by bins, terms as the distinct ones of a document and label, so repeated terms make no product.
+    """
+    p = preds.select(key, F.col("idx").alias("p_idx"), "start", "end", F.lower("term").alias("p_term"), F.col("label").alias("p_label"))
+    placed = overlap_join(gold, p, key, "inner").where("label = r_p_label").groupBy(key, "idx", "label", "term").agg(F.min("r_p_idx").alias("_by_place"))
+    firsts = p.groupBy(key, F.col("p_label").alias("label"), "p_term").agg(F.min("p_idx").alias("p_idx"))
+    lowered = gold.select(key, "label", F.lower("term").alias("_low")).distinct()
+    named = lowered.join(firsts, [key, "label"]).where(F.contains("_low", F.col("p_term")) | F.contains("p_term", F.col("_low")))
+    named = named.groupBy(key, "label", "_low").agg(F.min("p_idx").alias("_by_term"))
+    own = gold.select(key, "idx", "label", "term").distinct().withColumn("_low", F.lower("term"))
+    same = F.col("o.term").eqNullSafe(F.col("w.term"))
+    out = own.alias("o").join(placed.alias("w"), [F.col(f"o.{c}") == F.col(f"w.{c}") for c in (key, "idx", "label")] + [same], "left").select("o.*", "_by_place")
+    return out.join(named, [key, "label", "_low"], "left").select(key, "idx", "label", "term", F.least("_by_place", "_by_term").alias("matched_idx"))
 
 
 def calibration(preds: DataFrame, matched: str = "matched") -> DataFrame:
