@@ -15,6 +15,7 @@ from pyspark.sql.types import StructField, StructType
 from ..functions.config import TRAILING_TRIM
 from ..functions.labels import ACCEPTED
 from .automaton import Automaton, are_words, cut_tokens, fold, joined, per_distinct
+from .overlaps import overlap_join
 from .scratch import Scratch
 
 #: Dictionaries are broadcast up to this many terms and characters, and joined by shuffle beyond.
@@ -228,11 +229,11 @@ def align_spans(toks: DataFrame, spans: DataFrame, key: str = "doc_id", mode: st
 
     toks: token_table. White space tokens don't count.
     """
-    t = toks.where(~F.col("tok").rlike(r"^[ \t\n\r\f]+$")).select(F.col(key).alias("_k"), F.col("start").alias("_s"), (F.col("start") + F.length("tok")).alias("_e"))
-    met = spans.join(t, (F.col(key) == F.col("_k")) & (F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start")))
-    inside = (F.col("_s") >= F.col("start")) & (F.col("_e") <= F.col("end"))
+    t = toks.where(~F.col("tok").rlike(r"^[ \t\n\r\f]+$")).select(key, "start", (F.col("start") + F.length("tok")).alias("end"))
+    met = overlap_join(spans, t, key, "inner")
+    inside = (F.col("r_start") >= F.col("start")) & (F.col("r_end") <= F.col("end"))
     keys = [c for c in spans.columns]
-    agg = met.groupBy(*keys).agg(F.min(F.when(inside, F.col("_s"))).alias("s1"), F.max(F.when(inside, F.col("_e"))).alias("e1"), F.min("_s").alias("s2"), F.max("_e").alias("e2"))
+    agg = met.groupBy(*keys).agg(F.min(F.when(inside, F.col("r_start"))).alias("s1"), F.max(F.when(inside, F.col("r_end"))).alias("e1"), F.min("r_start").alias("s2"), F.max("r_end").alias("e2"))
     pick = (F.col("s1"), F.col("e1")) if mode == "contract" else (F.coalesce("s1", "s2"), F.coalesce("e1", "e2"))
     rest = [c for c in spans.columns if c not in ("start", "end")]
     return agg.select(*rest, F.col("start").alias("raw_start"), F.col("end").alias("raw_end"), pick[0].alias("start"), pick[1].alias("end")).where("start is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import ratio
-from .resolve import overlap_join
+from .overlaps import overlap_join
 
 
 def classify_status(gold: DataFrame, preds: DataFrame, key: str = "doc_id") -> DataFrame:

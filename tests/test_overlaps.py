@@ -4,8 +4,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from spanloom.operators import dictionary as D
 from spanloom.operators import metrics as M
-from spanloom.operators import resolve as R
+from spanloom.operators import overlaps as R
 
 SPANS = "doc_id long, start int, end int, tag string"
 
@@ -64,3 +65,24 @@ def test_holdout_equals_brute_force(spark):
     kind = "doc_id int, idx int, start int, end int, term string, label string"
     got = M.holdout_matches(spark.createDataFrame(gold, kind), spark.createDataFrame(preds, kind)).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and {w[4] is None for w in want} == {True, False}
+
+
+def test_alignment_equals_brute_force(spark):
+    rnd = random.Random(2)
+    texts = {1: "Ab cd, ef  gh. " * 200, 2: "", 3: "x" * 2000 + " y"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = [(d, s, s + rnd.choice([1, 2, 7, 30, 900]), str(k)) for k in range(60) for d in (1, 3) for s in [rnd.randrange(0, 1990)]]
+    toks = {}
+    for r in D.token_table(docs).collect():
+        if r.tok.strip():
+            toks.setdefault(r.doc_id, []).append((r.start, r.start + len(r.tok)))
+    for mode in ("contract", "expand"):
+        want = set()
+        for d, s, e, tag in spans:
+            met = [t for t in toks[d] if t[0] < e and t[1] > s]
+            inside = [t for t in met if t[0] >= s and t[1] <= e]
+            use = inside or (met if mode == "expand" else [])
+            if use:
+                want.add((d, tag, s, e, min(t[0] for t in use), max(t[1] for t in use)))
+        got = D.align_spans(D.token_table(docs), spark.createDataFrame(spans, SPANS), mode=mode).select("doc_id", "tag", "raw_start", "raw_end", "start", "end").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) > 20
