@@ -9,7 +9,9 @@ from ..functions.config import TRAILING_TRIM
 from ..operators import dictionary as D
 from ..operators import summary as S
 from ..operators.scratch import Scratch
+from ..operators.tokens import rule_token_table
 from ..sources.readers import known_terms, terms_by_label
+from ..streaming.terms import happenings, term_counts
 from .inputs import TERMS_SQL, TOK_SQL, docs, ml_spans, terms
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -122,3 +124,24 @@ j AS (SELECT sp.doc_id, rs, re, category, min(s) FILTER (WHERE s >= rs AND e <=
       FROM sp JOIN wt ON sp.doc_id = wt.doc_id AND s < re AND e > rs GROUP BY ALL)
 SELECT doc_id, category, rs AS raw_start, re AS raw_end, s1 AS start, e1 AS "end", 'contract' AS mode FROM j WHERE s1 IS NOT NULL
 UNION ALL SELECT doc_id, category, rs, re, coalesce(s1, s2), coalesce(e1, e2), 'expand' FROM j"""
+
+
+def rule_tokens_whole(spark, d):
+    """Each text put together again from its rule tokens, with the end of the last one."""
+    t = rule_token_table(docs(spark, d))
+    g = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "tok"))).alias("t"), F.max(F.col("start") + F.length("tok")).cast("long").alias("n_chars"))
+    return g.select("doc_id", F.sha2(F.array_join(F.transform("t", lambda x: x["tok"]), ""), 256).alias("text_sha256"), "n_chars")
+
+
+QUERIES["rule_tokens_whole"] = rule_tokens_whole
+ORACLE_SQL["rule_tokens_whole"] = "SELECT doc_id, sha256(text) AS text_sha256, length(text) AS n_chars FROM documents WHERE length(text) > 0"
+
+
+def term_happenings(spark, d):
+    """Counts of dictionary terms by label: how often found, in how many documents."""
+    found = D.find_term_spans(docs(spark, d), terms(spark, d)).withColumnRenamed("label", "category")
+    return term_counts(happenings(found))
+
+
+QUERIES["term_counts"] = term_happenings
+ORACLE_SQL["term_counts"] = f"WITH {EXTRACT_SQL} SELECT lower(term) AS term, label, count(*) AS found, 0::BIGINT AS overruled, count(DISTINCT doc_id) AS documents FROM found GROUP BY ALL"
