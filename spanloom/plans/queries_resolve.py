@@ -9,7 +9,7 @@ from ..functions.config import LEADING_TRIM, TRAILING_TRIM
 from ..operators import metrics as M
 from ..operators import resolve as R
 from ..operators.dictionary import dictionary_entities, find_term_spans
-from .inputs import PAIRS_SQL, TOK_SQL, docs, gold_spans, ml_spans, terms
+from .inputs import PAIRS_SQL, TOK_SQL, docs, gold_spans, ml_spans, stored_pairs, terms
 from .queries_dictionary import ENTITIES_SQL, EXTRACT_SQL
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -78,8 +78,10 @@ SELECT doc_id, start, end_ AS "end", term, category FROM z WHERE NOT gone"""
 
 
 def entity_pairs(spark, d):
-    g = gold_spans(spark, d)
-    p = ml_spans(spark, d).select("doc_id", "idx", "start", "end", "term", F.col("category").alias("label"), "confidence")
+    """(gold spans, model spans); the texts are cut once for both, whatever is read of them."""
+    pairs = stored_pairs(spark, d)
+    g = gold_spans(spark, d, pairs)
+    p = ml_spans(spark, d, pairs).select("doc_id", "idx", "start", "end", "term", F.col("category").alias("label"), "confidence")
     return g, p
 
 
@@ -100,8 +102,8 @@ st AS (SELECT doc_id, 'gold' AS type, CASE WHEN x IS NOT NULL THEN CASE WHEN pl
 ORACLE_SQL["status_classification"] = f"WITH {STATUS_SQL} SELECT * FROM st"
 
 
-def strict_prf(spark, d):
-    g, p = entity_pairs(spark, d)
+def strict_prf(spark, d, pairs=None):
+    g, p = pairs or entity_pairs(spark, d)
     return M.with_overall(M.strict_counts(g, p)).select("label", "tp", "fp", "fn", *M.prf())
 
 
@@ -137,10 +139,10 @@ ORACLE_SQL["lenient_matches"] = f"""WITH {LENIENT_SQL}, r AS (SELECT *, row_numb
 SELECT g.doc_id, g.t AS term, g.label, r.pt AS matched, r.confidence FROM g LEFT JOIN r ON g.doc_id = r.doc_id AND g.t = r.gt AND g.label = r.label AND k = 1"""
 
 
-def holdout(spark, d):
+def holdout(spark, d, pairs=None, listed=None):
     """Gold spans found or missed, by whether their term is in the dictionary."""
-    g, p = entity_pairs(spark, d)
-    m = M.holdout_matches(g, p).join(terms(spark, d).select(F.col("term").alias("known")), F.lower("term") == F.col("known"), "left")
+    g, p = pairs or entity_pairs(spark, d)
+    m = M.holdout_matches(g, p).join((listed or terms(spark, d)).select(F.col("term").alias("known")), F.lower("term") == F.col("known"), "left")
     c = m.groupBy(F.when(F.col("known").isNull(), "unseen").otherwise("seen").alias("term_status")).agg(F.count("matched_idx").alias("tp"), F.count_if(F.col("matched_idx").isNull()).alias("fn"))
     return M.with_overall(c, "term_status", "overall").select("term_status", "tp", "fn", (100 * L.ratio("tp", F.col("tp") + F.col("fn"))).alias("recall"))
 
