@@ -16,3 +16,7 @@ def cuts(spark, monkeypatch, name):
 
 def test_align_models_cuts_once(spark, monkeypatch):
     assert cuts(spark, monkeypatch, "align_models") == 1
+
+
+def test_holdout_cuts_once(spark, monkeypatch):
+    assert cuts(spark, monkeypatch, "holdout_by_status") == 1
