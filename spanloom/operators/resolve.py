@@ -151,22 +151,23 @@ def merge_adjacent(entities: DataFrame, docs: DataFrame, key: str = "doc_id", te
     return out.select(key, F.explode("es").alias("e")).select(key, "e.*")
 
 
-def extract(docs: DataFrame, preds: DataFrame | None, terms: DataFrame | None, mode: str = "hybrid", accept_from: float = L.ACCEPT_FROM, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+def extract(docs: DataFrame, preds: DataFrame | None, terms: DataFrame | None, mode: str = "hybrid", accept_from: float = L.ACCEPT_FROM, key: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(entities, override events) of documents: model spans, dictionary spans, or both with conflicts resolved.
 
-    After that neighbours are merged and spans trimmed once more; known terms are the dictionary's.
+    After that neighbours are merged and spans trimmed once more; known terms are the dictionary's. found: the stored dictionary_entities, if they are
+    there already.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     known = None if terms is None else terms.select(F.lower("term").alias("term")).distinct()
     events = None
     if mode == "entity_ruler_only":
-        found = dictionary_entities(docs, terms, key, text)
+        found = found or dictionary_entities(docs, terms, key, text)
     elif mode == "transformer_only":
         found = model_entities(preds, known, accept_from, key)
     else:
         scratch = Scratch(docs.sparkSession, "extract")  # both sides are read several times below
         ml = scratch.save(trim_spans(model_entities(preds, known, accept_from, key), None, key), "model")
-        found, events = resolve_conflicts(ml, scratch.save(dictionary_entities(docs, terms, key, text), "dictionary"), key)
+        found, events = resolve_conflicts(ml, found or scratch.save(dictionary_entities(docs, terms, key, text), "dictionary"), key)
     merged = merge_adjacent(found.select(key, *ENTITY), docs, key, text, accept_from=accept_from)
     return trim_spans(merged.select(key, *ENTITY), known, key), events

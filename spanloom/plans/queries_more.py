@@ -101,11 +101,13 @@ a AS (SELECT e0.doc_id, e0.errors AS base, coalesce(e1.errors, 0) AS second, coa
 SELECT *, CASE WHEN third = 0 AND base > 0 THEN 'fixed' WHEN base = 0 AND second = 0 AND third = 0 THEN 'all_correct' WHEN base > 0 AND second > 0 AND third > 0 THEN 'all_wrong' ELSE 'divergent' END AS consensus FROM a"""
 
 
-def mode_comparison(spark, d):
+def mode_comparison(spark, d, pairs=None, listed=None):
     """Strict counts of the model alone, of its confident spans, of the dictionary, and of both as the hybrid resolves them, side by side."""
-    g, p = entity_pairs(spark, d)
-    found = X.dictionary_entities(docs(spark, d), terms(spark, d)).select("doc_id", "start", "end", F.col("category").alias("label"))
-    hybrid = X.extract(docs(spark, d), ml_spans(spark, d), terms(spark, d))[0].select("doc_id", "start", "end", F.col("category").alias("label"))
+    g, p = pairs or entity_pairs(spark, d)
+    listed = listed or terms(spark, d)
+    every = Scratch(spark, "modes").save(X.dictionary_entities(docs(spark, d), listed), "dictionary")
+    found = every.select("doc_id", "start", "end", F.col("category").alias("label"))
+    hybrid = X.extract(docs(spark, d), p.withColumnRenamed("label", "category"), listed, found=every)[0].select("doc_id", "start", "end", F.col("category").alias("label"))
     parts = {"transformer_only": p, "confident": p.where("confidence >= 0.8D"), "entity_ruler_only": found, "hybrid": hybrid}
     out = None
     for mode, preds in parts.items():
@@ -231,7 +233,8 @@ def full_report(spark, d):
     """Strict counts, counts by mode and holdout counts by status in one table."""
     from .queries_resolve import holdout, strict_prf
 
-    return M.full_report(strict_prf(spark, d), mode_comparison(spark, d), holdout(spark, d))
+    pairs, listed = entity_pairs(spark, d), terms(spark, d)  # all three read the same spans and terms
+    return M.full_report(strict_prf(spark, d, pairs), mode_comparison(spark, d, pairs, listed), holdout(spark, d, pairs, listed))
 
 
 QUERIES["full_report"] = full_report
