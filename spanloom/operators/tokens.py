@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,3 +41,40 @@ def rule_token_table(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id
                 yield out.slice(at, ROWS)
 
     return cut.mapInArrow(run, schema)
+
+
+def whole_texts(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text_sha256, n_chars) of each text put together again from its tokens, without a shuffle.
+
+    tokens: a rule_token_table as it was given out: a text's tokens follow one another in one partition, and idx 0 begins the next one. A text is
+    hashed batch by batch, never held whole. n_chars is the end of its last token.
+    """
+    schema = StructType([tokens.schema[key], *StructType.fromDDL("text_sha256 string, n_chars long").fields])
+
+    def run(batches):
+        open_key, digest, end = None, None, 0
+        for batch in batches:
+            tok, start = batch.column("tok"), batch.column("start").to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = start + pc.utf8_length(tok).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(batch.column("idx").to_numpy(zero_copy_only=False) == 0)
+            keys, hashes, sizes = [], [], []
+
+            def give() -> None:
+                keys.append(open_key)
+                hashes.append(digest.hexdigest())
+                sizes.append(end)
+
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(tok)], strict=True):
+                if a == b:
+                    continue
+                if start[a] == 0:
+                    if digest is not None:
+                        give()
+                    open_key, digest = batch.column(key)[a], hashlib.sha256()
+                digest.update("".join(tok.slice(a, b - a).to_pylist()).encode())
+                end = int(ends[b - 1])
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], batch.schema.field(key).type), pa.array(hashes, pa.string()), pa.array(sizes, pa.int64())], names=[key, "text_sha256", "n_chars"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([open_key.as_py()], open_key.type), pa.array([digest.hexdigest()], pa.string()), pa.array([end], pa.int64())], names=[key, "text_sha256", "n_chars"])
+
+    return tokens.select(key, "idx", "tok", "start").mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from ..functions.config import TRAILING_TRIM
 from ..operators import dictionary as D
 from ..operators import summary as S
 from ..operators.scratch import Scratch
-from ..operators.tokens import rule_token_table
+from ..operators.tokens import rule_token_table, whole_texts
 from ..sources.readers import known_terms, terms_by_label
 from ..streaming.terms import happenings, term_counts
 from .inputs import TERMS_SQL, TOK_SQL, docs, ml_spans, terms
@@ -128,9 +128,7 @@ UNION ALL SELECT doc_id, category, rs, re, coalesce(s1, s2), coalesce(e1, e2), '
 
 def rule_tokens_whole(spark, d):
     """Each text put together again from its rule tokens, with the end of the last one."""
-    t = rule_token_table(docs(spark, d))
-    g = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "tok"))).alias("t"), F.max(F.col("start") + F.length("tok")).cast("long").alias("n_chars"))
-    return g.select("doc_id", F.sha2(F.array_join(F.transform("t", lambda x: x["tok"]), ""), 256).alias("text_sha256"), "n_chars")
+    return whole_texts(rule_token_table(docs(spark, d)))
 
 
 QUERIES["rule_tokens_whole"] = rule_tokens_whole

@@ -1,6 +1,27 @@
 """Jobs that read what they need once and shuffle no tokens."""
 
+import hashlib
+
 from spanloom.operators import edit
+from spanloom.operators.tokens import rule_token_table, whole_texts
+from spanloom.plans import registry
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_rule_tokens_whole_shuffles_no_tokens(spark):
+    assert "Exchange" not in registry.QUERIES["rule_tokens_whole"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_texts_over_many_batches(spark):
+    texts = ["", None, "one", "Dr. Müller can't  go.\n" * 5, "é", "a b " * 9]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+        got = {r.doc_id: (r.text_sha256, r.n_chars) for r in whole_texts(rule_token_table(docs)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: (hashlib.sha256(t.encode()).hexdigest(), len(t)) for i, t in enumerate(texts) if t}
 
 
 def test_sync_reads_places_once(spark, monkeypatch):
