@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.labels import ratio
-from .dictionary import dictionary_entities, match_terms, small
+from .dictionary import MAX_BROADCAST_TERMS, dictionary_entities, match_terms, small
 from .names import quoted, unused
 
 
@@ -94,22 +98,57 @@ def word_jaccard_pairs(left: DataFrame, right: DataFrame, least: float, left_key
     """(left_key, right_key, jaccard) of texts whose word sets are alike by least or more.
 
     Words are ordered by how many texts of right hold them, rare ones first. Two sets that are alike enough share a word among the first
-    n - ceil(least * n) + 1 of each (n its size), so an equi-join on these words finds every pair.
+    n - ceil(least * n) + 1 of each (n its size), so an equi-join on these words finds every pair. While right has at most MAX_BROADCAST_TERMS distinct words,
+    they are sent to the texts of left, and of these only the ones with such a word leave their place.
     """
-    r = right.select(right_key, T.word_set(text).alias("rw")).where("size(rw) > 0")
-    l = left.select(left_key, T.word_set(text).alias("lw")).where("size(lw) > 0")  # noqa: E741
-    df = small(r.select(F.explode("rw").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")))
-
-    def prefix(rows: DataFrame, key: str, words: str) -> DataFrame:
-        n = rows.select(key, F.size(words).alias("n"), F.explode(words).alias("w")).join(df, "w", "left")
-        first = n.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
-        return first.select(key, F.explode(F.slice("ws", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))["w"]).alias("w"))
-
-    met = prefix(l, left_key, "lw").join(prefix(r, right_key, "rw"), "w").select(left_key, right_key).distinct()
-    both = met.join(l, left_key).join(r, right_key)
+    return jaccard_texts(left, right, least, left_key, right_key, text).select(left_key, right_key, "jaccard")
+
+
+def jaccard_texts(left: DataFrame, right: DataFrame, least: float, left_key: str, right_key: str, text: str = "text") -> DataFrame:
+    """word_jaccard_pairs with both texts, as _left and _right."""
+    r = right.select(right_key, F.col(text).alias("_right"), T.word_set(text).alias("rw")).where("size(rw) > 0")
+    l = left.select(left_key, F.col(text).alias("_left"), T.word_set(text).alias("lw")).where("size(lw) > 0")  # noqa: E741
+    df = r.select(F.explode("rw").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    own_key = [right_key, "_right", "rw"]
+
+    def prefix(rows: DataFrame, key: list[str], words: str) -> DataFrame:
+        n = rows.select(*key, F.size(words).alias("n"), F.explode(words).alias("w")).join(df, "w", "left")
+        first = n.groupBy(*key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
+        return first.select(*key, F.explode(F.slice("ws", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))["w"]).alias("w"))
+
+    few = df.orderBy("df", "w").limit(MAX_BROADCAST_TERMS + 1)
+    ranked = [x.w for x in few.collect()]  # at most MAX_BROADCAST_TERMS + 1 words
+    firsts = prefix(r, own_key, "rw")
+    if len(ranked) <= MAX_BROADCAST_TERMS:
+        met = _with_prefix(l, ranked, least).join(small(firsts), "w").drop("w")
+    else:
+        met = prefix(l, [left_key], "lw").join(firsts, "w").drop("w").join(l, left_key)
     shared = F.size(F.array_intersect("lw", "rw"))
-    both = both.withColumn("jaccard", shared / (F.size("lw") + F.size("rw") - shared))
-    return both.where(F.col("jaccard") >= least).select(left_key, right_key, "jaccard")
+    both = met.withColumn("jaccard", shared / (F.size("lw") + F.size("rw") - shared)).where(F.col("jaccard") >= least)
+    return both.select(left_key, right_key, "_left", "_right", "jaccard").distinct()
+
+
+def _with_prefix(rows: DataFrame, ranked: list[str], least: float) -> DataFrame:
+    """rows (with lw, a set of words) once for each word w that stands in their prefix and in ranked; words not in ranked come first, then those in its order."""
+    sent = rows.sparkSession.sparkContext.broadcast(ranked)
+
+    def run(batches):
+        vocabulary = pa.array(sent.value, pa.string())
+        for batch in batches:
+            sets = batch.column("lw")
+            n = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            rank = pc.fill_null(pc.index_in(sets.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((rank, of))
+            rank = rank[order]
+            place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            most = n - np.ceil(n * least).astype(np.int64) + 1
+            own = np.flatnonzero((place < most[of]) & (rank >= 0))
+            if len(own):
+                out = batch.take(pa.array(of[own]))
+                yield pa.RecordBatch.from_arrays([*out.columns, vocabulary.take(pa.array(rank[own]))], names=[*out.schema.names, "w"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("w", "string"))
 
 
 def covered_terms(terms: DataFrame, surfaces: DataFrame) -> DataFrame:

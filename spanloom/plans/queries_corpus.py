@@ -102,14 +102,14 @@ ORACLE_SQL["terms_in_texts"] = rf"WITH {TERMS_SQL} SELECT DISTINCT item_id AS do
 
 
 def sentences_of(df, key):
-    return df.select(key, F.explode(T.sentences("text")).alias("text"))
+    return df.select(key, F.explode(F.array_distinct(T.sentences("text"))).alias("text"))
 
 
 def near_dup_jaccard(spark, d):
     """Document sentences like a benchmark sentence by their words."""
     left = sentences_of(docs(spark, d), "doc_id").select("doc_id", "text").withColumn("left_id", F.struct("doc_id", "text"))
     right = sentences_of(table(spark, d, "benchmark"), "item_id").withColumn("right_id", F.struct("item_id", "text"))
-    p = K.word_jaccard_pairs(left.distinct(), right.distinct(), 0.6, "left_id", "right_id")
+    p = K.word_jaccard_pairs(left, right, 0.6, "left_id", "right_id")
     return p.select("left_id.doc_id", "right_id.item_id", F.md5(F.col("left_id.text").cast("binary")).alias("doc_sentence"), F.md5(F.col("right_id.text").cast("binary")).alias("item_sentence"), "jaccard")
 
 
@@ -124,8 +124,8 @@ QUERIES["near_dup_turns"] = lambda spark, d: S.ratio_pairs(table(spark, d, "conv
 
 def near_dup_sentences(spark, d):
     """Document sentences with a near-duplicate among the benchmark's sentences, by words, then by sequence ratio."""
-    left = sentences_of(docs(spark, d), "doc_id").distinct().withColumn("left_id", F.struct("doc_id", "text"))
-    right = sentences_of(table(spark, d, "benchmark"), "item_id").distinct().withColumn("right_id", F.struct("item_id", "text"))
+    left = sentences_of(docs(spark, d), "doc_id").withColumn("left_id", F.struct("doc_id", "text"))
+    right = sentences_of(table(spark, d, "benchmark"), "item_id").withColumn("right_id", F.struct("item_id", "text"))
     found = S.word_then_ratio(left, right, "left_id", "right_id")
     return found.select("left_id.doc_id", F.md5(F.col("left_id.text").cast("binary")).alias("sentence"), "right_id.item_id", "ratio")
 
