@@ -253,9 +253,8 @@ def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str,
 
 def word_then_ratio(left: DataFrame, right: DataFrame, left_key: str, right_key: str, jaccard: float = 0.6, least: float = 0.7, text: str = "text") -> DataFrame:
     """Near-duplicate sentences: equal ones, and those whose word sets are alike and whose ratio is high; the first partner of each left row."""
-    from .leakage import word_jaccard_pairs
+    from .leakage import jaccard_texts
 
-    pairs = word_jaccard_pairs(left, right, jaccard, left_key, right_key, text).select(left_key, right_key)
-    both = pairs.join(left.select(left_key, F.lower(text).alias("_own")), left_key).join(right.select(right_key, F.lower(text).alias("_other")), right_key)
+    both = jaccard_texts(left, right, jaccard, left_key, right_key, text).select(left_key, right_key, F.lower("_left").alias("_own"), F.lower("_right").alias("_other"))
     both = both.withColumn("ratio", ratios_from(F.col("_own"), F.col("_other"), least)).where(F.col("ratio") >= least)
     return both.groupBy(left_key).agg(F.min_by(F.struct(right_key, "ratio"), right_key).alias("m")).select(left_key, f"m.{right_key}", "m.ratio")
