@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from .automaton import spread
 from .scratch import Scratch
 
 
@@ -142,7 +143,7 @@ def ratio_from(a: str, b: str, least: float) -> float | None:
     if min(len(a), len(b)) < need:
         return None
     if len(b) < LONG:
-        if common_length(a, b) < need:
+        if (profile(a)[2] & profile(b)[2]).total() < need or common_length(a, b) < need:
             return None
     elif most_matched(a, b) < need or covered(a, b) < need:
         return None
@@ -160,58 +161,128 @@ def ratios_from(a: Column, b: Column, least: float) -> Column:
     return run(a, b)
 
 
+def _bits(text: str, width: int) -> tuple[np.ndarray, int]:
+    """A bit for each (n-gram, its number among equal ones) of the text, at a hash below width, and how many of them share another's bit."""
+    grams, n, _ = profile(text)
+    again = spread(np.zeros(len(n), np.int64), n).astype(np.uint64)
+    at = (np.repeat(grams, n) + again * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
+    bits = np.zeros(width, bool)
+    bits[at >> np.uint64(64 - int(width).bit_length() + 1)] = True
+    return np.packbits(bits).view(np.uint64), len(at) - int(bits.sum())
+
+
+#: Bits for each character of a block's longest text, bytes of bits that are compared at a time.
+WIDE, AT_ONCE = 8, 1 << 18
+#: Lengths that stretches around looked-up characters are tried in; one of the last length counts as one without end.
+LEVELS = (1, 2, 3, 4, 6, 8, 11, 16, 24)
+_UPTO = np.array([n - 1 for n in LEVELS] + [1 << 40])
+_BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def _rolling(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and factors from which the hash of any stretch comes in one step: (sums[i + n] - sums[i]) * factors[i]."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    powers = lambda base: np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, len(codes) - 1), base, np.uint64)]), dtype=np.uint64)
+    return np.concatenate([[np.uint64(0)], np.cumsum(codes * powers(_BASE)[: len(codes)], dtype=np.uint64)]), powers(_BACK)
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xD1B54A32D192ED03) >> np.uint64(32)).astype(np.uint32)
+
+
+class _Around:
+    """Where a second text has characters that difflib looks up, and the hashes of its stretches of LEVELS characters from there to the right and to the left."""
+
+    def __init__(self, text: str) -> None:
+        _, own, n = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True, return_counts=True)
+        at = np.flatnonzero(n[own] <= len(text) // 100 + 1)
+        sums, factors = _rolling(text)
+        level = np.array(LEVELS)[:, None]
+        begin = np.stack([np.broadcast_to(at, (len(LEVELS), len(at))), at - level + 1])
+        self.inside = (begin >= 0) & (begin + level <= len(text))
+        begin = np.where(self.inside, begin, 0)
+        self.hash = _mixed((sums[np.minimum(begin + level, len(text))] - sums[begin]) * factors[begin])
+        self.any = len(at) > 0
+        self.gaps = np.diff(np.concatenate([[-1], at, [len(text)]])) - 1
+
+
+class _Held:
+    """Which stretches of LEVELS characters a first text holds, by hash; two of one hash only raise what reached says."""
+
+    def __init__(self, text: str) -> None:
+        self.text, bits = text, max(6, (WIDE * len(text)).bit_length())
+        sums, factors = _rolling(text)
+        self.shift, self.held = np.uint32(32 - min(bits, 31)), np.zeros((len(LEVELS), 1 << min(bits, 31)), bool)
+        for row, n in zip(self.held, LEVELS, strict=True):
+            if n <= len(text):
+                row[_mixed((sums[n:] - sums[:-n]) * factors[: len(text) - n + 1]) >> self.shift] = True
+
+    def reached(self, b: str, around: _Around) -> int:
+        """An upper bound of the characters that difflib's blocks cover, for a b of LONG characters at least.
+
+        Each block but one at the start of both texts holds a looked-up character. So between two neighbouring ones of b no more is covered than the longest
+        stretch from the first to the right that stands in the first text, and that from the second to the left.
+        """
+        least = min(len(self.text), len(b))
+        lead = next((i for i in range(least) if self.text[i] != b[i]), least)
+        if not around.any:
+            return lead
+        hit = self.held[np.arange(len(LEVELS))[:, None], around.hash >> self.shift] & around.inside
+        right, left = _UPTO[np.logical_and.accumulate(hit, axis=1).sum(1)]
+        more = np.zeros(len(right) + 1, np.int64)
+        more[1:] += np.maximum(right - 1, 0)
+        more[:-1] += np.maximum(left - 1, 0)
+        return lead + int((right > 0).sum() + np.minimum(around.gaps, more).sum())
+
+
 class Block:
-    """Texts that others are compared with: their n-grams and characters as one index, so that bounds come for all of them at once."""
+    """Texts that others are compared with, by length, and their n-grams as bits, so that one bound comes for all of them at once.
+
+    N-grams that two texts share, counted with their numbers, are at most the bits that both have and those of either that share another's bit.
+    """
 
     def __init__(self, texts: list[str], least: float) -> None:
-        self.texts, self.least = texts, least
-        self.size = np.array([len(t) for t in texts])
-        self.grams = _Index([profile(t)[:2] for t in texts])
-        self.chars = _Index([_characters(t) for t in texts])
-        rare = [sum(n for n in profile(t)[2].values() if n <= len(t) // 100 + 1) for t in texts]
+        self.order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        self.texts, self.least = [texts[i] for i in self.order], least
+        self.size = np.array([len(t) for t in self.texts])
+        self.width = 1 << max(6, (WIDE * int(self.size[-1]) - 1).bit_length())
+        bits = [_bits(t, self.width) for t in self.texts]
+        self.bits, self.lost = np.stack([x for x, _ in bits]), np.array([n for _, n in bits])
+        rare = [sum(n for n in profile(t)[2].values() if n <= len(t) // 100 + 1) for t in self.texts]
+        self.around: dict[int, _Around] = {}
         self.blocks = 1 + np.array(rare)  # no more blocks than this in a comparison with the text as the second one
 
     def likely(self, text: str) -> np.ndarray:
-        """Numbers of the texts whose lengths, characters and n-grams allow the ratio with text as the first one."""
+        """Places in self.texts whose lengths and n-grams allow the ratio with text as the first one."""
         need = self.least * (len(text) + self.size) / 2 - 1e-6
-        ok = np.minimum(len(text), self.size) >= need
-        ok &= self.chars.shared(*_characters(text)) >= need
-        if (ok & (self.size >= LONG)).any():
-            ok &= (self.size < LONG) | (self.grams.shared(*profile(text)[:2]) + (GRAM - 1) * self.blocks >= need)
-        return np.flatnonzero(ok)
+        near = np.flatnonzero(np.minimum(len(text), self.size) >= need)  # next to each other, since they are in the order of their lengths
+        if not len(near):
+            return near
+        a, z = int(near[0]), int(near[-1]) + 1
+        own, lost = _bits(text, self.width)
+        rows = max(1, AT_ONCE // own.nbytes)
+        both = np.concatenate([np.bitwise_count(self.bits[i : min(i + rows, z)] & own).sum(1, dtype=np.int64) for i in range(a, z, rows)])
+        most = both + np.minimum(self.lost[a:z], lost) + (GRAM - 1) * self.blocks[a:z]
+        return a + np.flatnonzero((self.size[a:z] < LONG) | (most >= need[a:z]))
 
     def ratios(self, text: str):
         """(number, ratio) of the texts with a ratio of least or more."""
-        for k in self.likely(text):
-            ratio = ratio_from(text, self.texts[k], self.least)
+        held = None
+        for k in self.likely(text).tolist():
+            own = self.texts[k]
+            if len(own) >= LONG and own != text:
+                held = held or _Held(text)
+                if k not in self.around:
+                    self.around[k] = _Around(own)
+                if held.reached(own, self.around[k]) < self.least * (len(text) + len(own)) / 2 - 1e-6:
+                    continue
+            ratio = ratio_from(text, own, self.least)
             if ratio is not None:
-                yield k, ratio
-
-
-def _characters(text: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)
-
-
-class _Index:
-    """How many values each of several multisets shares with another one, counted with their numbers."""
-
-    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.n = len(sets)
-        value = np.concatenate([v for v, _ in sets])
-        order = np.argsort(value, kind="stable")
-        self.value = value[order]
-        self.of = np.repeat(np.arange(self.n), [len(v) for v, _ in sets])[order]
-        self.count = np.concatenate([n for _, n in sets])[order]
-
-    def shared(self, value: np.ndarray, count: np.ndarray) -> np.ndarray:
-        lo, hi = np.searchsorted(self.value, value, "left"), np.searchsorted(self.value, value, "right")
-        n = hi - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.of[at], np.minimum(self.count[at], np.repeat(count, n)), self.n)
+                yield self.order[k], ratio
 
 
-#: Distinct texts of each side that meet in one group.
-LEFT_BLOCK, RIGHT_BLOCK = 250, 200
+#: Texts and characters of each side that meet in one group, about.
+BLOCK, BLOCK_CHARS = 600, 2_000_000
 
 
 def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str, right_key: str, text: str = "text") -> DataFrame:
@@ -219,8 +290,8 @@ def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str,
 
     Equal texts of a side are compared once. Texts meet only in neighbouring bands of the logarithm of their lengths: at this ratio the longer is at
     most (2 - least) / least times the shorter. Within a band both sides are cut into blocks, and each pair of blocks is a group, so
-    no key fills a task and no pair of texts is a row. Bounds by characters and by n-grams come for a whole block at once, then
-    one by shared stretches (covered), then the ratio itself. All bounds are exact. The pairs of blocks grow with the product of the sides: at a ratio of 0.7 an
+    no key fills a task and no pair of texts is a row. A bound by bits of n-grams comes for a whole block at once, then those by
+    shared stretches (reached, covered; in short texts by characters), then the ratio itself. All bounds are exact. The pairs of blocks grow with the product of the sides: at a ratio of 0.7 an
     equi-join on shared characters with their numbers, or on shared grams, is exact too but meets most pairs of a band (see README).
     """
     step = math.log((2 - least) / least) or 1e-9
@@ -231,8 +302,8 @@ def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str,
     texts = lambda df: df.groupBy("h").agg(F.first("t").alias("t"))
     near = lambda df: df.withColumn("band", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: band + k)))
     a, b = scratch.save(texts(l).withColumn("band", band), "texts"), scratch.save(near(texts(r)), "texts")
-    blocks = lambda df, n, name: df.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / n).alias(name))
-    size = scratch.save(blocks(a, LEFT_BLOCK, "nl").join(blocks(b, RIGHT_BLOCK, "nr"), "band"), "blocks")  # a row for each band
+    blocks = lambda df, name: df.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("t")) / BLOCK_CHARS)).alias(name))
+    size = scratch.save(blocks(a, "nl").join(blocks(b, "nr"), "band"), "blocks")  # a row for each band
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     a = a.join(F.broadcast(size), "band").withColumn("i", F.pmod(F.xxhash64("h"), "nl")).withColumn("j", F.explode(upto("nr")))
     b = b.join(F.broadcast(size), "band").withColumn("j", F.pmod(F.xxhash64("h"), "nr")).withColumn("i", F.explode(upto("nl")))
@@ -246,7 +317,9 @@ def ratio_pairs(left: DataFrame, right: DataFrame, least: float, left_key: str,
         return pa.table({"_own": pa.array([o[0] for o in out], pa.string()), "_other": pa.array([o[1] for o in out], pa.string()), "ratio": pa.array([o[2] for o in out], pa.float64())})
 
     on = ["band", "i", "j"]
-    met = a.select(*on, "h", "t").groupBy(*on).cogroup(b.select(*on, "h", "t").groupBy(*on)).applyInArrow(compare, "_own string, _other string, ratio double")
+    groups = size.agg(F.sum(F.col("nl") * F.col("nr")).cast("long").alias("n")).first().n or 1
+    dealt = lambda df: df.select(*on, "h", "t").repartition(int(min(2000, 1 + 2 * groups)), *on).groupBy(*on)  # noqa: E731  (few bytes and much work: not to be put together by their size)
+    met = dealt(a).cogroup(dealt(b)).applyInArrow(compare, "_own string, _other string, ratio double")
     named = met.join(l.select(F.col("h").alias("_own"), F.col("k").alias(left_key)), "_own").join(r.select(F.col("h").alias("_other"), F.col("k").alias(right_key)), "_other")
     return named.select(left_key, right_key, "ratio")
 
